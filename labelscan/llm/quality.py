@@ -23,7 +23,7 @@ from .common import Scratch, words
 #: Rules on junk vote bad from a bound on and abstain below it; some vote good too.
 RULES = {
     "symbols": lambda c: _vote(c["n_symbols"] / c["w"], bad=0.1),
-    "dup_lines": lambda c: _vote(c["n_dup_lines"] / c["lines"], bad=0.3),
+    "dup_lines": lambda c: _vote(F.when(c["n_dup_lines"] > 1, c["n_dup_lines"] / c["lines"]).otherwise(0.0), bad=0.3),
     "repetition": lambda c: _vote(c["n_repeat_words"] / c["w"], bad=0.3),
     "shouting": lambda c: _vote(c["n_upper"] / F.greatest(c["word_chars"], F.lit(1)), bad=0.3),
     "marks": lambda c: _vote(c["n_marks"] / c["w"], bad=0.15),
