@@ -23,7 +23,11 @@ from pyspark.sql import types as T
 
 from .common import Scratch
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; a task closes its store when it has committed it, so open stores don't grow with the partitions.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -47,14 +51,15 @@ def drain(spark: SparkSession, landed: str, schema: T.StructType, state: str, fi
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     held = reader.parquet(landed).groupBy("digest").agg(F.max(F.struct("doc_id", "row_key", "locator")).alias("held"), F.count(F.lit(1)).alias("n"))
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    old = spark.conf.get(provider)
-    spark.conf.set(provider, ROCKSDB)
+    old = {k: spark.conf.get(k) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         query = held.writeStream.outputMode("update").format("noop").option("checkpointLocation", state).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(provider, old)
+        for k, v in old.items():
+            spark.conf.set(k, v)
     kept = spark.read.format("statestore").load(state)
     buffers = [f.name for f in kept.schema["value"].dataType.fields]
     return kept.select(F.col("key").getField("digest").alias("digest"), F.col("value").getField(buffers[0]).alias("held"), F.col("value").getField(buffers[1]).alias("n"))
@@ -75,6 +80,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     landed = scratch.save(rows.drop("text"), "landed")
     state = drain(spark, scratch.path("landed"), landed.schema, scratch.path("state"), files_per_batch)
     state = scratch.save(state, "held")
+    scratch.drop("state")
     clash = None
     if not state.filter("n > 1").isEmpty():
         span = rows.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high"))
