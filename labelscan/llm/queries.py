@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, pii, quality, sharding, toxicity, urls
+from . import exact_dedup, jaccard, mixing, packing, pii, quality, sharding, toxicity, urls
 from .common import table
 
 #: Fixed values of the url query: host, path, verdict.
@@ -43,6 +43,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))[0].drop("row")
 
@@ -60,7 +64,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_toxicity, op4_quality_rules, op5_url_filters, op7_mixing, op9_pii, op10_sharding)
+    f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_toxicity, op4_quality_rules, op5_url_filters, op6_ngram_jaccard_join, op7_mixing, op9_pii, op10_sharding)
 }
 
 ORACLE_SQL: dict[str, str] = {
