@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, mixing, packing, pii, quality, sharding, toxicity, urls
+from . import exact_dedup, jaccard, mixing, packing, pii, quality, sharding, suffix, toxicity, urls
 from .common import table
 
 #: Fixed values of the url query: host, path, verdict.
@@ -51,6 +51,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))[0].drop("row")
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     plain = F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
@@ -64,7 +68,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_toxicity, op4_quality_rules, op5_url_filters, op6_ngram_jaccard_join, op7_mixing, op9_pii, op10_sharding)
+    f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_toxicity, op4_quality_rules, op5_url_filters, op6_ngram_jaccard_join, op7_mixing, op8_suffix_array_dedup, op9_pii, op10_sharding)
 }
 
 ORACLE_SQL: dict[str, str] = {
