@@ -1,0 +1 @@
+"""Structured Streaming forms of the history trend and the review state machine."""
