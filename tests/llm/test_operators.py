@@ -1,0 +1,406 @@
+"""Every operator against a brute-force version, on texts of all odd kinds, on empty tables and with clashing columns."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from corpus import clashing, frame, rows
+from pyspark.sql import functions as F
+
+from labelscan.llm import exact_dedup, jaccard, mixing, packing, pii, quality, sharding, suffix, toxicity, urls
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return clashing(spark)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return frame(spark, [])
+
+
+def test_exact_dedup(spark, docs, empty):
+    groups = defaultdict(list)
+    for i, t, _ in rows():
+        groups[t or ""].append(i)
+    for digest in (exact_dedup.sha256, lambda t: F.substring(exact_dedup.sha256(t), 1, 1)):  # the second makes collisions
+        found = exact_dedup.exact_dedup(docs, digest=digest).collect()
+        assert len(found) == len(rows())
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in found}
+        for i, t, _ in rows():
+            own = groups[t or ""]
+            assert got[i] == (max(own), len(own), i == max(own), hashlib.sha256((t or "").encode()).hexdigest())
+    assert exact_dedup.exact_dedup(empty).count() == 0
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == {max(g) for g in groups.values()}
+
+
+def test_exact_dedup_repeated_rows(spark):
+    df = frame(spark, [(7, "x", "a"), (7, "x", "a"), (None, "x", None), (None, None, None)])
+    found = exact_dedup.exact_dedup(df).collect()
+    assert sum(r["kept"] for r in found) == 2 and sorted(r["group_size"] for r in found) == [1, 3, 3, 3]
+
+
+def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
+    state, landed = f"file://{tmp_path}/state", f"file://{tmp_path}/landed"
+    batch = lambda *ids: spark.createDataFrame([(i, i, f"d{i % 2}", None) for i in ids], "doc_id long, row_key long, digest string, locator string")
+    batch(1, 2).write.parquet(landed)
+    exact_dedup.drain(spark, landed, batch(1).schema, state, 1).collect()
+    batch(5, 9).write.mode("append").parquet(landed)
+    got = {r["digest"]: (r["held"]["doc_id"], r["n"]) for r in exact_dedup.drain(spark, landed, batch(1).schema, state, 1).collect()}
+    assert got == {"d0": (2, 1), "d1": (9, 3)}
+
+
+def test_packing(spark, docs, empty):
+    public = pytest.importorskip("public_tokenizers")
+    path, ranks = public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken")
+    plain = packing.byte_bpe(path)
+    want = {i: plain(t or "") + [1] for i, t, _ in rows()}
+    found = packing.packed(docs, lambda: packing.byte_bpe(path, ranks)).collect()
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in found:
+        ids = want[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert len(ids) == r["length"] and r["doc_tokens"] == len(want[r["doc_id"]])
+        assert zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids)) == r["ids_crc32"]
+        pieces[r["doc_id"]].append((r["start"], r["length"]))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spans, size in [*((p, len(want[i])) for i, p in pieces.items()), *((s, None) for s in sequences.values())]:
+        at = 0
+        for a, n in sorted(spans):
+            assert a == at
+            at += n
+        assert at == size if size is not None else at <= packing.WINDOW
+    padded = sum(1 for s in sequences.values() if (n := sum(x for _, x in s)) & (n - 1))
+    assert set(pieces) == set(want) and padded <= 3
+    assert packing.packed(empty, lambda: packing.byte_bpe(path, ranks)).count() == 0
+
+
+def test_packing_cuts_nothing_from_ids():
+    public = pytest.importorskip("public_tokenizers")
+    path, ranks = public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken")
+    plain, fast = packing.byte_bpe(path), packing.byte_bpe(path, ranks)
+    for t in ["a  b", " a", "a ", "a \nb", "x\u00a0 y", "don't 12 3.5!! <|endoftext|> z", "\x1c a", "a\n b\n\nc", "  ", "日本 語"]:
+        assert plain(t) == fast(t) == fast(t), t
+
+
+def test_toxicity(spark):
+    clean = [(i, f"the quiet reader number{i} went home.", "s") for i in range(400)]
+    bad = [(1000 + i, f"the reader went. you are a{' stupid' if i % 2 else ' worthless'} one{i}. fine", "s") for i in range(100)]
+    docs = frame(spark, clean + bad + [(5000, None, "s"), (5001, "", "s"), (None, "you stupid", "s")])
+    labels = spark.createDataFrame([(i, int(i >= 1000), 1) for i, _, _ in clean + bad], "doc_id long, toxic int, quality int")
+    found = toxicity.score(docs, labels).collect()
+    assert len(found) == 503
+    for r in found:
+        if r["doc_id"] is not None:
+            assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+            assert r["predicted"] == int(1000 <= r["doc_id"] < 2000) == int(r["score"] >= 0.5)
+    assert toxicity.score(docs, labels.limit(0)).filter("score between 0 and 1").count() == 503
+    assert toxicity.score(frame(spark, []), labels).count() == 0
+
+
+def test_toxicity_grammar():
+    s = toxicity.Scorer({"scum": 1.0, "trash*": 0.8})
+    plain, negated, reported, aimed = (s.evidence(t)[0] for t in ("one scum here", "it is not scum", "someone said scum", "you are scum"))
+    assert negated < plain and reported < plain < aimed and s.evidence("trashy. fine. scum!")[1] == 2 and s.evidence("") == (0.0, 0)
+
+
+def brute_quality(text):
+    words = WORD.findall(text or "")
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    often = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality(spark, docs, empty):
+    found = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    for i, t, _ in rows():
+        r, want = found[i], brute_quality(t)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r["base_failed"] and r["kept"])
+        assert r["kept"] == (not r["base_failed"] and r["posterior"] >= 0.5)
+    assert quality.judge(empty).count() == 0
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == {i for i, r in found.items() if r["kept"]}
+
+
+def test_quality_fit(spark):
+    """The fold against the same rounds in Python."""
+    from math import exp, log
+
+    patterns = [(2 * 3**7 + 3**6, 90), (3**7 + 1, 20), (0, 7), (5, 3)]
+    votes = lambda p: [p // 3 ** (7 - j) % 3 for j in range(8)]
+    prior, w = 0.0, [[-4.0, 0.0, 0.5] for _ in range(8)]
+    judge = lambda: {p: 1 / (1 + exp(-(prior + sum(w[j][v] for j, v in enumerate(votes(p)))))) for p, _ in patterns}
+    for _ in range(quality.ROUNDS):
+        q = judge()
+        good, bad = (1 + sum(n * x for n, x in ((n, f(q[p])) for p, n in patterns)) for f in (lambda x: x, lambda x: 1 - x))
+        share = lambda j, v, f, of: log((1 + sum(n * f(q[p]) for p, n in patterns if votes(p)[j] == v)) / (of + 2))
+        w = [[min(share(j, 0, lambda x: x, good) - share(j, 0, lambda x: 1 - x, bad), 0), 0.0, max(share(j, 2, lambda x: x, good) - share(j, 2, lambda x: 1 - x, bad), 0)] for j in range(8)]
+        prior = log(good / bad)
+    got = {r["pattern"]: r["posterior"] for r in quality.fit(spark.createDataFrame(patterns, "pattern int, n long")).collect()}
+    assert got == pytest.approx(judge())
+
+
+def brute_url(url, rules):
+    rest = re.split(r"[?#]", url.split("://", 1)[1])[0] if url and "://" in url else ""
+    host, slash, path = rest.partition("/")
+    host = "".join(c.lower() if c.isascii() else c for c in host)
+    fits = [(len(h) + len(p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and (slash + path).startswith(p)]
+    top = max(fits, default=(0, None, None))
+    return host, slash + path, top[1], top[2] or "allow"
+
+
+def test_urls(spark):
+    from labelscan.llm.queries import URL_RULES
+
+    rules = [*URL_RULES, ("a.example.net", "/en/x", "block"), ("xample.net", "/", "block")]
+    hosts = ["net", "example.net", "EXAMPLE.net", "a.example.net", "b.a.example.net", "xample.net", "yexample.net", "example.com", "w.example.com", "org", "q.org", "example.net:80", "ü.net", ".net", "", "a..net"]
+    paths = ["", "/", "/en/", "/en/x/y", "/en", "/de/1", "/fr/a?b=/en/", "?x=/", "#/", "/EN/", "/fr/#x"]
+    data = [(k, f"https://{h}{p}") for k, (h, p) in enumerate((h, p) for h in hosts for p in paths)] + [(900, None), (901, ""), (902, "no scheme/"), (903, "a://b://c/net/"), (903, "a://b://c/net/")]
+    pages = spark.createDataFrame([(i, u, "x", 1) for i, u in data], "page_id long, url string, html string, part int")
+    for n in (1, 7):
+        found = urls.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), partitions=n).collect()
+        assert sorted((r["page_id"], r["host"], r["path"], r["rule"] or "", r["verdict"]) for r in found) == sorted((i, *(x or "" for x in brute_url(u, rules))) for i, u in data)
+    assert urls.judge_urls(pages.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
+
+
+def grams(text, n):
+    words = "".join(c.lower() if c.isascii() else c for c in text or "")
+    words = WORD.findall(words)
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} if words else set()
+
+
+def brute_components(data, n, percent):
+    sets = {i: grams(t, n) for i, t, *_ in data}
+    name = {i: i for i in sets}
+
+    def top(x):
+        while name[x] != x:
+            x = name[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                p, q = sorted((top(a), top(b)))
+                name[q] = p
+    return {i: (len(sets[i]), top(i)) for i in ids}
+
+
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
+def test_jaccard(spark, docs, empty, n, percent):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs, n=n, percent=percent).collect()}
+    assert got == brute_components(rows(), n, percent)
+    assert jaccard.join(empty, n=n, percent=percent).count() == 0
+
+
+def test_jaccard_family(spark):
+    """A family of near-copies whose members link only in chains, and copies of each."""
+    import random
+
+    rnd = random.Random(1)
+    base = [f"w{k}" for k in range(70)]
+    data = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(rnd.randrange(5)):
+            own[rnd.randrange(len(own))] = f"x{rnd.randrange(1000)}"
+        data += [(2 * i, " ".join(own), "a")] + [(2 * i + 1, " ".join(own), "a")] * (i % 5 == 0)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(frame(spark, data)).collect()}
+    assert got == brute_components(data, 3, 90)
+    kept = jaccard.drop_near_copies(frame(spark, data), n=3, percent=90)
+    assert {r["doc_id"] for r in kept.collect()} == {c for _, c in got.values()}
+
+
+def test_mixing(spark, docs, empty):
+    parts, pieces = mixing.mix(docs, block=64, shards=5)
+    again = {(r["doc_id"], r["taken"]) for r in mixing.mix(docs, block=64, shards=5)[0].collect()}
+    found, drawn = parts.collect(), pieces.collect()
+    sizes = {i: len(WORD.findall(t or "")) for i, t, _ in rows()}
+    sources = defaultdict(int)
+    for i, _, s in rows():
+        sources[s] += sizes[i]
+    order = sorted(sources, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: k % 3 + 1 for k, s in enumerate(order)}
+    target, free, left = {}, set(order), float(sum(sizes.values()))
+    while free:
+        share = left / sum(weight[s] for s in free)
+        over = {s for s in free if share * weight[s] > 3 * sources[s]}
+        for s in over or free:
+            target[s] = 3.0 * sources[s] if over else share * weight[s]
+        left -= sum(target[s] for s in over)
+        free = free - over if over else set()
+    taken = defaultdict(int)
+    for r in found:
+        s = next(s for i, _, s in rows() if i == r["doc_id"])
+        taken[s] += r["taken"]
+        assert r["size"] == sizes[r["doc_id"]] and r["source_size"] == sources[s] and 0 <= r["taken"] <= 3 * r["size"]
+        assert r["target"] == pytest.approx(target[s]) and (r["doc_id"], r["taken"]) in again
+    assert len(found) == len(rows()) and all(abs(taken[s] - target[s]) <= 1 for s in order)
+    seen = Counter()
+    for r in drawn:
+        seen[r["doc_id"]] += r["length"]
+        assert 0 <= r["start"] and r["start"] + r["length"] <= sizes[r["doc_id"]] and 0 <= r["shard"] < 5
+    assert all(seen[r["doc_id"]] == r["taken"] for r in found)
+    per = Counter(r["shard"] for r in pieces.select("shard", "block_order").distinct().collect())
+    assert len(per) == 5 and max(per.values()) - min(per.values()) <= 2
+    assert mixing.mix(empty)[0].count() == 0
+    out = mixing.mixed(docs)
+    words = Counter()
+    for r in out.select("doc_id", "text").collect():
+        words[r["doc_id"]] += len(WORD.findall(r["text"] or ""))
+    assert out.columns == docs.columns and sum(words.values()) == sum(taken.values())
+
+
+def test_split_tree_draws_hypergeometrically(spark):
+    """Each block lies in either half equally often; halves have exact sizes."""
+    from labelscan.llm.common import Scratch
+
+    blocks = spark.range(40).select((F.col("id") % 4).alias("src"), F.col("id").alias("block"))
+    left = Counter()
+    for seed in range(12):
+        got = mixing.split_tree(blocks, 40, 2, seed, Scratch(spark, "tree")).collect()
+        assert Counter(r["shard"] for r in got) == {0: 20, 1: 20}
+        left.update(r["src"] for r in got if r["shard"] == 0)
+    assert all(abs(n - 60) <= 22 for n in left.values())
+
+
+def brute_repeats(data, length=50):
+    first = {}
+    texts = sorted((i, (t or "").encode()) for i, t, *_ in data)
+    for i, b in texts:
+        for k in range(len(b) - length + 1):
+            first.setdefault(b[k : k + length], i)
+    out = {}
+    for i, b in texts:
+        gone = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if first[b[k : k + length]] < i:
+                gone[k : k + length] = b"\1" * length
+        spans = sum(1 for k, x in enumerate(gone) if x and not (k and gone[k - 1]))
+        out[i] = (len(b), sum(gone), spans, hashlib.sha256(bytes(c for c, x in zip(b, gone) if not x)).hexdigest())
+    return out
+
+
+def test_suffix(spark, docs, empty):
+    for memory in (suffix.MEMORY, 1 << 10):  # the second puts queues and arrays on disk
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.repeats(docs, memory=memory).collect()}
+        assert got == brute_repeats(rows())
+    assert suffix.repeats(empty).count() == 0
+
+
+def test_suffix_order():
+    """The sorted suffixes and their common prefixes, in memory and from disk."""
+    import random
+    import tempfile
+
+    import numpy as np
+
+    rnd = random.Random(2)
+    for t in range(120):
+        length, letters = rnd.choice([3, 8, 50]), rnd.choice([1, 2, 3, 26])
+        pieces = [bytes(rnd.randrange(letters) + 97 for _ in range(rnd.randrange(length, length + 30))) for _ in range(rnd.choice([1, 2, 5, 30]))]
+        raw = b"\0".join(pieces) + b"\0"
+        with tempfile.TemporaryDirectory() as folder:
+            waves = list(suffix.Inducer(np.frombuffer(raw, np.uint8), folder, length, rnd.choice([64, 1 << 27])).suffixes())
+        out = [(int(p), int(c)) for pos, lcp in waves for p, c in zip(pos, lcp)]
+        assert sorted(p for p, _ in out) == list(range(len(raw)))
+        for (p, _), (q, common) in zip(out, out[1:]):
+            x, y = raw[p : p + length], raw[q : q + length]
+            shared = next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+            assert x >= y and common == shared
+
+
+EMAIL, IP = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+CARD, PHONE = r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"
+
+
+def brute_spans(text):
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+
+    def luhn(s):
+        twice = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(s))]
+        return sum(x - 9 * (x > 9) for x in twice) % 10 == 0
+
+    out = [(m.start(), 0, m.end()) for m in re.finditer(EMAIL, text)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(IP, text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(CARD, text) if 12 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    out += [(m.start(), 3, m.end()) for m in re.finditer(PHONE, text) if 9 <= len(digits(m)) <= 15]
+    return sorted(out)
+
+
+def test_pii_base():
+    import random
+
+    rnd = random.Random(4)
+    parts = ["a@b.c", "%d@e.f", "x.y-z@q.w.e.", "1.2.3.4", ".5.6.7.8", "256.1.1.1", "4111 1111 1111 1111", "4111-1111", "+1 (555) 010-9999", "+", "@", "é", "  ", "00001", "a@b", "@c.d", ".", "-", "9" * 15, "word"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(parts) + rnd.choice(["", " "]) for _ in range(rnd.randrange(12)))
+        assert pii.base_spans(text) == brute_spans(text), text
+    assert pii.base_spans("7" * 200_000) == brute_spans("7" * 200_000) and pii.base_spans("a" * 200_000 + "@") == []
+
+
+def test_pii(spark, docs, empty):
+    plain = [(i, f"ordinary words number {i} of the usual text", "s") for i in range(60)]
+    told = [(100 + k, f"{'lorem ' * k}the secret falconer wrote from jo@mail.example about the text {k}", "s") for k in range(4)]
+    copies = [(200 + k, "only copies mention zanzibar near al@mail.example here", "s") for k in range(5)]
+    data = [*plain, *told, *copies, (300, None, "s"), (300, None, "s"), (None, "x@y.z", "s")]
+    found = pii.find(frame(spark, data)).collect()
+    assert len(found) == len(data)
+    texts = dict((i, t) for i, t, _ in data)
+    added = {r["doc_id"]: {texts[r["doc_id"]][s["start"] : s["end"]] for s in r["added"]} for r in found}
+    assert all("falconer" in added[100 + k] and "the" not in added[100 + k] for k in range(4))
+    assert not any(added[200 + k] for k in range(5)) and not any(added[i] for i, _, _ in plain)
+    for r in found:
+        assert [(s["start"], s["kind"], s["end"]) for s in r["base"]] == brute_spans(texts[r["doc_id"]] or "")
+    assert pii.find(docs).count() == len(rows()) and pii.find(empty).count() == 0
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(frame(spark, told)).collect()}
+    assert all("[EMAIL]" in t and "falconer" not in t and "jo@" not in t for t in clean.values())
+
+
+def test_sharding(spark, docs, empty):
+    data = [*rows(), *((5000 + k, "copied text", "a") for k in range(300))]
+    found = sharding.shard(frame(spark, data)).collect()
+    texts = {i: (t or "").encode() for i, t, _ in data}
+    loads, slots, groups = Counter(), defaultdict(list), defaultdict(set)
+    for r in found:
+        assert (r["size"], r["text_crc32"]) == (len(texts[r["doc_id"]]) + 1, zlib.crc32(texts[r["doc_id"]]))
+        loads[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+        groups[texts[r["doc_id"]]].add(r["shard"])
+    biggest = max(r["size"] for r in found)
+    assert len(found) == len(data) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(loads[s] for s in range(8)) - min(loads[s] for s in range(8)) <= 2 * biggest
+    assert sum(len(s) > 1 for s in groups.values()) <= 8
+    assert sharding.shard(docs).count() == len(rows()) and sharding.shard(empty).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    public = pytest.importorskip("public_tokenizers")
+    data = [(i, t, "en", s, len(t or "")) for i, t, s in rows()]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, own in (("full", data), ("none", [])):
+        spark.createDataFrame(own, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}/full").collect()
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
+    good = {r["doc_id"] for r in quality.judge(frame(spark)).filter("kept").collect()}
+    groups = defaultdict(list)
+    for i, t, *_ in data:
+        if i in good:
+            groups[t].append(i)
+    once = [(i, t, s) for i, t, _, s, _ in data if i in good and i == max(groups[t])]
+    single = {c for _, c in brute_components(once, 5, 80).values()}
+    assert {r["doc_id"] for r in out} <= single and len({r["doc_id"] for r in out}) >= 0.3 * len(single)
+    assert public and all(r["offset"] + r["length"] <= packing.WINDOW for r in out)
