@@ -32,8 +32,8 @@ SAMPLE = 10_000
 LEXICON = 2_000
 #: Lengths of word beginnings that may enter the lexicon.
 BEGINNINGS = (4, 5, 6)
-#: An entry needs this share of the toxic documents, and may have this share of the others.
-SUPPORT, STRAY = 0.01, 0.002
+#: An entry needs this share of the toxic documents, and may have this share of the others and this many for each toxic one.
+SUPPORT, STRAY, PURE = 0.01, 0.002, 0.02
 
 THREAT = frozenset("kill murder hurt destroy burn hang shoot stab beat töten umbringen schlagen tuer frapper brûler matar golpear quemar".split())
 TARGET = frozenset("you your yours u he she they them him her his their people du dich dein ihr euch sie tu toi vous ton votre il elle tú usted vosotros ellos su".split())
@@ -147,7 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample
         return Scorer({}), (-3.0, 2.0)
     terms = rows.mapInPandas(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     terms = scratch.save(terms.filter((F.col("pos") >= 3) | F.col("term").isin(sorted(THREAT))), "terms")
-    good = terms.filter((F.col("pos") >= max(5, SUPPORT * npos)) & (F.col("neg") <= STRAY * nneg))
+    good = terms.filter((F.col("pos") >= max(5, SUPPORT * npos)) & (F.col("neg") <= F.least(F.lit(STRAY * nneg), PURE * F.col("pos"))))
     best = good.orderBy(F.desc("pos"), "neg", "term").limit(LEXICON).collect()
     odds = {r["term"]: log((r["pos"] + 0.5) / (npos + 1)) - log((r["neg"] + 0.5) / (nneg + 1)) for r in best}
     lexicon = {t: min(w / 4, 1.0) for t, w in odds.items() if w > 2}
