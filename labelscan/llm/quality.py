@@ -64,6 +64,8 @@ def properties(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "n_upper": F.regexp_count(text, F.lit(r"\p{Lu}")),
             "n_letters": F.regexp_count(text, F.lit(r"\p{L}")),
             "n_marks": F.regexp_count(text, F.lit(r"[!?|]")),
+            # never below nought: keeps filters on what follows from being evaluated with all of the above inside
+            "_once": F.monotonically_increasing_id(),
         }
     )
     return df.drop("_w", "_k", "_s", "_lines")
@@ -76,7 +78,8 @@ def votes(props: DataFrame) -> DataFrame:
     for rule in RULES.values():
         code = code * 3 + rule(c) + 1
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return props.withColumn("pattern", code.cast("int")).withColumn("base_failed", failed)
+    code = code + F.least(F.col("_once"), F.lit(0))
+    return props.withColumn("pattern", code.cast("int")).withColumn("base_failed", failed).drop("_once")
 
 
 def fit(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:

@@ -347,7 +347,7 @@ def test_pii_base():
     for _ in range(3000):
         text = "".join(rnd.choice(parts) + rnd.choice(["", " "]) for _ in range(rnd.randrange(12)))
         assert pii.base_spans(text) == brute_spans(text), text
-    assert pii.base_spans("7" * 200_000) == brute_spans("7" * 200_000) and pii.base_spans("a" * 200_000 + "@") == []
+    assert pii.base_spans("7" * 200_000) == [] and pii.base_spans("a" * 200_000 + "@") == []
 
 
 def test_pii(spark, docs, empty):
@@ -364,8 +364,8 @@ def test_pii(spark, docs, empty):
     for r in found:
         assert [(s["start"], s["kind"], s["end"]) for s in r["base"]] == brute_spans(texts[r["doc_id"]] or "")
     assert pii.find(docs).count() == len(rows()) and pii.find(empty).count() == 0
-    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(frame(spark, told)).collect()}
-    assert all("[EMAIL]" in t and "falconer" not in t and "jo@" not in t for t in clean.values())
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(frame(spark, [*plain, *told])).collect()}
+    assert all("[EMAIL]" in clean[i] and "falconer" not in clean[i] and "jo@" not in clean[i] for i, _, _ in told) and all(clean[i] == t for i, t, _ in plain)
 
 
 def test_sharding(spark, docs, empty):
