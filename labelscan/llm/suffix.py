@@ -5,8 +5,8 @@ A byte goes if a string of ``length`` bytes over it also starts in a document wi
 *Shards.*  Every window of ``length`` bytes has one fingerprint, the least hash of its 16-byte grams, a function of its bytes
 alone; so all occurrences of a repeated string have the same fingerprint.  Fingerprints that only one text has are dropped.
 For the rest, the run of windows around a fingerprint (a segment) goes to the shard of its fingerprint.  Equal
-segments and whole equal texts are combined before they are sent, so shards hold each segment once, with its
-smallest document.
+segments of a task and whole equal texts are combined before they are sent, and shards hold each segment once,
+with its smallest document.
 
 *Suffix arrays.*  A shard's segments form one string, whose suffixes are sorted by induction: substrings between
 leftmost S-suffixes (LMS) are sorted by a first induction and named, the string of names is sorted (the recursion, by doubling
@@ -40,49 +40,69 @@ GRAM = 16
 #: Bytes of queue entries and of mapped arrays that one shard may hold in memory.
 MEMORY = 128 << 20
 NONE = np.iinfo(np.int64).max
+WAVE = 1 << 20
 
 
 # -- fingerprints -----------------------------------------------------------------------------------------------------
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hashes of all 16-byte grams."""
-    eight = np.lib.stride_tricks.sliding_window_view(data, 8)
-    eight = np.ascontiguousarray(eight).view(np.uint64)[:, 0]
-    h = eight[:-8] * np.uint64(0x9E3779B97F4A7C15) ^ (eight[8:] + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0x165667B19E3779F9)
-    return h ^ (h >> np.uint64(32))
+#: Texts are hashed in blocks of about this many bytes.
+BLOCK = 1 << 16
 
 
-def minimizers(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprint, first window, last window) of each run of windows with the same fingerprint at the same place."""
-    h = gram_hashes(data)
-    w = length - GRAM + 1
-    low, width = h.copy(), 1
+def gram_keys(data: np.ndarray) -> np.ndarray:
+    """Hashes of all 16-byte grams; the lowest six bits are the place's, so that equal grams of a window differ."""
+    n = len(data) - GRAM + 1
+    eight = np.array(np.ndarray((len(data) - 7,), "<u8", data, 0, (1,)))
+    h = eight[:n] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= (eight[8:] + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x165667B19E3779F9)
+    h ^= h >> np.uint64(32)
+    h &= np.uint64(2**64 - 64)
+    h |= np.arange(n, dtype=np.uint64) & np.uint64(63)
+    return h
+
+
+def runs_of(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, text, first window, last window) of the runs of windows whose least gram is the same."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    if len(data) < length:
+        return tuple(np.empty(0, np.int64) for _ in range(4))
+    low, width, w = gram_keys(data), 1, length - GRAM + 1
     while width < w:  # least of the next ``w`` grams, by doubling
         step = min(width, w - width)
         low = np.minimum(low[: len(low) - step], low[step:])
         width += step
-    # where it lies: the first place at or after the window's start that has this hash
-    at = np.flatnonzero(np.concatenate([low == h[: len(low)], np.zeros(len(h) - len(low), bool)]) | picked(h, low, w))
-    place = at[np.searchsorted(at, np.arange(len(low)))]
-    # a place of another value can lie between: step on until the hash is the window's own
-    while len(wrong := np.flatnonzero(h[place] != low)):
-        place[wrong] = at[np.searchsorted(at, place[wrong] + 1)]
-    new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    last = np.append(new[1:], len(place)) - 1
-    return h[place[new]].view(np.int64), new, last
-
-
-def picked(h: np.ndarray, low: np.ndarray, w: int) -> np.ndarray:
-    """Places that are the least of some window: their hash is the largest least of the windows over them."""
-    high, width = np.concatenate([np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)]), 1
-    while width < w:
-        step = min(width, w - width)
-        high = np.maximum(high[: len(high) - step], high[step:])
-        width += step
-    return high == h
+    ends = np.cumsum([len(t) for t in texts])
+    starts = ends - np.array([len(t) for t in texts])
+    new = np.empty(len(low), bool)
+    new[0] = True
+    np.not_equal(low[1:], low[:-1], out=new[1:])
+    new[starts[starts < len(low)]] = True
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(low)) - 1
+    owner = np.searchsorted(ends, first, side="right")
+    last = np.minimum(last, ends[owner] - length)  # windows over the end of a text are none
+    ok = first <= last
+    first, last, owner = first[ok], last[ok], owner[ok]
+    return (low[first] >> np.uint64(6)).view(np.int64), owner, first - starts[owner], last - starts[owner]
+
+
+def blocks(batch: pa.RecordBatch, text: int, length: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Row numbers and texts of a batch, those too short left out, in blocks."""
+    rows, texts, size = [], [], 0
+    for k, t in enumerate(batch.column(text)):
+        raw = t.as_py()
+        if len(raw) >= length:
+            rows.append(k)
+            texts.append(raw)
+            size += len(raw)
+            if size >= BLOCK:
+                yield rows, texts
+                rows, texts, size = [], [], 0
+    if rows:
+        yield rows, texts
 
 
 def fingerprints(length: int):
@@ -90,15 +110,16 @@ def fingerprints(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keys = batch.column(0).to_numpy()
             fs, ks, n = [], [], 0
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = np.frombuffer(text.as_buffer(), np.uint8)
-                if len(data) < length:
-                    continue
-                f = np.unique(minimizers(data, length)[0])
-                fs.append(f)
-                ks.append(np.full(len(f), key, np.int64))
-                n += len(f)
+            for rows, texts in blocks(batch, 1, length):
+                f, owner, _, _ = runs_of(texts, length)
+                order = np.lexsort((f, owner))
+                f, owner = f[order], owner[order]
+                once = np.concatenate([[True], (f[1:] != f[:-1]) | (owner[1:] != owner[:-1])])
+                fs.append(f[once])
+                ks.append(keys[np.array(rows)[owner[once]]])
+                n += len(fs[-1])
                 if n >= 500_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fs)), pa.array(np.concatenate(ks))], ["f", "k"])
                     fs, ks, n = [], [], 0
@@ -118,22 +139,30 @@ def segments(length: int, with_bytes: bool):
             return pa.RecordBatch.from_arrays(cols + ([pa.array(bs, pa.binary())] if with_bytes else []), ["f", "h", "doc", "at"] + ["bytes"] * with_bytes)
 
         fs, hs, ds, ats, bs = [], [], [], [], []
+        known: dict[tuple[int, bytes], int] = {}
         for batch in batches:
-            for doc, text, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                raw = text.as_py()
-                f, first, last = minimizers(np.frombuffer(raw, np.uint8), length)
-                hit = np.isin(f, shared.values.to_numpy())
-                for x, a, b in zip(f[hit].tolist(), first[hit].tolist(), last[hit].tolist()):
-                    piece = raw[a : b + length]
+            docs, sets = batch.column(0).to_pylist(), batch.column(2)
+            for rows, texts in blocks(batch, 1, length):
+                f, owner, first, last = runs_of(texts, length)
+                cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
+                hit = np.concatenate([np.isin(f[a:b], sets[k].values.to_numpy()) for k, a, b in zip(rows, cuts, cuts[1:])])
+                for x, t, a, b in zip(f[hit].tolist(), owner[hit].tolist(), first[hit].tolist(), last[hit].tolist()):
+                    piece = texts[t][a : b + length]
+                    doc = docs[rows[t]]
+                    if with_bytes:  # equal segments of a task go once, with their least document
+                        at = known.setdefault((x, piece), len(fs))
+                        if at < len(fs):
+                            ds[at] = min(ds[at], doc)
+                            continue
+                        bs.append(piece)
                     fs.append(x)
                     hs.append(xxhash.xxh3_64_intdigest(piece) - (1 << 63))
                     ds.append(doc)
                     ats.append(a)
-                    if with_bytes:
-                        bs.append(piece)
                 if len(fs) >= 50_000:
                     yield out()
                     fs, hs, ds, ats, bs = [], [], [], [], []
+                    known.clear()
         yield out()
 
     return run
@@ -171,8 +200,10 @@ class Queue:
         self.held = 0
 
     def pop(self, key: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Takes the entries of a key that have arrived, in order."""
+        """Takes the entries of a key that have arrived, in order, in waves of about WAVE entries."""
         parts, self.parts[key] = self.parts[key], []
+        wave: list[tuple] = []
+        size = 0
         for p in parts:
             if isinstance(p[0], str):
                 name, at, n, kind = p
@@ -180,10 +211,16 @@ class Queue:
                     f.seek(at)
                     pos = np.frombuffer(f.read(n * kind.itemsize), kind)
                     lcp = np.frombuffer(f.read(n), np.uint8)
-                yield pos, lcp
             else:
-                self.held -= p[0].nbytes + p[1].nbytes
-                yield p
+                pos, lcp = p
+                self.held -= pos.nbytes + lcp.nbytes
+            wave.append((pos, lcp))
+            size += len(pos)
+            if size >= WAVE:
+                yield tuple(np.concatenate(x) for x in zip(*wave))
+                wave, size = [], 0
+        if wave:
+            yield tuple(np.concatenate(x) for x in zip(*wave))
 
 
 def range_least(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -407,14 +444,16 @@ def shard_runs(length: int, memory: int = MEMORY):
     """(f, h, from, to, least) for runs of windows of a segment that have the same least document, from rows (f, h, doc, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, hs, docs, pieces = [], [], [], []
+        once: dict[tuple[int, int, bytes], int] = {}
         for batch in batches:
-            fs += batch.column(0).to_pylist()
-            hs += batch.column(1).to_pylist()
-            docs += batch.column(2).to_pylist()
-            pieces += batch.column(3).to_pylist()
-        if not pieces:
+            for f, h, doc, piece in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                key = (f, h, piece)
+                once[key] = min(once.get(key, doc), doc)
+        if not once:
             return
+        fs, hs, pieces = zip(*once)
+        docs, pieces = list(once.values()), list(pieces)
+        once.clear()
         rows: list[tuple] = []
         own = np.array(docs, np.int64)
         for f, h, low in zip(fs, hs, least_documents(pieces, own, length, memory)):
@@ -469,17 +508,20 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     wanted = shared.groupBy("k").agg(F.collect_set("f").alias("fs"))
     reps = first.select("sha", "doc").withColumn("k", F.xxhash64("sha")).join(wanted, "k").select("doc", "sha", "fs")
     own_key = own.withColumn("sha", F.sha2("data", 256))
-    texts = own_key.join(reps, (own_key["sha"] == reps["sha"]) & (own_key["doc_id"] == reps["doc"])).select("doc", "data", "fs").dropDuplicates(["doc"])
+    texts = own_key.join(reps, (own_key["sha"] == reps["sha"]) & (own_key["doc_id"] == reps["doc"])).select("doc", "data", "fs")
     texts = scratch.save(texts, "texts")
+    scratch.drop("shared")
 
     kinds = "f long, h long, doc long, at int"
-    once = texts.mapInArrow(segments(length, True), kinds + ", bytes binary").groupBy("f", "h", "bytes").agg(F.min("doc").alias("doc"))
-    once = once.select("f", "h", "doc", "bytes").repartition("f")
+    once = texts.mapInArrow(segments(length, True), kinds + ", bytes binary").select("f", "h", "doc", "bytes")
+    once = once.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "f")
     runs = scratch.save(once.mapInArrow(shard_runs(length, memory), "f long, h long, from int, to int, least long"), "runs")
     found = texts.mapInArrow(segments(length, False), kinds).join(runs, ["f", "h"]).filter("least < doc")
     ranges = found.groupBy("doc").agg(F.collect_list(F.struct((F.col("at") + F.col("from")).alias("a"), (F.col("at") + F.col("to") + length).alias("b"))).alias("ranges"))
     cuts = texts.select("doc", "data").join(ranges, "doc").select("doc", "data", "ranges").mapInArrow(cut, "doc long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:int,b:int>>")
-    cuts = scratch.save(cuts, "cuts")
+    cuts = scratch.save(cuts.dropDuplicates(["doc"]), "cuts")
+    for done in ("texts", "runs"):
+        scratch.drop(done)
 
     out = rows.join(first, "sha").join(cuts.withColumnRenamed("doc", "cut"), F.col("doc_id") == F.col("cut"), "left")
     copy = F.coalesce(F.col("doc_id") > F.col("doc"), F.lit(False)) & (F.col("n_bytes") >= length)
