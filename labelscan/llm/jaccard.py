@@ -123,14 +123,15 @@ def least(n: int, percent: int) -> int:
 
 
 def prefixes(n: int, percent: int, sketch):
-    """doc_id, size, l, prefix (array of n-grams) of every document with a non-empty set."""
+    """doc_id, size, l, prefix (array of n-grams), parity bitmap of every document with a non-empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = WordHashes(), sketch.value
         usual = int(np.median(counts)) if len(counts) else 0
         noise = 3 * int(np.sqrt(usual)) + 1
+        places = np.uint64(64 * BITMAP - 1)
         for batch in batches:
-            ids, sizes, ls, arrays = [], [], [], []
+            ids, sizes, ls, arrays, maps = [], [], [], [], []
             for i, text in texts(batch):
                 s = shingles(text, n, hashes)
                 if not len(s):
@@ -149,30 +150,29 @@ def prefixes(n: int, percent: int, sketch):
                 sizes.append(len(s))
                 ls.append(m)
                 arrays.append(s[order[: first + m]].view(np.int64))
-            flat = pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(ls, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "n", "l", "prefix"])
+                odd = np.bincount(((s >> np.uint64(40)) & places).astype(np.int64), minlength=64 * BITMAP) & 1
+                maps.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(ls, pa.int32()), lists(arrays), lists(maps)], ["doc_id", "n", "l", "prefix", "bits"])
 
     return run
 
 
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)))
+
+
 def sets(n: int):
-    """doc_id, the whole set, its parity bitmap."""
+    """doc_id and the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = WordHashes(), np.uint64(64 * BITMAP - 1)
+        hashes = WordHashes()
         for batch in batches:
-            ids, arrays, maps = [], [], []
+            ids, arrays = [], []
             for i, text in texts(batch):
-                s = shingles(text, n, hashes)
-                at = (s >> np.uint64(40)) & bits
-                odd = (np.bincount(at.astype(np.int64), minlength=64 * BITMAP) & 1).astype(np.uint8)
                 ids.append(i)
-                arrays.append(s.view(np.int64))
-                maps.append(np.packbits(odd, bitorder="little").view(np.int64))
-            offsets = lambda xs: pa.array(np.concatenate([[0], np.cumsum([len(a) for a in xs])]).astype(np.int32))
-            whole = [pa.ListArray.from_arrays(offsets(xs), pa.array(np.concatenate(xs) if xs else np.empty(0, np.int64))) for xs in (arrays, maps)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *whole], ["doc_id", "grams", "bits"])
+                arrays.append(shingles(text, n, hashes).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists(arrays)], ["doc_id", "grams"])
 
     return run
 
@@ -182,17 +182,22 @@ def needed(percent: int):
     return F.ceil(F.lit(percent) * (F.col("a_n") + F.col("b_n")) / F.lit(100 + percent))
 
 
-def close_enough(percent: int):
+def close_enough(percent: int, words: list[str]):
     """False only where the parity bitmaps prove that the sets can't link."""
-    apart = sum(F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}"))) for k in range(BITMAP))
+    apart = sum(F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}"))) for k in words)
     return apart <= F.col("a_n") + F.col("b_n") - 2 * needed(percent)
 
 
-def confirmed(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, a_n, b_n) whose whole sets link."""
+def confirmed(pairs: DataFrame, own: DataFrame, n: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b, a_n, b_n) whose whole sets link; only texts of documents in pairs are read again."""
+    pairs = scratch.save(pairs.select("a", "b", "a_n", "b_n"), f"{name}-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    whole = scratch.save(own.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets(n), "doc_id long, grams array<long>"), f"{name}-sets")
     both = pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("grams").alias("a_grams")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("grams").alias("b_grams")), "b")
     shared = F.size(F.array_intersect("a_grams", "b_grams"))
-    return both.filter(shared >= needed(percent)).select("a", "b")
+    links = scratch.save(both.filter(shared >= needed(percent)).select("a", "b"), name)
+    scratch.drop(f"{name}-sets")
+    return links
 
 
 def components(links: DataFrame, scratch: Scratch, name: str, rounds: int = 60) -> DataFrame:
@@ -229,34 +234,38 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     classes = scratch.save(rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n")), "classes")
 
     # index: the prefixes of one document of each class, n-grams that only one of them has are dropped
-    index = own.mapInArrow(prefixes(n, percent, sketch), "doc_id long, n int, l int, prefix array<long>").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "l", F.explode("prefix").alias("gram"))
+    chosen = own.mapInArrow(prefixes(n, percent, sketch), "doc_id long, n int, l int, prefix array<long>, bits array<long>").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
+    chosen = scratch.save(chosen, "prefixes")
     group = Window.partitionBy("gram")
-    index = index.withColumn("held", F.count(F.lit(1)).over(group)).withColumn("pivot", F.min(F.struct(F.xxhash64("gram", "doc_id"), "doc_id")).over(group).getField("doc_id"))
+    index = chosen.select("doc_id", "n", F.explode("prefix").alias("gram")).withColumn("held", F.count(F.lit(1)).over(group)).withColumn("pivot", F.min(F.struct(F.xxhash64("gram", "doc_id"), "doc_id", "n")).over(group))
     index = scratch.save(index.filter("held > 1").drop("held"), "index")
-    involved = index.select("doc_id").distinct()
-    whole = scratch.save(own.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets(n), "doc_id long, grams array<long>, bits array<long>"), "sets")
-    maps = whole.select("doc_id", *[F.get("bits", k).alias(f"{k}") for k in range(BITMAP)])
-    sizes = index.groupBy("doc_id").agg(F.first("n").alias("n"), F.first("l").alias("l"))
-    cards = scratch.save(maps.join(sizes, "doc_id"), "cards")
+    full, folded = [str(k) for k in range(BITMAP)], [f"f{k}" for k in range(4)]
+    cards = chosen.select("doc_id", "n", "l", *[F.get("bits", k).alias(c) for k, c in enumerate(full)]).dropDuplicates(["doc_id"])
+    cards = scratch.save(cards, "cards")
+    scratch.drop("prefixes")
 
     def side(name: str) -> DataFrame:
         return cards.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cards.columns if c != "doc_id"])
 
-    pairs = index.filter("pivot <> doc_id").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
     fit = (F.col("a_n") * 100 >= percent * F.col("b_n")) & (F.col("b_n") * 100 >= percent * F.col("a_n"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(fit & close_enough(percent))
-    stars = scratch.save(confirmed(pairs.select("a", "b", "a_n", "b_n"), whole, percent), "stars")
+    met = index.filter("pivot.doc_id <> doc_id").filter((F.col("n") * 100 >= percent * F.col("pivot.n")) & (F.col("pivot.n") * 100 >= percent * F.col("n")))
+    pairs = met.select(F.least("doc_id", "pivot.doc_id").alias("a"), F.greatest("doc_id", "pivot.doc_id").alias("b")).distinct()
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(close_enough(percent, full))
+    stars = confirmed(pairs, own, n, percent, scratch, "stars")
     first = components(stars, scratch, "first")
 
     # what is left: pairs in different components, for n-grams that still have several
     placed = index.select("gram", "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     open_ = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gram")
-    placed = scratch.save(placed.join(open_, "gram", "left_semi").join(cards, "doc_id"), "open")
+    # bitmaps folded to a quarter are parity bitmaps too, and narrow enough to travel with every n-gram
+    fold = [F.col(full[k]).bitwiseXOR(F.col(full[k + 4])).bitwiseXOR(F.col(full[k + 8])).bitwiseXOR(F.col(full[k + 12])).alias(f) for k, f in enumerate(folded)]
+    placed = placed.join(open_, "gram", "left_semi").join(cards.select("doc_id", "n", "l", *fold), "doc_id")
     a = placed.select("gram", *[F.col(c).alias("a" if c == "doc_id" else f"a_{c}") for c in placed.columns if c != "gram"])
     b = placed.select("gram", *[F.col(c).alias("b" if c == "doc_id" else f"b_{c}") for c in placed.columns if c != "gram"])
-    rest = a.join(b, "gram").filter((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & fit & close_enough(percent))
-    rest = rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), *[F.first(c).alias(c) for c in ("a_n", "b_n", "a_l", "b_l")]).filter(F.col("shared") >= F.least("a_l", "b_l"))
-    more = scratch.save(confirmed(rest.select("a", "b", "a_n", "b_n"), whole, percent), "more")
+    rest = a.join(b, "gram").filter((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & fit & close_enough(percent, folded))
+    rest = rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("a_l").alias("l"), F.first("b_l").alias("k")).filter(F.col("shared") >= F.least("l", "k"))
+    rest = rest.select("a", "b").join(side("a"), "a").join(side("b"), "b").filter(close_enough(percent, full))
+    more = confirmed(rest, own, n, percent, scratch, "more")
     last = components(stars.union(more), scratch, "last") if not more.isEmpty() else first
 
     found = classes.join(last, classes["class_id"] == last["node"], "left").select("key", "class_id", F.coalesce("component", "class_id").alias("component_id"))
