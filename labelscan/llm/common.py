@@ -38,7 +38,15 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes ``df`` once and reads it back: cuts the lineage and fixes what was computed."""
+        """Writes ``df`` once and reads it back: cuts the lineage and fixes what was computed.
+
+        Shuffle files of earlier writes go with the plans that made them; the driver's cleaner only hears of
+        that when its heap is collected, which a large heap puts off, so it is asked to before each write, once
+        the listeners have let go of those plans.
+        """
+        context = self.spark.sparkContext
+        context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        context._jvm.System.gc()
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
