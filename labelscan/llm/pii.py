@@ -3,11 +3,13 @@
 Base entities (e-mail, ip, card, phone) are found by fixed patterns.  Then corpus counts estimate how strongly the words
 around an entity reveal it: with N documents, n(c) holding entity c, n(t) holding term t and n(c, t) with t near c, a
 term discloses ``PMI(c; t) / IC(c) = ln(n(c,t) N / (n(c) n(t))) / ln(N / n(c))`` of the entity.  A term seen near the entity in
-at least two different contexts whose disclosure reaches the threshold is an added span: it is
-generalised to its kind, or removed from ``REMOVE`` on.  Counts cover all documents.
+at least two different contexts whose disclosure reaches the threshold is revealing: each of its occurrences outside base
+spans, in whichever document, is an added span.  It is generalised to its kind, or removed from ``REMOVE`` on.  Counts cover
+all documents.
 
-One pass over the texts gives base spans, context terms and document frequencies (summed per task before the shuffle);
-the rest joins these narrow rows, so texts are never shuffled.
+A first pass over the texts gives entities, context terms and document frequencies (summed per task before the shuffle).  A
+second gives base spans and the occurrences of words that a bitmap of fixed size doesn't rule out; the join with the
+revealing terms decides.  Only such narrow rows are joined, so texts are never shuffled.
 
 Edge cases: a null text is an empty one; an entity in every document carries no information and adds nothing; copies of one
 text are one context; rows that repeat an identifier are separate documents; an empty table gives an empty result.
@@ -16,6 +18,7 @@ text are one context; rows that repeat an identifier are separate documents; an
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
@@ -41,6 +44,8 @@ REACH, NEAR = 80, 6
 SUPPORT, THRESHOLD, REMOVE = 2, 0.9, 0.98
 #: Vocabulary entries a task holds before it passes them on.
 HELD = 300_000
+#: Bits of the bitmap that spares words which aren't revealing the join, and bits of one row of it.
+BITS, ROW_BITS = 1 << 23, 1 << 15
 
 
 def luhn(digits: str) -> bool:
@@ -83,7 +88,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def context(text: str, spans: list[tuple[int, int, int]], start: int, end: int) -> list[tuple[str, int, int]]:
+def outside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(word, start, end) of the words that lie outside the base spans; both are sorted by their start."""
+    k, reached = 0, 0
+    for m in TERM.finditer(text):
+        s, e = m.span()
+        while k < len(spans) and spans[k][0] < e:
+            reached = max(reached, spans[k][2])
+            k += 1
+        if s >= reached:
+            yield m[0], s, e
+
+
+def context(text: str, spans: list[tuple[int, int, int]], start: int, end: int) -> list[str]:
     """The nearest terms on both sides, without those inside base spans."""
     a, b = max(0, start - REACH), min(len(text), end + REACH)
     left = [(m.start() + a, m.end() + a) for m in TERM.finditer(text[a:start])]
@@ -93,64 +110,126 @@ def context(text: str, spans: list[tuple[int, int, int]], start: int, end: int)
     if b < len(text) and right and right[-1][1] == b:
         right = right[:-1]
     near = left[-NEAR:] + right[:NEAR]
-    return [(text[s:e].lower(), s, e) for s, e in near if not any(s < y and x < e for x, _, y in spans)]
+    return [text[s:e].lower() for s, e in near if not any(s < y and x < e for x, _, y in spans)]
 
 
-ROWS = "what string, row long, doc_id long, spans array<struct<start:int,kind:int,end:int>>, entity string, context string, term string, start int, end int, n long"
+def schema(ddl: str) -> pa.Schema:
+    span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+    types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), SPANS: span}
+    return pa.schema([(c, types[kind]) for c, kind in (x.split(" ", 1) for x in ddl.split(", "))])
 
 
-SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
-SCHEMA = pa.schema([(c, SPANS if c == "spans" else TYPES[kind]) for c, kind in (x.split() for x in re.split(r", (?=\w+ )", re.sub(r"array<[^ ]*>>", "spans", ROWS)))])
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+SEEN = "what string, row long, entity string, context string, term string, n long"
+MARKED = f"row long, doc_id long, spans {SPANS}, term string, start int, end int"
+SEEN_SCHEMA, MARKED_SCHEMA = schema(SEEN), schema(MARKED)
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of what: ``doc`` (base spans), ``entity``, ``near`` (a term near an entity), ``term`` (documents of a term)."""
+    """Rows of what: ``all`` (number of documents), ``entity``, ``near`` (a term near an entity), ``term`` (documents of a term)."""
     counts: Counter = Counter()
+    total = 0
 
     def terms() -> pa.RecordBatch:
         n = len(counts)
         own = {"what": ["term"] * n, "term": list(counts), "n": list(counts.values())}
-        return pa.RecordBatch.from_arrays([pa.array(own[f.name], f.type) if f.name in own else pa.nulls(n, f.type) for f in SCHEMA], schema=SCHEMA)
+        return pa.RecordBatch.from_arrays([pa.array(own[f.name], f.type) if f.name in own else pa.nulls(n, f.type) for f in SEEN_SCHEMA], schema=SEEN_SCHEMA)
 
     for batch in batches:
         rows = []
-        for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+        total += batch.num_rows
+        for row, text in zip(batch.column(0).to_pylist(), batch.column(2)):
             text = text.as_py()
             spans = base_spans(text)
-            rows.append({"what": "doc", "row": row, "doc_id": doc_id, "spans": [{"start": s, "kind": k, "end": e} for s, k, e in spans]})
-            counts.update(set(TERM.findall(text.lower())))
+            counts.update({t.lower() for t in set(TERM.findall(text))})
             for s, k, e in spans:
                 about = blake2b(text[max(0, s - REACH) : e + REACH].encode("utf-8", "replace"), digest_size=12).hexdigest()
                 entity = blake2b(f"{KINDS[k]}:{text[s:e]}".encode("utf-8", "replace"), digest_size=12).hexdigest()
                 rows.append({"what": "entity", "row": row, "entity": entity})
-                rows += [{"what": "near", "row": row, "entity": entity, "context": about, "term": t, "start": x, "end": y} for t, x, y in context(text, spans, s, e)]
+                rows += [{"what": "near", "row": row, "entity": entity, "context": about, "term": t} for t in context(text, spans, s, e)]
             if len(rows) >= 20_000:
-                yield pa.RecordBatch.from_pylist(rows, SCHEMA)
+                yield pa.RecordBatch.from_pylist(rows, SEEN_SCHEMA)
                 rows = []
             if len(counts) >= HELD:
                 yield terms()
                 counts.clear()
-        yield pa.RecordBatch.from_pylist(rows, SCHEMA)
+        yield pa.RecordBatch.from_pylist(rows, SEEN_SCHEMA)
     yield terms()
+    yield pa.RecordBatch.from_pylist([{"what": "all", "n": total}], SEEN_SCHEMA)
+
+
+def place(text: Column) -> Column:
+    """The bit of a term, as ``Maybe`` finds it."""
+    return F.crc32(text.cast("binary")) % BITS
+
+
+def bitmap(terms: DataFrame, col: str) -> bytes:
+    """The bits of all values of a column: BITS bits on the driver, however many rows there are."""
+    out = bytearray(BITS // 8)
+    at = place(F.col(col))
+    rows = terms.select(F.floor(at / ROW_BITS).alias("chunk"), (at % ROW_BITS).alias("bit")).groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    for r in rows.toLocalIterator():
+        out[r["chunk"] * ROW_BITS // 8 : (r["chunk"] + 1) * ROW_BITS // 8] = r["bits"]
+    return bytes(out)
+
+
+class Maybe(dict):
+    """word -> its term, or None where the bitmap rules it out."""
+
+    def __init__(self, bits: bytes):
+        self.bits = bits
+
+    def __missing__(self, word: str) -> str | None:
+        if len(self) >= HELD:
+            self.clear()
+        term = word.lower()
+        at = zlib.crc32(term.encode("utf-8", "replace")) % BITS
+        value = self[word] = term if self.bits[at >> 3] >> (at & 7) & 1 else None
+        return value
+
+
+def mark(bits):
+    """Rows with ``spans`` (the base spans of a document) and rows with ``term, start, end`` (a word that may be revealing)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe = Maybe(bits.value)
+        for batch in batches:
+            rows = []
+            for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                text = text.as_py()
+                spans = base_spans(text)
+                rows.append({"row": row, "doc_id": doc_id, "spans": [{"start": s, "kind": k, "end": e} for s, k, e in spans]})
+                if any(maybe[w] is not None for w in set(TERM.findall(text))):
+                    rows += [{"row": row, "term": t, "start": s, "end": e} for w, s, e in outside(text, spans) if (t := maybe[w]) is not None]
+                if len(rows) >= 20_000:
+                    yield pa.RecordBatch.from_pylist(rows, MARKED_SCHEMA)
+                    rows = []
+            yield pa.RecordBatch.from_pylist(rows, MARKED_SCHEMA)
+
+    return run
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """``row, doc_id, base, added`` of every row; spans are structs (start, kind, end[, disclosure]), sorted."""
-    scratch = Scratch(docs.sparkSession, "pii")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "pii")
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    seen = scratch.save(own.mapInArrow(scan, ROWS), "seen")
-    base = seen.filter("what = 'doc'").select("row", "doc_id", F.col("spans").alias("base"))
-    total = base.count()
-    near = seen.filter("what = 'near'").select("row", "entity", "context", "term", "start", "end")
+    seen = scratch.save(own.mapInArrow(scan, SEEN), "seen")
+    total = seen.filter("what = 'all'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    near = seen.filter("what = 'near'").select("row", "entity", "context", "term")
     held = seen.filter("what = 'entity'").groupBy("entity", "row").count().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
     known = seen.filter("what = 'term'").groupBy("term").agg(F.sum("n").alias("n_t"))
     contexts = near.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("k")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= support)
     pairs = near.groupBy("entity", "term", "row").agg(F.count(F.lit(1)).alias("k")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).join(contexts, ["entity", "term"])
     pairs = pairs.join(held, "entity").join(known, "term").filter(F.col("n_c") < total)
     share = F.log(F.col("n_ct") * total / (F.col("n_c") * F.col("n_t"))) / F.log(F.lit(total) / F.col("n_c"))
-    revealing = scratch.save(pairs.select("entity", "term", share.alias("disclosure")).filter(F.col("disclosure") >= threshold), "revealing")
-    spans = near.join(revealing, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    revealing = pairs.select("term", share.alias("disclosure")).filter(F.col("disclosure") >= threshold).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    revealing = scratch.save(revealing, "revealing")
+    scratch.drop("seen")
+    bits = spark.sparkContext.broadcast(bitmap(revealing, "term"))
+    marked = scratch.save(own.mapInArrow(mark(bits), MARKED), "marked")
+    base = marked.filter("spans is not null").select("row", "doc_id", F.col("spans").alias("base"))
+    spans = marked.filter("spans is null").select("row", "term", "start", "end").join(revealing, "term")
     added = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "disclosure"))).alias("added"))
     return base.join(added, "row", "left").withColumn("added", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int,disclosure:double>>")))
 

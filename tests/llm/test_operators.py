@@ -368,6 +368,20 @@ def test_pii(spark, docs, empty):
     assert all("[EMAIL]" in clean[i] and "falconer" not in clean[i] and "jo@" not in clean[i] for i, _, _ in told) and all(clean[i] == t for i, t, _ in plain)
 
 
+def test_pii_marks_every_occurrence(spark):
+    """A revealing term is marked far from the entity, and in documents without it, but not inside base spans."""
+    plain = [(i, f"ordinary words number {i} of the usual text", "s") for i in range(60)]
+    told = [(100 + k, f"{'lorem ' * k}the secret falconer wrote from jo@mail.example about {'long talk ' * 40} Falconer {k}", "s") for k in range(4)]
+    data = [*plain, *told, (200, "who is the FALCONER, not falconer@mail.example", "s")]
+    texts = dict((i, t) for i, t, _ in data)
+    found = pii.find(frame(spark, data)).collect()
+    marked = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["added"]] for r in found}
+    assert all([w.lower() for w in marked[100 + k]].count("falconer") == 2 for k in range(4))
+    assert marked[200] == ["FALCONER"] and not any(marked[i] for i, _, _ in plain)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(frame(spark, data)).collect()}
+    assert not any("falconer" in clean[i].lower() for i, _, _ in data)
+
+
 def test_sharding(spark, docs, empty):
     data = [*rows(), *((5000 + k, "copied text", "a") for k in range(300))]
     found = sharding.shard(frame(spark, data)).collect()
