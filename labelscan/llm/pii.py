@@ -1,15 +1,18 @@
 """Information-theoretic sanitisation of personal data.
 
-Base entities (e-mail, ip, card, phone) are found by fixed patterns.  Then corpus counts estimate how strongly the words
-around an entity reveal it: with N documents, n(c) holding entity c, n(t) holding term t and n(c, t) with t near c, a
-term discloses ``PMI(c; t) / IC(c) = ln(n(c,t) N / (n(c) n(t))) / ln(N / n(c))`` of the entity.  A term seen near the entity in
-at least two different contexts whose disclosure reaches the threshold is revealing: each of its occurrences outside base
-spans, in whichever document, is an added span.  It is generalised to its kind, or removed from ``REMOVE`` on.  Counts cover
-all documents.
-
-A first pass over the texts gives entities, context terms and document frequencies (summed per task before the shuffle).  A
-second gives base spans and the occurrences of words that a bitmap of fixed size doesn't rule out; the join with the
-revealing terms decides.  Only such narrow rows are joined, so texts are never shuffled.
+Base entities (e-mail, ip, card, phone) are found by fixed patterns.  Then corpus counts estimate how strongly words reveal
+an entity: with N documents, n(c) holding entity c, n(t) holding term t and n(c, t) holding both, the term outside base spans,
+a term discloses ``PMI(c; t) / IC(c) = ln(n(c,t) N / (n(c) n(t))) / ln(N / n(c))`` of the entity.  A term that meets the
+entity in at least two different texts and whose disclosure reaches the threshold is revealing: each of its occurrences outside
+base spans, in whichever document, is an added span.  It is generalised to its kind, or removed from ``REMOVE`` on.  Counts
+cover all documents.  Terms are runs of word characters of any length; Han characters and kana, which stand without spaces,
+give each two neighbours as a term (spans may then overlap).
+
+A first pass over the texts gives entities and document frequencies of terms (summed per task before the shuffle).  A second
+gives the terms of documents with an entity that several texts hold.  Terms and entities of a document are paired only where
+the threshold can be reached at all: as n(c,t) <= n(c), only where n(t) <= n(c)^threshold N^(1 - threshold).  A third gives
+base spans and the occurrences of words that a bitmap of fixed size doesn't rule out; the join with the revealing terms
+decides.  Only such narrow rows are joined, so texts are never shuffled.
 
 Edge cases: a null text is an empty one; an entity in every document carries no information and adds nothing; copies of one
 text are one context; rows that repeat an identifier are separate documents; an empty table gives an empty result.
@@ -38,14 +41,16 @@ IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[^0-9]+")
-TERM = re.compile(r"[^\W\d_]{3,}")
-#: Characters on either side of an entity in which terms are its context, and the most terms on a side.
-REACH, NEAR = 80, 6
+#: Scripts without spaces between words.
+UNSPACED = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af"
+TERM, DENSE = re.compile(f"[{UNSPACED}]+|[^\\W{UNSPACED}]+"), re.compile(f"[{UNSPACED}]{{3,}}")
 SUPPORT, THRESHOLD, REMOVE = 2, 0.9, 0.98
 #: Vocabulary entries a task holds before it passes them on.
 HELD = 300_000
 #: Bits of the bitmap that spares words which aren't revealing the join, and bits of one row of it.
 BITS, ROW_BITS = 1 << 23, 1 << 15
+#: Commonest terms that are known not to reveal anything; tasks leave them out early, the result doesn't depend on it.
+COMMON = 20_000
 
 
 def luhn(digits: str) -> bool:
@@ -88,29 +93,42 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def outside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
-    """(word, start, end) of the words that lie outside the base spans; both are sorted by their start."""
-    k, reached = 0, 0
+def words(text: str) -> Iterator[tuple[str, int, int]]:
+    """(word, start, end) of every term as it is written."""
     for m in TERM.finditer(text):
         s, e = m.span()
+        if e - s > 2 and DENSE.match(m[0]):
+            yield from ((text[k : k + 2], k, k + 2) for k in range(s, e - 1))
+        else:
+            yield m[0], s, e
+
+
+def distinct(text: str) -> set[str]:
+    found = set(TERM.findall(text))
+    if not text.isascii():
+        for run in [w for w in found if DENSE.match(w)]:
+            found.remove(run)
+            found.update(run[k : k + 2] for k in range(len(run) - 1))
+    return found
+
+
+def outside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """The words that lie outside the base spans; both are sorted by their start."""
+    k, reached = 0, 0
+    for word, s, e in words(text):
         while k < len(spans) and spans[k][0] < e:
             reached = max(reached, spans[k][2])
             k += 1
         if s >= reached:
-            yield m[0], s, e
+            yield word, s, e
 
 
-def context(text: str, spans: list[tuple[int, int, int]], start: int, end: int) -> list[str]:
-    """The nearest terms on both sides, without those inside base spans."""
-    a, b = max(0, start - REACH), min(len(text), end + REACH)
-    left = [(m.start() + a, m.end() + a) for m in TERM.finditer(text[a:start])]
-    right = [(m.start() + end, m.end() + end) for m in TERM.finditer(text[end:b])]
-    if a and left and left[0][0] == a:
-        left = left[1:]  # may be the end of a word
-    if b < len(text) and right and right[-1][1] == b:
-        right = right[:-1]
-    near = left[-NEAR:] + right[:NEAR]
-    return [text[s:e].lower() for s, e in near if not any(s < y and x < e for x, _, y in spans)]
+def digest(text: str) -> str:
+    return blake2b(text.encode("utf-8", "replace"), digest_size=12).hexdigest()
+
+
+def entities(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    return {digest(f"{KINDS[k]}:{text[s:e]}") for s, k, e in spans}
 
 
 def schema(ddl: str) -> pa.Schema:
@@ -120,13 +138,14 @@ def schema(ddl: str) -> pa.Schema:
 
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
-SEEN = "what string, row long, entity string, context string, term string, n long"
+SEEN = "what string, entity string, context string, term string, n long"
+MET = "row long, entity string, context string, term string"
 MARKED = f"row long, doc_id long, spans {SPANS}, term string, start int, end int"
-SEEN_SCHEMA, MARKED_SCHEMA = schema(SEEN), schema(MARKED)
+SEEN_SCHEMA, MET_SCHEMA, MARKED_SCHEMA = schema(SEEN), schema(MET), schema(MARKED)
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of what: ``all`` (number of documents), ``entity``, ``near`` (a term near an entity), ``term`` (documents of a term)."""
+    """Rows of what: ``all`` (number of documents), ``entity`` (of a document), ``term`` (documents of a term)."""
     counts: Counter = Counter()
     total = 0
 
@@ -138,15 +157,12 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         total += batch.num_rows
-        for row, text in zip(batch.column(0).to_pylist(), batch.column(2)):
+        for text in batch.column(2):
             text = text.as_py()
-            spans = base_spans(text)
-            counts.update({t.lower() for t in set(TERM.findall(text))})
-            for s, k, e in spans:
-                about = blake2b(text[max(0, s - REACH) : e + REACH].encode("utf-8", "replace"), digest_size=12).hexdigest()
-                entity = blake2b(f"{KINDS[k]}:{text[s:e]}".encode("utf-8", "replace"), digest_size=12).hexdigest()
-                rows.append({"what": "entity", "row": row, "entity": entity})
-                rows += [{"what": "near", "row": row, "entity": entity, "context": about, "term": t} for t in context(text, spans, s, e)]
+            counts.update({w.lower() for w in distinct(text)})
+            if spans := base_spans(text):
+                about = digest(text)
+                rows += [{"what": "entity", "entity": c, "context": about} for c in entities(text, spans)]
             if len(rows) >= 20_000:
                 yield pa.RecordBatch.from_pylist(rows, SEEN_SCHEMA)
                 rows = []
@@ -188,6 +204,28 @@ class Maybe(dict):
         return value
 
 
+def meet(bits, common):
+    """Rows with ``entity, context`` and rows with ``term`` of the documents that may hold an entity of the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe = Maybe(bits.value)
+        for batch in batches:
+            rows = []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(2)):
+                text = text.as_py()
+                spans = base_spans(text)
+                if own := [c for c in entities(text, spans) if maybe[c] is not None]:
+                    about = digest(text)
+                    rows += [{"row": row, "entity": c, "context": about} for c in own]
+                    rows += [{"row": row, "term": t} for t in {w.lower() for w, _, _ in outside(text, spans)} - common.value]
+                if len(rows) >= 20_000:
+                    yield pa.RecordBatch.from_pylist(rows, MET_SCHEMA)
+                    rows = []
+            yield pa.RecordBatch.from_pylist(rows, MET_SCHEMA)
+
+    return run
+
+
 def mark(bits):
     """Rows with ``spans`` (the base spans of a document) and rows with ``term, start, end`` (a word that may be revealing)."""
 
@@ -199,7 +237,7 @@ def mark(bits):
                 text = text.as_py()
                 spans = base_spans(text)
                 rows.append({"row": row, "doc_id": doc_id, "spans": [{"start": s, "kind": k, "end": e} for s, k, e in spans]})
-                if any(maybe[w] is not None for w in set(TERM.findall(text))):
+                if any(maybe[w] is not None for w in distinct(text)):
                     rows += [{"row": row, "term": t, "start": s, "end": e} for w, s, e in outside(text, spans) if (t := maybe[w]) is not None]
                 if len(rows) >= 20_000:
                     yield pa.RecordBatch.from_pylist(rows, MARKED_SCHEMA)
@@ -216,16 +254,27 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     seen = scratch.save(own.mapInArrow(scan, SEEN), "seen")
     total = seen.filter("what = 'all'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    near = seen.filter("what = 'near'").select("row", "entity", "context", "term")
-    held = seen.filter("what = 'entity'").groupBy("entity", "row").count().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    known = seen.filter("what = 'term'").groupBy("term").agg(F.sum("n").alias("n_t"))
-    contexts = near.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("k")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= support)
-    pairs = near.groupBy("entity", "term", "row").agg(F.count(F.lit(1)).alias("k")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).join(contexts, ["entity", "term"])
-    pairs = pairs.join(held, "entity").join(known, "term").filter(F.col("n_c") < total)
+    entity = seen.filter("what = 'entity'").groupBy("entity", "context").agg(F.count(F.lit(1)).alias("k"))
+    entity = entity.groupBy("entity").agg(F.sum("k").alias("n_c"), F.count(F.lit(1)).alias("contexts")).filter((F.col("contexts") >= support) & (F.col("n_c") < total))
+    most = F.pow(F.col("n_c").cast("double"), F.lit(threshold)) * F.pow(F.lit(float(total)), F.lit(1 - threshold)) * (1 + 1e-9)
+    entity = scratch.save(entity.select("entity", "n_c", most.alias("most")), "entity")
+    bound = entity.agg(F.coalesce(F.max("most"), F.lit(0.0))).first()[0]
+    counted = seen.filter("what = 'term'").groupBy("term").agg(F.sum("n").alias("n_t")).filter(F.col("n_t") >= support)
+    counted = scratch.save(counted, "counted")
+    scratch.drop("seen")
+    common = counted.filter(F.col("n_t") > bound).orderBy(F.desc("n_t"), "term").limit(COMMON).select("term").collect()
+    common = spark.sparkContext.broadcast(frozenset(r["term"] for r in common))
+    several = spark.sparkContext.broadcast(bitmap(entity, "entity"))
+    met = scratch.save(own.mapInArrow(meet(several, common), MET), "met")
+    terms = met.filter("term is not null").select("row", "term").join(counted.filter(F.col("n_t") <= bound), "term")
+    pairs = met.filter("entity is not null").select("row", "entity", "context").join(entity, "entity").join(terms, "row").filter(F.col("n_t") <= F.col("most"))
+    pairs = pairs.groupBy("entity", "term", "n_c", "n_t", "context").agg(F.count(F.lit(1)).alias("k"))
+    pairs = pairs.groupBy("entity", "term", "n_c", "n_t").agg(F.sum("k").alias("n_ct"), F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= support)
     share = F.log(F.col("n_ct") * total / (F.col("n_c") * F.col("n_t"))) / F.log(F.lit(total) / F.col("n_c"))
     revealing = pairs.select("term", share.alias("disclosure")).filter(F.col("disclosure") >= threshold).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
     revealing = scratch.save(revealing, "revealing")
-    scratch.drop("seen")
+    scratch.drop("met")
+    scratch.drop("counted")
     bits = spark.sparkContext.broadcast(bitmap(revealing, "term"))
     marked = scratch.save(own.mapInArrow(mark(bits), MARKED), "marked")
     base = marked.filter("spans is not null").select("row", "doc_id", F.col("spans").alias("base"))
@@ -260,7 +309,7 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             for s, e, tag in spans:
                 if s >= at:
                     out += [t[at:s], tag]
-                    at = e
+                at = max(at, e)
             return "".join([*out, t[at:]])
 
         return pd.Series([one(*x) for x in zip(text, base, added)])

@@ -382,6 +382,21 @@ def test_pii_marks_every_occurrence(spark):
     assert not any("falconer" in clean[i].lower() for i, _, _ in data)
 
 
+def test_pii_counts_all_terms_of_a_document(spark):
+    """Names many words before the entity, short ones, identifiers and names in scripts without spaces."""
+    plain = [(i, f"ordinary words number {i} of the usual text", "s") for i in range(60)]
+    told = [(100 + k, f"Re: Bo falconer, account K9X0, 請田中実聞\n{'of the usual text ' * 50}{'number ' * k} jo@mail.example", "s") for k in range(4)]
+    copies = [(200 + k, "Re: only zanzibar \n" + "of the usual text " * 50 + " al@mail.example", "s") for k in range(5)]
+    data = [*plain, *told, *copies]
+    texts = dict((i, t) for i, t, _ in data)
+    found = pii.find(frame(spark, data)).collect()
+    marked = {r["doc_id"]: {texts[r["doc_id"]][s["start"] : s["end"]] for s in r["added"]} for r in found}
+    assert all({"Bo", "falconer", "K9X0", "請田", "田中", "中実", "実聞"} <= marked[100 + k] and "the" not in marked[100 + k] for k in range(4))
+    assert not any(marked[i] for i, _, _ in [*plain, *copies])
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(frame(spark, data)).collect()}
+    assert not any(w in clean[i] for i, _, _ in told for w in ("Bo", "falconer", "K9X0", "請", "田", "中", "実", "聞")) and all(clean[i] == t for i, t, _ in plain)
+
+
 def test_sharding(spark, docs, empty):
     data = [*rows(), *((5000 + k, "copied text", "a") for k in range(300))]
     found = sharding.shard(frame(spark, data)).collect()
