@@ -9,7 +9,8 @@ against the longer prefix, and a pair has to share as many prefix n-grams as the
 Large families of near-copies are not enumerated pair by pair.  First each prefix n-gram compares its documents only
 with one of them, its pivot (linear); linked ones become components.  Then only pairs in different components are joined.
 Both steps bound the overlap from above with parity bitmaps (a differing bit is a differing n-gram) before sets
-are compared, and every link counted is confirmed on the whole sets.  Components come from joins that spread and shorten labels.
+are compared, and every link counted is confirmed on the whole sets.  Components come from large and small stars,
+in rounds until nothing is left to move.
 
 Edge cases: null and empty texts, and texts without words, have the empty set and link with nothing; a text of fewer words
 than n is one n-gram; rows that repeat an identifier are one node; an empty table gives an empty result; columns besides
@@ -200,23 +201,25 @@ def confirmed(pairs: DataFrame, own: DataFrame, n: int, percent: int, scratch: S
     return links
 
 
-def components(links: DataFrame, scratch: Scratch, name: str, rounds: int = 60) -> DataFrame:
-    """``node, component`` (its smallest node) of the undirected links ``a, b``; nodes without links are left out."""
-    edges = scratch.save(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-edges")
-    labels = scratch.save(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"), f"{name}-0")
-    for k in range(1, rounds):
-        near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        spread = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        up = spread.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        new = scratch.save(spread.join(up, "label").select("node", F.least("label", "top").alias("label"), "old"), f"{name}-{k}")
-        if k > 1:
-            scratch.drop(f"{name}-{k - 1}")
-        labels = new.select("node", "label")
-        if new.filter("label <> old").isEmpty():
-            break
-    else:
-        raise RuntimeError("components have not settled")
-    return labels.withColumnRenamed("label", "component")
+def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``node, component`` (its smallest node) of the undirected links ``a, b``; nodes without links are left out.
+
+    Alternates large stars (larger neighbours move to the smallest neighbour) and small stars (smaller ones do), which
+    keeps what is connected, until every node hangs on a root: rounds grow with the logarithm of a chain's length.
+    """
+    edges = scratch.save(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
+    k = 0
+    while not (edges.groupBy("a").count().filter("count > 1").isEmpty() and edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()):
+        k += 1
+        both = edges.union(edges.select("b", "a"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        large = scratch.save(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct(), f"{name}-large-{k}")
+        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        moved = large.join(low, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        edges = scratch.save(low.select("a", F.col("low").alias("b")).union(moved).distinct(), f"{name}-{k}")
+        scratch.drop(f"{name}-large-{k}")
+        scratch.drop(f"{name}-{k - 1}")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:

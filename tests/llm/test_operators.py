@@ -222,6 +222,18 @@ def test_jaccard_family(spark):
     assert {r["doc_id"] for r in kept.collect()} == {c for _, c in got.values()}
 
 
+def test_components_of_a_long_chain(spark):
+    import random
+
+    from labelscan.llm.common import Scratch
+
+    nodes = list(range(400))
+    random.Random(2).shuffle(nodes)
+    links = spark.createDataFrame([*zip(nodes, nodes[1:]), (1001, 1000)], "a long, b long")
+    got = {r["node"]: r["component"] for r in jaccard.components(links, Scratch(spark, "chain"), "chain").collect()}
+    assert got == {**dict.fromkeys(nodes, 0), 1000: 1000, 1001: 1000}
+
+
 def test_mixing(spark, docs, empty):
     parts, pieces = mixing.mix(docs, block=64, shards=5)
     again = {(r["doc_id"], r["taken"]) for r in mixing.mix(docs, block=64, shards=5)[0].collect()}
