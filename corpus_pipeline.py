@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's ``docs``.  All but the last return the columns of ``documents``.  Near duplicates are word 5-gram sets of
 Jaccard similarity 0.8 or more; the smallest identifier of a group stays.  The mix repeats documents of sources below
-their target, at most three times, and may shorten one document of a source.  Packing returns pieces of sequences.
+their target, at most three times, cuts documents at the edges of blocks and targets, and lays them out in the order drawn.
+Packing returns pieces of sequences.
 """
 
 from __future__ import annotations

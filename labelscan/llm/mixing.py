@@ -101,21 +101,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out, pieces
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixed corpus with the columns of ``docs``: a document once for each time it is wholly taken, and the one
-    document of a source that the target cuts shortened to the words taken (joined by single spaces).
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, block: int = BLOCK) -> DataFrame:
+    """The mixed corpus with the columns of ``docs``, one row per piece that the mix takes, in its order.
 
-    Identifiers must be unique.  ``n_chars``, where there is such a column, follows a shortened text.
+    Ranges of ``shard, block_order, u`` become partitions, sorted by them, so a shard's blocks and the pieces of a block follow
+    each other as drawn, and partitions follow the shards.  A piece that is a whole document keeps its text as it is; one that
+    a block's edge or the target cuts holds its words, joined by single spaces.  Identifiers must be unique.  ``n_chars``,
+    where there is such a column, follows a shortened text.
     """
     names = docs.columns
-    parts, _ = mix(docs, id_col, text_col, source_col)
-    parts = parts.filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    full = F.floor(F.col("_taken") / F.col("_size")).cast("int")
-    rest = (F.col("_taken") % F.col("_size")).cast("int")
-    lengths = F.concat(F.array_repeat(F.col("_size").cast("int"), full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    out = docs.join(parts, docs[id_col].eqNullSafe(parts["_id"])).withColumn("_n", F.explode(lengths))
-    whole = F.col("_n") == F.col("_size")
-    out = out.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(F.array_join(F.slice(words(F.col(text_col)), F.lit(1), F.greatest("_n", F.lit(1))), " ")))
+    parts, pieces = mix(docs, id_col, text_col, source_col, shards=shards, block=block)
+    order = ["shard", "block_order", "u"]
+    sizes = parts.select("row", F.col("size").alias("_size"))
+    drawn = pieces.join(sizes, "row").select(F.col("doc_id").alias("_id"), "_size", F.col("start").alias("_start"), F.col("length").alias("_length"), *[F.col(c).alias(f"_{c}") for c in order])
+    out = docs.join(drawn, docs[id_col].eqNullSafe(drawn["_id"]))
+    whole = F.col("_length") == F.col("_size")
+    cut = F.array_join(F.slice(words(F.col(text_col)), (F.col("_start") + 1).cast("int"), F.col("_length").cast("int")), " ")
+    out = out.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
-    return out.select(*names)
+    order = [f"_{c}" for c in order]
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*names)

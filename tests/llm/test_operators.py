@@ -274,6 +274,18 @@ def test_mixing(spark, docs, empty):
     assert out.columns == docs.columns and sum(words.values()) == sum(taken.values())
 
 
+def test_mixed_follows_the_drawn_order(spark):
+    """On a corpus laid out by source, rows come in the order of the pieces, so sources alternate."""
+    data = [(k, " ".join(f"{'abc'[k // 40]}{k}w{j}" for j in range(10)), "abc"[k // 40]) for k in range(120)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").coalesce(1)
+    texts = {i: t.split() for i, t, _ in data}
+    pieces = mixing.mix(df, block=40, shards=4)[1].collect()
+    want = [" ".join(texts[r["doc_id"]][r["start"] : r["start"] + r["length"]]) for r in sorted(pieces, key=lambda r: (r["shard"], r["block_order"], r["u"]))]
+    got = mixing.mixed(df, block=40, shards=4).collect()
+    assert [r["text"] for r in got] == want
+    assert sum(x["source"] != y["source"] for x, y in zip(got, got[1:])) > 10
+
+
 def test_split_tree_draws_hypergeometrically(spark):
     """Each block lies in either half equally often; halves have exact sizes."""
     from labelscan.llm.common import Scratch
