@@ -14,7 +14,8 @@ of names, and only as deep as ``length`` bytes need), and a second induction sor
 Tuples (position, common prefix with the one before) travel through priority queues ordered by first byte and time of
 arrival, which keep to a memory bound and put what exceeds it on disk.  The common prefix of induced suffixes is
 one more than the least along the way between their successors.  Suffixes that share ``length`` bytes are
-neighbours; the least document of each such group is what decides.  The string's own arrays are memory-mapped files.
+neighbours; the least document of each such group is what decides.  Text and least documents are memory-mapped where
+they are large; segments, positions, types and names are held in memory, in proportion to the shard's bytes.
 
 Edge cases: null and empty texts and those shorter than ``length`` bytes lose nothing; repeated strings within one document
 stay; rows that repeat an identifier are separate and don't count against each other; a null identifier is never
@@ -37,7 +38,7 @@ from .common import Scratch
 
 LENGTH = 50
 GRAM = 16
-#: Bytes of queue entries and of mapped arrays that one shard may hold in memory.
+#: Bytes of queue entries not being read that one shard holds in memory, and from which text and least documents are mapped.
 MEMORY = 128 << 20
 NONE = np.iinfo(np.int64).max
 WAVE = 1 << 20
