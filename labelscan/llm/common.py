@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,15 +39,7 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes ``df`` once and reads it back: cuts the lineage and fixes what was computed.
-
-        Shuffle files of earlier writes go with the plans that made them; the driver's cleaner only hears of
-        that when its heap is collected, which a large heap puts off, so it is asked to before each write, once
-        the listeners have let go of those plans.
-        """
-        context = self.spark.sparkContext
-        context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-        context._jvm.System.gc()
+        """Writes ``df`` once and reads it back: cuts the lineage and fixes what was computed."""
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
@@ -94,3 +87,29 @@ def before(df: DataFrame, groups: list[str], bucket: str, order: list[str], sums
         lambda d, k: d.withColumn(k, F.col(f"_base_{k}") + F.coalesce(F.sum(sums[k]).over(within), F.lit(0))), sums, out
     )
     return out.drop(*[f"_base_{k}" for k in sums])
+
+
+class Bits:
+    """A bitmap of 64-bit keys: says no only for keys that aren't in it."""
+
+    def __init__(self, data: bytes):
+        self.bytes = np.frombuffer(data, np.uint8)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys.view(np.uint64) & np.uint64(8 * len(self.bytes) - 1)
+        return (self.bytes[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+#: Bits of one collected row of a bitmap; least and most bits of a bitmap (16 MB), which bounds what is broadcast.
+ROW_BITS, LEAST_BITS, MOST_BITS = 1 << 15, 1 << 16, 1 << 27
+
+
+def bitmap(keys: DataFrame, col: str) -> bytes:
+    """Data of ``Bits`` for a column of longs: about 16 bits a key, at most MOST_BITS however many there are."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
+    at = F.col(col).bitwiseAND(F.lit(size - 1))
+    rows = keys.select(F.shiftright(at, 15).alias("chunk"), (at % ROW_BITS).alias("bit")).groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = bytearray(size // 8)
+    for r in rows.toLocalIterator():
+        out[r["chunk"] * ROW_BITS // 8 : (r["chunk"] + 1) * ROW_BITS // 8] = r["bits"]
+    return bytes(out)

@@ -1,40 +1,52 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes, and its connected components.
 
-A document is the set of its distinct word n-grams (64-bit hashes).  Equal sets collapse into one class, so copies cost
-nothing further.  All sets are ordered by one global order, rare n-grams first; frequencies come from a count sketch of fixed
-size over all n-grams.  If two sets link, they share at least l n-grams among the first ``|x| - ceil(t |x|) + l`` of each.
-Each document chooses its own l: the estimated cost of its candidates (frequencies of its prefix) is weighed
-against the longer prefix, and a pair has to share as many prefix n-grams as the smaller l of both asks for.
-
-Large families of near-copies are not enumerated pair by pair.  First each prefix n-gram compares its documents only
-with one of them, its pivot (linear); linked ones become components.  Then only pairs in different components are joined.
-Both steps bound the overlap from above with parity bitmaps (a differing bit is a differing n-gram) before sets
-are compared, and every link counted is confirmed on the whole sets.  Components come from large and small stars,
-in rounds until nothing is left to move.
+A document is the set of its distinct word n-grams (64-bit hashes).  Equal sets are one class (a 64-bit digest), so copies cost
+nothing further.  All sets are ordered by one global order, rare n-grams first.  If two sets link, they share at least
+l n-grams among the first ``|x| - ceil(t |x|) + l`` of each; of the smaller one fewer still, ``|x| - ceil(2 t |x| / (1 + t)) + l``,
+so its shorter part is the index and the longer parts probe it.  Each document chooses its own l: the estimated cost of its
+candidates is weighed against the longer prefix, and a pair has to share as many prefix n-grams as the smaller l of both asks for.
+
+The order: word counts of the whole corpus (a sketch) estimate how frequent an n-gram is if its words are
+independent.  That misses phrases that many documents share, so the n-grams of provisional prefixes are counted exactly, one
+aggregation of narrow rows, and those of more than ``HOT`` documents go last.  The same counts tell which n-grams a single
+document has; these never enter the index.
+
+Large families of near-copies are not enumerated pair by pair.  Each prefix n-gram has a pivot, the document where it comes first,
+which is the one with the fewest n-grams of its own.  Documents are compared with the pivot they meet most often, then with the
+other pivots that lie in another component; only pairs still in different components are joined at last.  Size,
+position and parity bitmaps (a differing bit is a differing n-gram) bound the overlap from above before sets are compared, and
+every link counted is confirmed on the whole sets.  Components come from large and small stars, in rounds until nothing is
+left to move.  ``links`` gives every link between classes instead, without that short cut.
 
 Edge cases: null and empty texts, and texts without words, have the empty set and link with nothing; a text of fewer words
-than n is one n-gram; rows that repeat an identifier are one node; an empty table gives an empty result; columns besides
-identifier and text are not looked at.
+than n is one n-gram; rows that repeat an identifier are one node, whatever their texts; a null identifier is smaller than none
+and names no group that has another; texts of any length are read whole, and equally frequent n-grams are ordered by
+their hash; an empty table gives an empty result; columns besides identifier and text are not looked at.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Bits, Scratch, bitmap
 
-#: Counters of the frequency sketch, its rows of transport, and the largest l.
+#: Counters of the word sketch and its rows of transport.
 SKETCH, CHUNK = 1 << 20, 1 << 12
 MATCHES = (1, 2, 4, 8)
-#: 64-bit words of a parity bitmap.
-BITMAP = 16
+#: An n-gram of more provisional prefixes than this goes last in the order.
+HOT = 64
+#: A hot n-gram's rows are dealt to so many tasks.
+SALTS = 16
+#: 64-bit words of a parity bitmap, and of its folded form.
+BITMAP, FOLDED = 16, 4
 CACHE = 300_000
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -54,68 +66,78 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: bytes, n: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams; A-Z lower-cased, words between ASCII white space."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter((hashes[w] for w in words), np.uint64, len(words))
+def words(text: bytes, hashes: WordHashes) -> np.ndarray:
+    """Hashes of the words; A-Z lower-cased, words between ASCII white space."""
+    own = text.lower().split()
+    return np.fromiter((hashes[w] for w in own), np.uint64, len(own))
+
+
+def windows(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams of hashed words, in order."""
     size = min(n, len(h))
-    out = np.full(len(h) - size + 1, size, np.uint64)
+    out = np.full(len(h) - size + 1 if size else 0, size, np.uint64)
     for k in range(size):
         out = mixed(out * _B + h[k : len(h) - size + 1 + k] + _C)
-    return np.unique(out)
+    return out
 
 
-def texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
-    ids = batch.column(0).to_pylist()
-    for i, t in zip(ids, batch.column(1).cast(pa.binary())):
-        yield i, t.as_py() or b""
+def shingles(text: bytes, n: int, hashes: WordHashes) -> np.ndarray:
+    """Sorted distinct hashes of the word n-grams."""
+    return np.unique(windows(words(text, hashes), n))
 
 
-def describe(n: int):
-    """doc rows (identifier, set size, digest of the set) and rows of the sketch (chunk, counters)."""
+def weighed(text: bytes, n: int, hashes: WordHashes, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``shingles``, and the logarithm of the number of places where words as frequent would meet by chance."""
+    h = words(text, hashes)
+    s, first = np.unique(windows(h, n), return_index=True)
+    if not len(s):
+        return s, np.empty(0)
+    size = min(n, len(h))
+    own = logs[(h & np.uint64(SKETCH - 1)).astype(np.int64)]
+    chance = own[: len(h) - size + 1].copy()
+    for k in range(1, size):
+        chance += own[k : len(h) - size + 1 + k]
+    return s, chance[first] - (size - 1) * logs[-1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            rows = []
-            for i, text in texts(batch):
-                s = shingles(text, n, hashes)
-                np.add.at(counts, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-                rows.append((i, len(s), blake2b(s.tobytes(), digest_size=16).digest()))
-            ids, sizes, keys = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], NAMES)
-        for c in range(0, SKETCH, CHUNK):
-            part = counts[c : c + CHUNK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([c // CHUNK], pa.int32()), pa.array([part.tobytes()], pa.binary())], NAMES)
 
-    return run
+def key_of(s: np.ndarray) -> int:
+    return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
 
+def texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+    ids = batch.column(0).to_pylist()
+    for i, t in zip(ids, batch.column(1).cast(pa.binary())):
+        yield i, t.as_py() or b""
 
-NAMES = ["doc_id", "n", "key", "chunk", "counts"]
 
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a task's word counts: chunk, counters."""
+    counts = np.zeros(SKETCH, np.int64)
+    for batch in batches:
+        seen: Counter = Counter()
+        for _, text in texts(batch):
+            seen.update(text.lower().split())
+        at = np.fromiter((xxhash.xxh3_64_intdigest(w) & (SKETCH - 1) for w in seen), np.int64, len(seen))
+        np.add.at(counts, at, np.fromiter(seen.values(), np.int64, len(seen)))
+    used = [c for c in range(0, SKETCH, CHUNK) if counts[c : c + CHUNK].any()]
+    yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK for c in used], pa.int32()), pa.array([counts[c : c + CHUNK].tobytes() for c in used], pa.binary())], ["chunk", "counts"])
 
-def add_up(chunk: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for c, b in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = np.frombuffer(b.as_py(), np.int64)
-                sums[c] = sums[c] + own if c in sums else own
-        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
 
-    return run
+def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for c, b in zip(batch.column(0).to_pylist(), batch.column(1)):
+            own = np.frombuffer(b.as_py(), np.int64)
+            sums[c] = sums[c] + own if c in sums else own
+    yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
 
 
-def sketch_of(described: DataFrame, parts: int) -> np.ndarray:
-    """The sketch of all n-grams on the driver: SKETCH counters, whatever the size of the corpus."""
+def word_logs(own: DataFrame, parts: int) -> np.ndarray:
+    """Logarithms of the SKETCH word counters of all texts, then that of their sum; as large for any corpus."""
     out = np.zeros(SKETCH, np.int64)
-    chunks = described.filter("chunk is not null").select("chunk", "counts").repartition(parts, "chunk").mapInArrow(add_up(CHUNK), "chunk int, counts binary")
-    for r in chunks.toLocalIterator():
-        out[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(r["counts"]) // 8] += np.frombuffer(r["counts"], np.int64)
-    return np.minimum(out, 2**31 - 1).astype(np.int32)
+    for r in own.mapInArrow(count_words, "chunk int, counts binary").repartition(min(parts, SKETCH // CHUNK), "chunk").mapInArrow(add_up, "chunk int, counts binary").toLocalIterator():
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
+    return np.log(np.maximum(np.append(out, out.sum()), 1)).astype(np.float32)
 
 
 def least(n: int, percent: int) -> int:
@@ -123,82 +145,249 @@ def least(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def prefixes(n: int, percent: int, sketch):
-    """doc_id, size, l, prefix (array of n-grams), parity bitmap of every document with a non-empty set."""
+def least_of_larger(n: int, percent: int) -> int:
+    """The fewest n-grams that a set of n shares with a set it links to that is no smaller."""
+    return -(-2 * percent * n // (100 + percent))
+
+
+def provisional(n: int, percent: int) -> int:
+    """How many n-grams of a set are counted."""
+    first = n - least(n, percent)
+    return min(n, first + first // 2 + MATCHES[-1])
+
+
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)))
+
+
+class Once:
+    """Tells the keys that a task has seen already, within a bound of memory."""
+
+    def __init__(self):
+        self.keys: set[int] = set()
+
+    def new(self, key: int) -> bool:
+        if len(self.keys) >= CACHE:
+            self.keys.clear()
+        size = len(self.keys)
+        self.keys.add(key)
+        return len(self.keys) > size
+
+
+DESCRIBED = "doc_id long, n int, key long, grams array<long>"
+PREFIXES = "key long, n int, l int, near int, prefix array<long>, late array<long>, bits array<long>"
+INDEX = "gram long, key long, n int, l int, pos int, indexed boolean, salt int"
+
+
+def describe(n: int, percent: int, logs):
+    """Set size and digest of every document; its provisional prefix where the task sees the set for the first time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), sketch.value
-        usual = int(np.median(counts)) if len(counts) else 0
-        noise = 3 * int(np.sqrt(usual)) + 1
-        places = np.uint64(64 * BITMAP - 1)
+        hashes, once = WordHashes(), Once()
         for batch in batches:
-            ids, sizes, ls, arrays, maps = [], [], [], [], []
+            ids, sizes, keys, arrays = [], [], [], []
             for i, text in texts(batch):
-                s = shingles(text, n, hashes)
-                if not len(s):
+                s, chance = weighed(text, n, hashes, logs.value)
+                key = key_of(s)
+                ids.append(i)
+                sizes.append(len(s))
+                keys.append(key)
+                arrays.append(s[np.lexsort((s, chance))[: provisional(len(s), percent)]].view(np.int64) if len(s) and once.new(key) else np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), lists(arrays)], ["doc_id", "n", "key", "grams"])
+
+    return run
+
+
+def prefixes(n: int, percent: int, logs, hot):
+    """Prefix, its l, how much of it is index (``near``), the n-grams nobody has counted (``late``) and parity bitmap of every set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, once, frequent = WordHashes(), Once(), Bits(hot.value)
+        places = np.uint64(64 * BITMAP - 1)
+        for batch in batches:
+            keys, sizes, ls, nears, arrays, later, maps = [], [], [], [], [], [], []
+            for _, text in texts(batch):
+                s, chance = weighed(text, n, hashes, logs.value)
+                if not len(s) or not once.new(key := key_of(s)):
                     continue
-                seen = counts[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
-                order = np.lexsort((s, seen))
+                last = frequent.has(s)
+                order = np.lexsort((s, chance, last))
                 t = least(len(s), percent)
                 first = len(s) - t
                 most = min(len(s), first + MATCHES[-1])
-                # others that are expected to hold an n-gram, beyond what collisions in the sketch explain
-                others = np.maximum(seen[order[:most]].astype(np.int64) - usual - noise, 0)
+                own = order[:most]
+                others = np.where(last[own], HOT, np.minimum(np.maximum(np.exp(chance[own]) - 1, 0), HOT))
                 total = np.cumsum(others)
                 costs = [(first + m + total[first + m - 1] + len(s) / 8 * total[first + m - 1] / m, m) for m in MATCHES if m <= t]
                 m = min(costs)[1]
-                ids.append(i)
+                own = order[: first + m]
+                counted = np.lexsort((s, chance))[: provisional(len(s), percent)]
+                keys.append(key)
                 sizes.append(len(s))
                 ls.append(m)
-                arrays.append(s[order[: first + m]].view(np.int64))
+                nears.append(len(s) - least_of_larger(len(s), percent) + m)
+                arrays.append(s[own].view(np.int64))
+                later.append(s[np.setdiff1d(own, counted)].view(np.int64))
                 odd = np.bincount(((s >> np.uint64(40)) & places).astype(np.int64), minlength=64 * BITMAP) & 1
                 maps.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(ls, pa.int32()), lists(arrays), lists(maps)], ["doc_id", "n", "l", "prefix", "bits"])
+            numbers = [pa.array(x, pa.int32()) for x in (sizes, ls, nears)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *numbers, lists(arrays), lists(later), lists(maps)], ["key", "n", "l", "near", "prefix", "late", "bits"])
 
     return run
 
 
-def lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)))
+def entries(hot, several, late):
+    """INDEX rows of the prefix n-grams that more than one document may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, more, uncounted = (Bits(b.value) for b in (hot, several, late))
+        for batch in batches:
+            column = batch.column(4)
+            sizes = np.diff(column.offsets.to_numpy())
+            grams = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            pos = np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = np.flatnonzero(more.has(grams) | uncounted.has(grams))
+            grams, row, pos = grams[at], row[at], pos[at].astype(np.int32)
+            key, n, l, near = (batch.column(k).to_numpy()[row] for k in range(4))
+            salt = np.where(frequent.has(grams), (key.view(np.uint64) >> np.uint64(20)) % np.uint64(SALTS), np.uint64(SALTS)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (grams, key, n, l, pos, pos < near, salt)], ["gram", "key", "n", "l", "pos", "indexed", "salt"])
+
+    return run
 
 
-def sets(n: int):
-    """doc_id and the whole set."""
+def sets(n: int, wanted):
+    """``key, grams`` (the whole set) of the rows whose identifier may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, bits = WordHashes(), Bits(wanted.value)
         for batch in batches:
-            ids, arrays = [], []
-            for i, text in texts(batch):
-                ids.append(i)
-                arrays.append(shingles(text, n, hashes).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists(arrays)], ["doc_id", "grams"])
+            hit = np.flatnonzero(bits.has(batch.column(0).fill_null(0).to_numpy()))
+            keys, arrays = [], []
+            for text in batch.column(1).take(pa.array(hit)).cast(pa.binary()):
+                s = shingles(text.as_py() or b"", n, hashes)
+                keys.append(key_of(s))
+                arrays.append(s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists(arrays)], ["key", "grams"])
 
     return run
 
 
-def needed(percent: int):
+def needed(percent: int) -> Column:
     """The least overlap of linked sets of sizes a_n and b_n."""
     return F.ceil(F.lit(percent) * (F.col("a_n") + F.col("b_n")) / F.lit(100 + percent))
 
 
-def close_enough(percent: int, words: list[str]):
+def near_size(a: Column, b: Column, percent: int) -> Column:
+    return (a * 100 >= percent * b) & (b * 100 >= percent * a)
+
+
+def close_enough(percent: int, names: list[str]) -> Column:
     """False only where the parity bitmaps prove that the sets can't link."""
-    apart = sum(F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}"))) for k in words)
+    apart = sum(F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}"))) for k in names)
     return apart <= F.col("a_n") + F.col("b_n") - 2 * needed(percent)
 
 
-def confirmed(pairs: DataFrame, own: DataFrame, n: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b, a_n, b_n) whose whole sets link; only texts of documents in pairs are read again."""
-    pairs = scratch.save(pairs.select("a", "b", "a_n", "b_n"), f"{name}-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    whole = scratch.save(own.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets(n), "doc_id long, grams array<long>"), f"{name}-sets")
-    both = pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("grams").alias("a_grams")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("grams").alias("b_grams")), "b")
-    shared = F.size(F.array_intersect("a_grams", "b_grams"))
-    links = scratch.save(both.filter(shared >= needed(percent)).select("a", "b"), name)
-    scratch.drop(f"{name}-sets")
-    return links
+def renamed(df: DataFrame, name: str, key: str = "key", same: tuple = ()) -> DataFrame:
+    return df.select(*[F.col(c) if c in same else F.col(c).alias(name if c == key else f"{name}_{c}") for c in df.columns])
+
+
+class Join:
+    """Index, cards (size and bitmap of each class) and checks of one run."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int):
+        spark = docs.sparkSession
+        self.n, self.percent, self.scratch = n, percent, Scratch(spark, "jaccard")
+        self.share = spark.sparkContext.broadcast
+        self.own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        logs = self.share(word_logs(self.own, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        described = self.scratch.save(self.own.mapInArrow(describe(n, percent, logs), DESCRIBED), "described")
+        self.rows = described.select("doc_id", "n", "key")
+        self.classes = self.scratch.save(self.rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id")), "classes")
+
+        counts = described.select(F.explode("grams").alias("gram")).groupBy("gram").count().filter("count > 1")
+        counts = self.scratch.save(counts, "counts")
+        hot, several = (self.share(bitmap(counts.filter(f"count > {k}"), "gram")) for k in (HOT, 1))
+        chosen = self.scratch.save(self.own.mapInArrow(prefixes(n, percent, logs, hot), PREFIXES), "prefixes")
+        late = self.share(bitmap(chosen.select(F.explode("late").alias("gram")), "gram"))
+        index = chosen.select("key", "n", "l", "near", "prefix").mapInArrow(entries(hot, several, late), INDEX)
+        self.index = self.scratch.save(index.dropDuplicates(["gram", "key"]), "index")
+        self.full, self.folded = [str(k) for k in range(BITMAP)], [f"f{k}" for k in range(FOLDED)]
+        met = self.index.select("key").distinct()
+        cards = chosen.join(met, "key", "left_semi").dropDuplicates(["key"]).select("key", "n", *[F.get("bits", k).alias(c) for k, c in enumerate(self.full)])
+        self.cards = self.scratch.save(cards, "cards")
+        self.scratch.drop("counts")
+        self.scratch.drop("prefixes")
+
+    def checked(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Of pairs (a, b), those whose whole sets link; only texts of documents in pairs are read again."""
+        near = pairs.join(renamed(self.cards, "a"), "a").join(renamed(self.cards, "b"), "b").filter(near_size(F.col("a_n"), F.col("b_n"), self.percent) & close_enough(self.percent, self.full))
+        pairs = self.scratch.save(near.select("a", "b", "a_n", "b_n"), f"{name}-pairs")
+        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        ids = keys.join(self.classes, "key").select(F.coalesce("class_id", F.lit(0)).alias("id"))
+        wanted = self.share(bitmap(ids, "id"))
+        whole = self.own.mapInArrow(sets(self.n, wanted), "key long, grams array<long>").join(keys, "key", "left_semi").dropDuplicates(["key"])
+        whole = self.scratch.save(whole, f"{name}-sets")
+        both = pairs.join(renamed(whole, "a"), "a").join(renamed(whole, "b"), "b")
+        links = self.scratch.save(both.filter(F.size(F.array_intersect("a_grams", "b_grams")) >= needed(self.percent)).select("a", "b"), name)
+        self.scratch.drop(f"{name}-sets")
+        self.scratch.drop(f"{name}-pairs")
+        return links
+
+    def candidates(self, rows: DataFrame, apart: Column | None = None) -> DataFrame:
+        """Pairs (a, b) of index rows that share as many prefix n-grams as they must."""
+        a, b = renamed(rows, "a", same=("gram",)), renamed(rows.drop("salt"), "b", same=("gram",))
+        smaller = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b")))
+        reach = F.least("a_pos", "b_pos") + 1 + F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) - 1
+        fits = smaller & F.col("a_indexed") & near_size(F.col("a_n"), F.col("b_n"), self.percent) & (reach >= needed(self.percent))
+        if self.folded[0] in rows.columns:
+            fits = fits & close_enough(self.percent, self.folded)
+        if apart is not None:
+            fits = fits & apart
+        met = a.join(b, "gram").filter(fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("a_l").alias("l"), F.first("b_l").alias("k"))
+        return met.filter(F.col("shared") >= F.least("l", "k")).select("a", "b")
+
+    def with_bitmap(self, rows: DataFrame) -> DataFrame:
+        """Adds the bitmap folded to a quarter, a parity bitmap too and narrow enough to travel with every n-gram."""
+        fold = lambda k: F.col(self.full[k]).bitwiseXOR(F.col(self.full[k + 4])).bitwiseXOR(F.col(self.full[k + 8])).bitwiseXOR(F.col(self.full[k + 12]))
+        return rows.join(self.cards.select("key", *[fold(k).alias(f) for k, f in enumerate(self.folded)]), "key")
+
+    def pivots(self) -> DataFrame:
+        """``key, pivot, shared``: the pivots that a class meets, and at how many n-grams."""
+        per = self.index.groupBy("gram").agg(F.min(F.struct("pos", "key", "n")).alias("p"), F.count(F.lit(1)).alias("held"), F.min("salt").alias("salt")).filter("held > 1")
+        salts = F.when(F.col("salt") < SALTS, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(SALTS)))
+        per = per.select("gram", "p", F.explode(salts).alias("salt"))
+        met = self.index.join(per, ["gram", "salt"]).filter((F.col("p.key") != F.col("key")) & near_size(F.col("n"), F.col("p.n"), self.percent))
+        return self.scratch.save(met.groupBy("key", F.col("p.key").alias("pivot")).agg(F.count(F.lit(1)).alias("shared")), "pivots")
+
+    def stars(self) -> tuple[DataFrame, DataFrame]:
+        """Links with pivots, and the components they make."""
+        met = self.pivots()
+        pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+        best = met.groupBy("key").agg(F.max(F.struct("shared", "pivot")).getField("pivot").alias("pivot"))
+        links = self.checked(best.select(*pair("key", "pivot")).distinct(), "best")
+        found = components(links, self.scratch, "first")
+        rest = met.select("key", "pivot").join(best, ["key", "pivot"], "left_anti")
+        rest = rest.join(found.toDF("key", "u"), "key", "left").join(found.toDF("pivot", "v"), "pivot", "left").filter(F.coalesce("u", "key") != F.coalesce("v", "pivot"))
+        rest = self.scratch.save(rest.select(*pair("key", "pivot")).distinct(), "others")
+        if not rest.isEmpty():
+            links = links.union(self.checked(rest, "other"))
+            found = components(links, self.scratch, "second")
+        return links, found
+
+    def connected(self) -> DataFrame:
+        """``node, component`` of the classes that link with another."""
+        stars, found = self.stars()
+        placed = self.index.select("gram", "key", "n", "l", "pos", "indexed").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        open_ = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gram")
+        placed = self.scratch.save(self.with_bitmap(placed.join(open_, "gram", "left_semi")), "open")
+        rest = self.scratch.save(self.candidates(placed, F.col("a_component") != F.col("b_component")), "rest")
+        self.scratch.drop("open")
+        if rest.isEmpty():
+            return found
+        more = self.checked(rest, "more")
+        return found if more.isEmpty() else components(stars.union(more), self.scratch, "last")
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -227,55 +416,36 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
 
     ``class_id``: smallest identifier with the same set; ``component_id``: smallest that is reached by links.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = scratch.save(own.mapInArrow(describe(n), "doc_id long, n int, key binary, chunk int, counts binary"), "described")
-    sketch = spark.sparkContext.broadcast(sketch_of(described, min(parts, SKETCH // CHUNK)))
-    rows = described.filter("key is not null").select("doc_id", "n", "key")
-    classes = scratch.save(rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n")), "classes")
-
-    # index: the prefixes of one document of each class, n-grams that only one of them has are dropped
-    chosen = own.mapInArrow(prefixes(n, percent, sketch), "doc_id long, n int, l int, prefix array<long>, bits array<long>").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
-    chosen = scratch.save(chosen, "prefixes")
-    group = Window.partitionBy("gram")
-    index = chosen.select("doc_id", "n", F.explode("prefix").alias("gram")).withColumn("held", F.count(F.lit(1)).over(group)).withColumn("pivot", F.min(F.struct(F.xxhash64("gram", "doc_id"), "doc_id", "n")).over(group))
-    index = scratch.save(index.filter("held > 1").drop("held"), "index")
-    full, folded = [str(k) for k in range(BITMAP)], [f"f{k}" for k in range(4)]
-    cards = chosen.select("doc_id", "n", "l", *[F.get("bits", k).alias(c) for k, c in enumerate(full)]).dropDuplicates(["doc_id"])
-    cards = scratch.save(cards, "cards")
-    scratch.drop("prefixes")
-
-    def side(name: str) -> DataFrame:
-        return cards.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in cards.columns if c != "doc_id"])
-
-    fit = (F.col("a_n") * 100 >= percent * F.col("b_n")) & (F.col("b_n") * 100 >= percent * F.col("a_n"))
-    met = index.filter("pivot.doc_id <> doc_id").filter((F.col("n") * 100 >= percent * F.col("pivot.n")) & (F.col("pivot.n") * 100 >= percent * F.col("n")))
-    pairs = met.select(F.least("doc_id", "pivot.doc_id").alias("a"), F.greatest("doc_id", "pivot.doc_id").alias("b")).distinct()
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(close_enough(percent, full))
-    stars = confirmed(pairs, own, n, percent, scratch, "stars")
-    first = components(stars, scratch, "first")
-
-    # what is left: pairs in different components, for n-grams that still have several
-    placed = index.select("gram", "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_ = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gram")
-    # bitmaps folded to a quarter are parity bitmaps too, and narrow enough to travel with every n-gram
-    fold = [F.col(full[k]).bitwiseXOR(F.col(full[k + 4])).bitwiseXOR(F.col(full[k + 8])).bitwiseXOR(F.col(full[k + 12])).alias(f) for k, f in enumerate(folded)]
-    placed = placed.join(open_, "gram", "left_semi").join(cards.select("doc_id", "n", "l", *fold), "doc_id")
-    a = placed.select("gram", *[F.col(c).alias("a" if c == "doc_id" else f"a_{c}") for c in placed.columns if c != "gram"])
-    b = placed.select("gram", *[F.col(c).alias("b" if c == "doc_id" else f"b_{c}") for c in placed.columns if c != "gram"])
-    rest = a.join(b, "gram").filter((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & fit & close_enough(percent, folded))
-    rest = rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("a_l").alias("l"), F.first("b_l").alias("k")).filter(F.col("shared") >= F.least("l", "k"))
-    rest = rest.select("a", "b").join(side("a"), "a").join(side("b"), "b").filter(close_enough(percent, full))
-    more = confirmed(rest, own, n, percent, scratch, "more")
-    last = components(stars.union(more), scratch, "last") if not more.isEmpty() else first
-
-    found = classes.join(last, classes["class_id"] == last["node"], "left").select("key", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = rows.join(found, "key", "left")
+    run = Join(docs, id_col, text_col, n, percent)
+    found, scratch = run.connected(), run.scratch
+    # an identifier with several sets joins their components
+    keyed = run.rows.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("doc_id", "low")
+    keyed = scratch.save(keyed, "repeated")
+    if not keyed.isEmpty():
+        same = run.rows.filter("n > 0").join(keyed, "doc_id").select(F.col("key").alias("a"), F.col("low").alias("b"))
+        found = components(found.toDF("a", "b").union(same), scratch, "all")
+    placed = run.classes.join(found, run.classes["key"] == found["node"], "left").select("key", "class_id", F.coalesce("component", "key").alias("component"))
+    names = placed.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    placed = scratch.save(placed.join(names, "component").select("key", "class_id", "component_id"), "placed")
+    out = run.rows.join(placed, "key", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
+    """(members, links): ``doc_id, class_id, n_links`` of every row, and every linked pair of classes ``a, b`` (smallest identifiers).
+
+    ``n_links``: classes that link with the row's class, its own left out.  As large as the number of links: a family of
+    f different texts that all link has f (f - 1) / 2.
+    """
+    run = Join(docs, id_col, text_col, n, percent)
+    pairs = run.checked(run.candidates(run.with_bitmap(run.index)), "links")
+    count = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
+    members = run.rows.join(run.classes, "key", "left").join(count, "key", "left")
+    members = members.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = pairs.join(run.classes.toDF("a", "x"), "a").join(run.classes.toDF("b", "y"), "b")
+    return members, named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near-copies (the smallest identifier) stays, with its columns."""
     kept = join(docs, id_col, text_col, n, percent).filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept_id"))

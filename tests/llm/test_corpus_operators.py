@@ -222,6 +222,40 @@ def test_jaccard_family(spark):
     assert {r["doc_id"] for r in kept.collect()} == {c for _, c in got.values()}
 
 
+def test_jaccard_rows_that_repeat_an_identifier(spark):
+    """Rows of one identifier are one node, so what links with either text is one component."""
+    w, v = (" ".join(f"{c}{k}" for k in range(60)) for c in "wv")
+    data = [(1, w, "a"), (2, v, "a"), (2, f"{w} x", "a"), (3, f"{v} y", "a"), (3, f"{v} y", "a"), (None, w, "b"), (None, "q r s t", "b"), (9, f"{w} x", None)]
+    found = jaccard.join(frame(spark, data)).collect()
+    assert len(found) == len(data) and {r["doc_id"]: r["component_id"] for r in found if r["doc_id"]} == {1: 1, 2: 1, 3: 1, 9: 1}
+    assert sorted(str(r["component_id"]) for r in found if r["doc_id"] is None) == ["1", "None"]
+
+
+def test_jaccard_links(spark):
+    """Every link between classes, and each document's number of them, against all pairs."""
+    import random
+
+    rnd = random.Random(5)
+    base = [f"w{k}" for k in range(250)]
+    data = [*rows()]
+    for i in range(80):
+        own = list(base)
+        for _ in range(rnd.randrange(4)):
+            own[rnd.randrange(len(own))] = f"x{rnd.randrange(1000)}"
+        data.append((5000 + i, " ".join(own), "a"))
+    sets = defaultdict(list)
+    for i, t, _ in data:
+        sets[frozenset(grams(t, 3))].append(i)
+    name = {min(ids): s for s, ids in sets.items() if s}
+    want = {(a, b) for a in name for b in name if a < b and 100 * len(name[a] & name[b]) >= 90 * len(name[a] | name[b])}
+    members, pairs = jaccard.links(frame(spark, data))
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == want and len(want) > 200
+    count = Counter(x for p in want for x in p)
+    for r in members.collect():
+        own = next(ids for s, ids in sets.items() if r["doc_id"] in ids)
+        assert r["n_links"] == count[min(own)]
+
+
 def test_components_of_a_long_chain(spark):
     import random
 
