@@ -357,6 +357,38 @@ def test_suffix(spark, docs, empty):
     assert suffix.repeats(empty).count() == 0
 
 
+def test_suffix_rows_that_repeat_an_identifier(spark):
+    """Rows of one identifier, equal or not, are cut each for itself; equal rows and a null identifier keep their places."""
+    a, b, c = ("".join(f"{x}{k}-" for k in range(40)) for x in "abc")
+    data = [(1, a, "s"), (2, b, "s"), (5, f"{a}x{c}", "s"), (5, f"y{b}", "s"), (5, f"y{b}", "s"), (2, a, "s"), (None, a, "s")]
+    found = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in suffix.repeats(frame(spark, data)).collect())
+    n = len(a)
+    assert found == sorted([("1", n, 0), ("2", n, 0), ("5", 2 * n + 1, n), ("5", n + 1, n), ("5", n + 1, n), ("2", n, n), ("None", n, 0)])
+
+
+def test_suffix_memory_stays_below_the_shard():
+    """A shard of 12 MB with 1 MB of memory: arrays and queues are files, so what is allocated stays far below the in-memory form."""
+    import tempfile
+    import tracemalloc
+
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    text = rnd.integers(97, 105, 12_000_000, np.uint8)
+    text[::80] = 0
+    text[-1] = 0
+    ends = np.flatnonzero(text == 0)
+    peaks = {}
+    for memory in (1 << 20, 1 << 30):
+        tracemalloc.start()
+        with tempfile.TemporaryDirectory() as folder:
+            for _ in suffix.least_documents(text, ends, np.arange(len(ends)), folder, 50, memory):
+                pass
+        peaks[memory] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert peaks[1 << 20] < 0.7 * peaks[1 << 30]
+
+
 def test_suffix_order():
     """The sorted suffixes and their common prefixes, in memory and from disk."""
     import random
