@@ -479,26 +479,53 @@ RUNS = "f long, h long, from int, to int, least long"
 
 
 def shard_runs(length: int, memory: int = MEMORY):
-    """RUNS of a shard's segments (f, h, low, c, bytes): windows of a segment that documents before its own have, with the least of them.
+    """RUNS of a shard's segments (f, h, low, c, bytes), sorted by f: windows of a segment that documents before its own have, with the least.
 
-    Where a segment occurs several times, all of it counts for those after the least.
+    Where a segment occurs several times, all of it counts for those after the least.  A segment that is the only one of its
+    fingerprint shares no window with another, so it isn't sorted.
     """
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    names = [x.split()[0] for x in RUNS.split(", ")]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(map(list, zip(*rows)), types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, held, before = [], None, None
+
+        def settle(batch: pa.RecordBatch, after: int | None) -> pa.RecordBatch | None:
+            """Writes down segments that have company (``before`` and ``after`` are the neighbours' fingerprints), answers for the others."""
+            f, h, low, c = (batch.column(k).to_numpy() for k in range(4))
+            size = pc.binary_length(batch.column(4)).to_numpy().astype(np.int64)
+            next_ = np.append(f[1:] == f[:-1], after is not None and f[-1] == after)
+            last = np.append(before is not None and f[0] == before, f[1:] == f[:-1])
+            alone = ~(next_ | last)
+            if not alone.all():
+                heads.append(tuple(x[~alone] for x in (f, h, low, c, size)))
+                text.write(b"\0".join([*batch.column(4).filter(pa.array(~alone)).to_pylist(), b""]))
+            told = np.flatnonzero(alone & (c > 1))
+            if len(told):
+                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((f[told], h[told], np.zeros(len(told), np.int32), size[told] - length, low[told]), types)], names)
+            return None
+
         with tempfile.TemporaryDirectory() as folder:
-            heads = []
-            with open(os.path.join(folder, "text"), "wb") as text:
+            path = os.path.join(folder, "text")
+            with open(path, "wb") as text:
                 for batch in batches:
-                    heads.append((*(batch.column(k).to_numpy() for k in range(4)), pc.binary_length(batch.column(4)).to_numpy().astype(np.int64)))
-                    for piece in batch.column(4):
-                        text.write(piece.as_py())
-                        text.write(b"\0")
-            if not heads or not sum(len(h[0]) for h in heads):
+                    if not batch.num_rows:
+                        continue
+                    if held is not None:
+                        if (told := settle(held, batch.column(0)[0].as_py())) is not None:
+                            yield told
+                        before = held.column(0)[-1].as_py()
+                    held = batch
+                if held is not None and (told := settle(held, None)) is not None:
+                    yield told
+            if not heads:
                 return
             f, h, low, c, sizes = (np.concatenate(x) for x in zip(*heads))
+            heads.clear()
             ends = np.cumsum(sizes + 1) - 1
-            path = os.path.join(folder, "text")
             data = np.memmap(path, np.uint8, "r") if ends[-1] >= memory else np.fromfile(path, np.uint8)
             rows: list[tuple] = []
             for x, y, own, n, found in zip(f.tolist(), h.tolist(), low.tolist(), c.tolist(), least_documents(data, ends, low, folder, length, memory)):
@@ -508,10 +535,10 @@ def shard_runs(length: int, memory: int = MEMORY):
                     cuts = [0, *(np.flatnonzero(found[1:] != found[:-1]) + 1).tolist(), len(found)]
                     rows += [(x, y, a, b - 1, int(found[a])) for a, b in zip(cuts, cuts[1:]) if found[a] < own]
                 if len(rows) >= 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(map(list, zip(*rows)), types)], ["f", "h", "from", "to", "least"])
+                    yield out(rows)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(map(list, zip(*rows)), types)], ["f", "h", "from", "to", "least"])
+                yield out(rows)
 
     return run
 
@@ -572,7 +599,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     pieces = found.filter("bytes is not null").select("f", "h", "low", "c", "bytes")
     total = pieces.agg(F.coalesce(F.sum(F.octet_length("bytes") + 1), F.lit(0))).first()[0]
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
-    once = pieces.repartition(shards, "f").groupBy("f", "h").agg(F.min("low").alias("low"), F.sum("c").alias("c"), F.first("bytes").alias("bytes"))
+    once = pieces.repartition(shards, "f").groupBy("f", "h").agg(F.min("low").alias("low"), F.sum("c").alias("c"), F.first("bytes").alias("bytes")).sortWithinPartitions("f")
     runs = scratch.save(once.mapInArrow(shard_runs(length, memory), RUNS), "runs")
     hits = found.select("f", "h", "doc", "k", "at").join(runs, ["f", "h"]).filter("least < doc")
     ranges = hits.groupBy("doc", "k").agg(F.collect_list(F.struct((F.col("at") + F.col("from")).alias("a"), (F.col("at") + F.col("to") + length).alias("b"))).alias("ranges"))
