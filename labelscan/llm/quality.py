@@ -10,7 +10,8 @@ posterior probability of being good is at least one half and it doesn't fail the
 Everything is made of DataFrame functions; a document's work stays in its row, no words are shuffled.
 
 Edge cases: a null text has no words and fails the base tests, as an empty one; repeated rows are judged each for
-itself; an empty table gives an empty result; columns other than identifier and text are not looked at.
+itself; equal votes have equal posteriors; a long text's windows are an array of its row; an empty table gives an empty result; columns
+other than identifier and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -64,8 +65,6 @@ def properties(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "n_upper": F.regexp_count(text, F.lit(r"\p{Lu}")),
             "n_letters": F.regexp_count(text, F.lit(r"\p{L}")),
             "n_marks": F.regexp_count(text, F.lit(r"[!?|]")),
-            # never below nought: keeps filters on what follows from being evaluated with all of the above inside
-            "_once": F.monotonically_increasing_id(),
         }
     )
     return df.drop("_w", "_k", "_s", "_lines")
@@ -78,8 +77,7 @@ def votes(props: DataFrame) -> DataFrame:
     for rule in RULES.values():
         code = code * 3 + rule(c) + 1
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    code = code + F.least(F.col("_once"), F.lit(0))
-    return props.withColumn("pattern", code.cast("int")).withColumn("base_failed", failed).drop("_once")
+    return props.withColumn("pattern", code.cast("int")).withColumn("base_failed", failed)
 
 
 def fit(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -115,12 +113,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns; texts are judged where they lie, not shuffled."""
+    """The rows of ``docs`` that are kept, with their columns; texts are judged once, where they lie, and not shuffled."""
     scratch = Scratch(docs.sparkSession, "quality")
     names = docs.columns
     mine = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("text"))
-    seen = votes(properties(mine))
-    counts = scratch.save(seen.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")), "patterns")
-    model = scratch.save(fit(counts), "model")
-    good = seen.join(F.broadcast(model), "pattern").filter(~F.col("base_failed") & (F.col("posterior") >= 0.5))
+    seen = votes(properties(mine)).select("pattern", "base_failed", F.when(~F.col("base_failed"), F.col("_row")).alias("_row"))
+    seen = scratch.save(seen, "votes")
+    model = scratch.save(fit(seen.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))), "model")
+    good = seen.join(F.broadcast(model), "pattern").filter(~F.col("base_failed") & (F.col("posterior") >= 0.5))  # at most 3^8 rows
     return good.select(*[F.col("_row").getField(n).alias(n) for n in names])
