@@ -10,8 +10,10 @@ padding.  Full windows of a tier are dealt into step groups of equal token count
 Every task packs the documents of its own partition in bounded chunks, what a chunk leaves goes into the next, and
 only the last few ids of a partition can be padded: no shuffle, no hot key, and a recomputed task gives the same rows.
 
-Edge cases: a null text is an empty one and has the end id alone; special tokens' strings in a text are ordinary
-text; a document of any length is cut into windows as it comes; an empty table gives an empty result.
+Edge cases: a null text is an empty one and has the end id alone; a text with the string of an added token gets the ids that the
+tokenizer itself gives; a document of any length is cut into windows as it comes; of equally long documents the one that came
+last is taken first; repeated rows are packed each for itself; columns besides identifier and text are not looked at, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,8 +50,8 @@ def byte_bpe(json_path: str, ranks_path: str | None = None) -> Callable[[str], l
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(json_path)
-    plain.encode_special_tokens = True
-    whole = lambda text: plain.encode(text, add_special_tokens=False).ids
+    special = [token.content for token in plain.get_added_tokens_decoder().values()]
+    whole = exact = lambda text: plain.encode(text, add_special_tokens=False).ids
     if ranks_path:
         import public_tokenizers
         import tiktoken
@@ -69,6 +71,8 @@ def byte_bpe(json_path: str, ranks_path: str | None = None) -> Callable[[str], l
     known: dict[str, list[int]] = {}
 
     def encode(text: str) -> list[int]:
+        if any(token in text for token in special):
+            return exact(text)
         first, *rest = text.split(" ")
         if not rest:
             return whole(text)
