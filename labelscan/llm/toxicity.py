@@ -10,7 +10,8 @@ Evidence becomes a score by a logistic curve fitted to the same rows.  Both use
 (``SAMPLE``, lowest hashes of the identifier); scoring covers every whole text.
 
 Edge cases: null and empty texts have no evidence and get the score of none; a null identifier counts as held out;
-labels that contradict each other count as toxic; without labels in both classes only the threat list scores; an
+labels that contradict each other count as toxic; without labels in both classes only the threat list scores; repeated rows
+score alike; a text of any length is read whole, clause by clause; other columns are not looked at, whatever their names; an
 empty table gives an empty result.
 """
 
@@ -27,9 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Most labelled rows that the lexicon and the curve are fitted on; most entries of the lexicon.
+#: Most labelled rows that the lexicon and the curve are fitted on (which bounds the lexicon too).
 SAMPLE = 10_000
-LEXICON = 2_000
 #: Lengths of word beginnings that may enter the lexicon.
 BEGINNINGS = (4, 5, 6)
 #: An entry needs this share of the toxic documents, and may have this share of the others and this many for each toxic one.
@@ -148,7 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample
     terms = rows.mapInPandas(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     terms = scratch.save(terms.filter((F.col("pos") >= 3) | F.col("term").isin(sorted(THREAT))), "terms")
     good = terms.filter((F.col("pos") >= max(5, SUPPORT * npos)) & (F.col("neg") <= F.least(F.lit(STRAY * nneg), PURE * F.col("pos"))))
-    best = good.orderBy(F.desc("pos"), "neg", "term").limit(LEXICON).collect()
+    best = good.collect()  # words of at most ``sample`` rows
     odds = {r["term"]: log((r["pos"] + 0.5) / (npos + 1)) - log((r["neg"] + 0.5) / (nneg + 1)) for r in best}
     lexicon = {t: min(w / 4, 1.0) for t, w in odds.items() if w > 2}
     # a threat that other documents use as an ordinary word is none here
