@@ -3,7 +3,7 @@
 Documents with equal texts are linked (through their group, so a group of g copies has g links, not g^2).  Labels
 (shards) start even, by hash.  In each round a join brings every document the shard in which most bytes of its neighbours
 lie; those elsewhere ask to move; each shard admits as much as its capacity, its load and the leavers leave room
-for, and whole groups are admitted or not.  A group larger than a fraction of the corpus is propagated in parts, so that a hot group can
+for, and whole groups are admitted or not; rounds end when none asks or what asks no longer shrinks.  A group larger than a fraction of the corpus is propagated in parts, so that a hot group can
 spread over shards.  At last the documents are laid on a line in the order of their shards, linked ones in the
 middle of each, and the line is cut into equal numbers of bytes: the balance is exact to a document, and what the cuts
 move are mostly documents without links.
@@ -11,7 +11,8 @@ move are mostly documents without links.
 Law: ``bytes``.  Loads, flows and the starts of shards (a few numbers per shard) reach the driver, nothing else.
 
 Edge cases: a null text counts as none (size 1); rows that repeat an identifier are separate documents; all documents in one
-group are still spread evenly; an empty table gives an empty result; more columns are not looked at.
+group are still spread evenly; ties between shards fall to a hash; texts of any length count by their bytes; an empty table gives an
+empty result; more columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ from pyspark.sql import functions as F
 from .common import Scratch, before, unit
 
 SHARDS = 8
-ROUNDS = 4
 SLACK = 0.02
 PARTS = 128
+#: A group of more than this part of all rows is joined by broadcast.
+LARGE = 1000
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK, seed: int = 7) -> DataFrame:
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, slack: float = SLACK, seed: int = 7) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot, group_rows, label`` of every row (``label``: before the last balancing)."""
     scratch = Scratch(docs.sparkSession, "sharding")
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
@@ -39,20 +41,28 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     if not n:
         return own.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("group_rows"), F.lit(0).alias("label"))
     groups = own.groupBy("group").agg(F.count(F.lit(1)).alias("group_rows"), F.sum("size").alias("group_size")).filter("group_rows > 1")
-    linked = own.join(groups, "group").withColumn("part", F.pmod(F.xxhash64("row"), F.ceil(F.col("group_size") / (total / PARTS))).cast("int"))
+    groups = scratch.save(groups, "groups")
+    large = F.broadcast(groups.filter(F.col("group_rows") * LARGE > n))  # fewer than LARGE rows
+    linked = own.join(large, "group").unionByName(own.join(large.select("group"), "group", "left_anti").join(groups, "group"))
+    parts = F.ceil(F.greatest(F.col("group_size") / (total / PARTS), F.col("group_rows") / (n / PARTS)))
+    linked = linked.withColumn("part", F.pmod(F.xxhash64("row"), parts).cast("int"))
     start = F.floor(unit(F.lit(seed), "row") * shards).cast("int")
     at = scratch.save(linked.select("row", "doc_id", "size", "text_crc32", "group", "part", "group_rows", start.alias("shard")), "round-0")
-    single = own.join(groups.select("group"), "group", "left_anti").select("row", "doc_id", "size", "text_crc32", "group", F.lit(0).alias("part"), F.lit(1).cast("long").alias("group_rows"), start.alias("shard"))
+    single = own.join(large.select("group"), "group", "left_anti").join(groups.select("group"), "group", "left_anti").select("row", "doc_id", "size", "text_crc32", "group", F.lit(0).alias("part"), F.lit(1).cast("long").alias("group_rows"), start.alias("shard"))
     single = scratch.save(single, "single")
     alone = {r["shard"]: r["b"] for r in single.groupBy("shard").agg(F.sum("size").alias("b")).collect()}
     cap = total / shards * (1 + slack)
-    for k in range(1, rounds + 1):
+    k, before_ = 0, None
+    while True:
+        k += 1
         load = {r["shard"]: r["b"] for r in at.groupBy("shard").agg(F.sum("size").alias("b")).collect()}
         most = at.groupBy("group", "part", "shard").agg(F.sum("size").alias("b")).groupBy("group", "part").agg(F.max(F.struct("b", unit(F.lit(seed + k), "group", "part", "shard"), "shard")).getField("shard").alias("to"))
         asked = at.join(most, ["group", "part"])
         flow = asked.filter("shard <> to").groupBy("shard", "to").agg(F.sum("size").alias("b")).collect()
-        if not flow:
+        asking = sum(r["b"] for r in flow)
+        if not flow or (before_ is not None and asking >= before_):  # settled, or quotas let no more through
             break
+        before_ = asking
         into, out = dict.fromkeys(range(shards), 0), dict.fromkeys(range(shards), 0)
         for r in flow:
             into[r["to"]] += r["b"]
