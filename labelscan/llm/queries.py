@@ -103,15 +103,27 @@ ORACLE_SQL: dict[str, str] = {
             SELECT *, ((SELECT sum(source_size) FROM stats) - coalesce(sum(cap) OVER (ORDER BY level, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
                    / (sum(weight) OVER (ORDER BY level, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS share FROM levels
         ), plan AS (
-            SELECT source, source_size, CASE WHEN level > share
+            SELECT source, src, source_size, CASE WHEN level > share
                 THEN least((SELECT min_by(share, (level, src)) FROM shared WHERE level > share) * weight, cap::DOUBLE) ELSE cap::DOUBLE END AS target FROM shared
         ), line AS (
-            SELECT doc_id, size, source_size, target, floor(target + 0.5)::BIGINT AS goal,
+            SELECT doc_id, size, src, source_size, target,
                    coalesce(sum(size) OVER (PARTITION BY own.source ORDER BY perm, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
             FROM own JOIN plan ON own.source IS NOT DISTINCT FROM plan.source
+        ), width AS (SELECT least({mixing.MOST_BLOCK}, greatest({mixing.LEAST_BLOCK}, sum(source_size)::BIGINT // {mixing.BLOCKS}))::BIGINT AS b FROM stats),
+        blocks AS (
+            SELECT src, b, floor(target + 0.5)::BIGINT AS goal, 3 * source_size AS whole, unnest(range(0, ((3 * source_size + b - 1) // b)::BIGINT)) AS block
+            FROM plan, width WHERE floor(target + 0.5) > 0
+        ), permuted AS (SELECT *, least(b, whole - block * b)::BIGINT AS len, md5('{mixing.SEED}:' || src || ':' || block) AS perm FROM blocks),
+        ranked_blocks AS (
+            SELECT *, coalesce(sum(len) OVER (PARTITION BY src ORDER BY perm, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead FROM permuted
+        ), drawn AS (SELECT src, block, block * b AS low, block * b + least(len, goal - ahead) AS high FROM ranked_blocks WHERE ahead < goal),
+        laid AS (
+            SELECT line.*, epoch * source_size + pos AS lo, epoch * source_size + pos + size AS hi FROM line, (SELECT unnest(range(0, 3)) AS epoch) WHERE size > 0
+        ), met AS (
+            SELECT doc_id, src, lo, hi, unnest(range((lo // b)::BIGINT, ((hi - 1) // b + 1)::BIGINT)) AS block FROM laid, width
+        ), got AS (
+            SELECT doc_id, sum(greatest(0, least(hi, high) - greatest(lo, low)))::BIGINT AS taken FROM met JOIN drawn USING (src, block) GROUP BY doc_id
         )
-        SELECT doc_id, size, source_size, target,
-               (greatest(0, least(size, goal - pos)) + greatest(0, least(size, goal - pos - source_size)) + greatest(0, least(size, goal - pos - 2 * source_size)))::BIGINT AS taken
-        FROM line
+        SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM line LEFT JOIN got USING (doc_id)
     """,
 }
