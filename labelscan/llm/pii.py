@@ -8,6 +8,12 @@ base spans, in whichever document, is an added span.  It is generalised to its k
 cover all documents.  Terms are runs of word characters of any length; Han characters and kana, which stand without spaces,
 give each two neighbours as a term (spans may then overlap).
 
+An entity or a term that a single text holds has no such counts: it backs off.  Entities back off to all of them together (a
+text holds protected data), words to their shape (which of letters, digits and others they consist of, and the logarithm
+of their length), which gives at most 128 pairs, counted over distinct texts.  Instead of the share of a shape's texts that
+hold an entity, the lower end of its confidence interval is used; where that discloses ``SHAPE_THRESHOLD``, every word of the shape
+outside base spans is an added span.  Keys and tokens, each written once, are found by this: their shape keeps company with personal data.
+
 A first pass over the texts gives entities and document frequencies of terms (summed per task before the shuffle).  A second
 gives the terms of documents with an entity that several texts hold.  Terms and entities of a document are paired only where
 the threshold can be reached at all: as n(c,t) <= n(c), only where n(t) <= n(c)^threshold N^(1 - threshold).  A third gives
@@ -15,7 +21,8 @@ base spans and the occurrences of words that a bitmap of fixed size doesn't rule
 decides.  Only such narrow rows are joined, so texts are never shuffled.
 
 Edge cases: a null text is an empty one; an entity in every document carries no information and adds nothing; copies of one
-text are one context; rows that repeat an identifier are separate documents; an empty table gives an empty result.
+text are one context; rows that repeat an identifier are separate documents; equal disclosures count alike; texts of any length are
+read whole; columns besides identifier and text are not looked at, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +32,7 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
+from math import log, sqrt
 
 import pandas as pd
 import pyarrow as pa
@@ -45,6 +53,8 @@ DIGIT = re.compile(r"[^0-9]+")
 UNSPACED = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af"
 TERM, DENSE = re.compile(f"[{UNSPACED}]+|[^\\W{UNSPACED}]+"), re.compile(f"[{UNSPACED}]{{3,}}")
 SUPPORT, THRESHOLD, REMOVE = 2, 0.9, 0.98
+#: Disclosure of shapes, and how many standard deviations below its estimate a share is taken.
+SHAPE_THRESHOLD, DEVIATIONS = 0.5, 1.64
 #: Vocabulary entries a task holds before it passes them on.
 HELD = 300_000
 #: Bits of the bitmap that spares words which aren't revealing the join, and bits of one row of it.
@@ -123,6 +133,22 @@ def outside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str,
             yield word, s, e
 
 
+def shape(word: str) -> int:
+    """0 to 127: classes of characters (letters 1, digits 2, others 4) and the binary logarithm of the length."""
+    kinds = any(map(str.isalpha, word)) + 2 * any(map(str.isdecimal, word)) + 4 * (not all(c.isalpha() or c.isdecimal() for c in word))
+    return kinds * 16 + min(15, len(word).bit_length() - 1)
+
+
+class Shapes(dict):
+    """word -> the bit of its shape."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= HELD:
+            self.clear()
+        value = self[word] = 1 << shape(word)
+        return value
+
+
 def digest(text: str) -> str:
     return blake2b(text.encode("utf-8", "replace"), digest_size=12).hexdigest()
 
@@ -138,15 +164,17 @@ def schema(ddl: str) -> pa.Schema:
 
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
-SEEN = "what string, entity string, context string, term string, n long"
+SEEN = "what string, entity string, context string, term string, n long, low long, high long"
 MET = "row long, entity string, context string, term string"
 MARKED = f"row long, doc_id long, spans {SPANS}, term string, start int, end int"
 SEEN_SCHEMA, MET_SCHEMA, MARKED_SCHEMA = schema(SEEN), schema(MET), schema(MARKED)
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of what: ``all`` (number of documents), ``entity`` (of a document), ``term`` (documents of a term)."""
+    """Rows of what: ``all`` (number of documents), ``entity`` (of a document), ``term`` (documents of a term), ``text`` (shapes, has it an entity)."""
     counts: Counter = Counter()
+    shapes = Shapes()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
     total = 0
 
     def terms() -> pa.RecordBatch:
@@ -159,9 +187,13 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total += batch.num_rows
         for text in batch.column(2):
             text = text.as_py()
-            counts.update({w.lower() for w in distinct(text)})
-            if spans := base_spans(text):
-                about = digest(text)
+            found = distinct(text)
+            counts.update({w.lower() for w in found})
+            about, spans, bits = digest(text), base_spans(text), 0
+            for w in {w for w, _, _ in outside(text, spans)} if spans else found:
+                bits |= shapes[w]
+            rows.append({"what": "text", "context": about, "n": int(bool(spans)), "low": signed(bits & (1 << 64) - 1), "high": signed(bits >> 64)})
+            if spans:
                 rows += [{"what": "entity", "entity": c, "context": about} for c in entities(text, spans)]
             if len(rows) >= 20_000:
                 yield pa.RecordBatch.from_pylist(rows, SEEN_SCHEMA)
@@ -190,14 +222,17 @@ def bitmap(terms: DataFrame, col: str) -> bytes:
 
 
 class Maybe(dict):
-    """word -> its term, or None where the bitmap rules it out."""
+    """word -> its revealing shape, or its term, or None where the bitmap rules it out."""
 
-    def __init__(self, bits: bytes):
-        self.bits = bits
+    def __init__(self, bits: bytes, shapes: frozenset[int] = frozenset()):
+        self.bits, self.shapes = bits, shapes
 
     def __missing__(self, word: str) -> str | None:
         if len(self) >= HELD:
             self.clear()
+        if self.shapes and (own := shape(word)) in self.shapes:
+            self[word] = f"{SHAPE}{own}"
+            return self[word]
         term = word.lower()
         at = zlib.crc32(term.encode("utf-8", "replace")) % BITS
         value = self[word] = term if self.bits[at >> 3] >> (at & 7) & 1 else None
@@ -226,11 +261,34 @@ def meet(bits, common):
     return run
 
 
-def mark(bits):
+#: What the name of a shape begins with; no term does.
+SHAPE = "shape "
+
+
+def telling_shapes(seen: DataFrame) -> dict[int, float]:
+    """Shapes (at most 128) that disclose that a text holds an entity, with their disclosure."""
+    own = seen.filter("what = 'text'").groupBy("context").agg(F.max("n").alias("n"), F.max("low").alias("low"), F.max("high").alias("high"))
+    bit = F.when(F.col("code") < 64, F.call_function("shiftrightunsigned", F.col("low"), F.col("code"))).otherwise(F.call_function("shiftrightunsigned", F.col("high"), F.col("code") - 64))
+    per = own.withColumn("code", F.explode(F.sequence(F.lit(-1), F.lit(127)))).filter((F.col("code") < 0) | (bit.bitwiseAND(F.lit(1).cast("long")) == 1))
+    counts = {r["code"]: (r["t"], r["ct"]) for r in per.groupBy("code").agg(F.count(F.lit(1)).alias("t"), F.sum("n").alias("ct")).collect()}
+    total, held = counts.pop(-1, (0, 0))
+    if not 0 < held < total:
+        return {}
+    out = {}
+    for code, (t, ct) in counts.items():
+        p, z = ct / t, DEVIATIONS
+        low = (p + z * z / (2 * t) - z * sqrt(p * (1 - p) / t + z * z / (4 * t * t))) / (1 + z * z / t)
+        share = log(low * total / held) / log(total / held) if low > 0 else 0.0
+        if ct >= SUPPORT and share >= SHAPE_THRESHOLD:
+            out[code] = share
+    return out
+
+
+def mark(bits, shapes: frozenset[int]):
     """Rows with ``spans`` (the base spans of a document) and rows with ``term, start, end`` (a word that may be revealing)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe = Maybe(bits.value)
+        maybe = Maybe(bits.value, shapes)
         for batch in batches:
             rows = []
             for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -261,6 +319,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     bound = entity.agg(F.coalesce(F.max("most"), F.lit(0.0))).first()[0]
     counted = seen.filter("what = 'term'").groupBy("term").agg(F.sum("n").alias("n_t")).filter(F.col("n_t") >= support)
     counted = scratch.save(counted, "counted")
+    shapes = telling_shapes(seen)
     scratch.drop("seen")
     common = counted.filter(F.col("n_t") > bound).orderBy(F.desc("n_t"), "term").limit(COMMON).select("term").collect()
     common = spark.sparkContext.broadcast(frozenset(r["term"] for r in common))
@@ -272,11 +331,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     pairs = pairs.groupBy("entity", "term", "n_c", "n_t").agg(F.sum("k").alias("n_ct"), F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= support)
     share = F.log(F.col("n_ct") * total / (F.col("n_c") * F.col("n_t"))) / F.log(F.lit(total) / F.col("n_c"))
     revealing = pairs.select("term", share.alias("disclosure")).filter(F.col("disclosure") >= threshold).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
-    revealing = scratch.save(revealing, "revealing")
+    known = spark.createDataFrame([(f"{SHAPE}{code}", d) for code, d in shapes.items()], "term string, disclosure double")
+    revealing = scratch.save(revealing.union(known), "revealing")
     scratch.drop("met")
     scratch.drop("counted")
     bits = spark.sparkContext.broadcast(bitmap(revealing, "term"))
-    marked = scratch.save(own.mapInArrow(mark(bits), MARKED), "marked")
+    marked = scratch.save(own.mapInArrow(mark(bits, frozenset(shapes)), MARKED), "marked")
     base = marked.filter("spans is not null").select("row", "doc_id", F.col("spans").alias("base"))
     spans = marked.filter("spans is null").select("row", "term", "start", "end").join(revealing, "term")
     added = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "disclosure"))).alias("added"))
@@ -294,10 +354,12 @@ def listed(spans: Column) -> Column:
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with entities and revealing terms generalised to ``[KIND]`` or, where they disclose nearly all, removed.
 
-    Identifiers must be unique.
+    Rows that repeat an identifier are told apart by their texts.
     """
-    found = find(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), "base", "added")
     names = docs.columns
+    mine = docs.select(F.struct(*[F.col(c) for c in names]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    mine = mine.withColumn("_key", F.xxhash64(F.sha2(F.coalesce("_text", F.lit("")), 256)))
+    found = find(mine, "_key", "_text").select(F.col("doc_id").alias("_key"), "base", "added").dropDuplicates(["_key"])
 
     @F.pandas_udf("string")
     def redact(text: pd.Series, base: pd.Series, added: pd.Series) -> pd.Series:
@@ -314,5 +376,5 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
         return pd.Series([one(*x) for x in zip(text, base, added)])
 
-    joined = docs.join(found, docs[id_col].cast("long").eqNullSafe(found["_id"]), "left")
-    return joined.withColumn(text_col, redact(F.col(text_col), "base", "added")).select(*names)
+    clean = redact(F.col("_text"), "base", "added")
+    return mine.join(found, "_key", "left").withColumn("_clean", clean).select(*[(F.col("_clean") if n == text_col else F.col("_row").getField(n)).alias(n) for n in names])
