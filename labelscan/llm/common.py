@@ -1,8 +1,8 @@
 """Helpers shared by the corpus operators: scratch tables, distributed prefix sums, word expressions.
 
 Scratch tables live below ``spark.checkpoint.dir`` (a folder all executors share), so a lost executor
-never takes an intermediate result with it.  Only where that setting is absent (tests) a temporary
-folder of our own is used.
+never takes an intermediate result with it.  Only where that setting is absent and Spark runs in one process (tests) a
+temporary folder of our own is used.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; set to a temporary folder only where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="labelscan-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")

@@ -271,6 +271,7 @@ def test_components_of_a_long_chain(spark):
 def test_mixing(spark, docs, empty):
     parts, pieces = mixing.mix(docs, block=64, shards=5)
     again = {(r["doc_id"], r["taken"]) for r in mixing.mix(docs, block=64, shards=5)[0].collect()}
+    assert again != {(r["doc_id"], r["taken"]) for r in mixing.mix(docs, block=64, shards=5, seed=8)[0].collect()}
     found, drawn = parts.collect(), pieces.collect()
     sizes = {i: len(WORD.findall(t or "")) for i, t, _ in rows()}
     sources = defaultdict(int)
