@@ -11,13 +11,6 @@ from pyspark.sql.types import DoubleType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# Patterns of declarations (Java dialect, (?i) given by the caller).
-QUANTITY = r"\b(\d+(?:\.\d+)?)\s*(g|gm|gms|grams?|kg|kgs|ml|l|ltr|litres?)\b"
-DATE = r"\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b|\b\d{1,2}[./-]\d{2,4}\b"
-PHONE = r"\b\d{10}\b"
-EMAIL = r"[\w.+-]+@[\w.-]+\.[a-z]{2,}\b"
-PRICE = r"^(?:₹|rs\.?|inr)?\s*\d{1,5}(?:\.\d{1,2})?$"
-
 
 def ascii_fold(x: Column) -> Column:
     return F.translate(x, UPPER, LOWER)
@@ -51,17 +44,3 @@ def ratio(a: str | None, b: str | None) -> float | None:
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
-
-
-def is_price(x: Column) -> Column:
-    token = F.rtrim(F.trim(x), F.lit(".,:;)"))
-    return F.lower(token).rlike(PRICE) & ~F.contains(token, F.lit("/"))
-
-
-def valid_date(x: Column) -> Column:
-    """Day, month and year that exist, or a month and a year of two or four digits."""
-    d, m, y = (F.regexp_extract(x, r"^(\d{1,2})[./-](\d{1,2})[./-](\d{2}|\d{4})$", k) for k in (1, 2, 3))
-    year = F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
-    whole = F.try_to_date(F.concat_ws("/", d, m, year), "d/M/yyyy").isNotNull()
-    month = F.regexp_extract(x, r"^(\d{1,2})[./-](\d{2}|\d{4})$", 1)
-    return F.coalesce(F.when(d != "", whole).otherwise((month != "") & month.try_cast("int").between(1, 12)), F.lit(False))

@@ -6,10 +6,13 @@ sides share one exchange on (document, line).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import bounds, distance, overlap_ratio
+from ..functions.text import ratio
+from .extract import numbered
 
 
 def line_text(words: DataFrame) -> DataFrame:
@@ -76,3 +79,55 @@ def overlapping(first: DataFrame, second: DataFrame, least: float = 0.2) -> Data
 def upper_median_height(words: DataFrame) -> DataFrame:
     """The upper median of a document's word heights."""
     return words.groupBy("doc_id").agg(F.element_at(F.array_sort(F.collect_list("height")), (F.floor(F.count(F.lit(1)) / 2) + 1).cast("int")).alias("median_height"))
+
+
+def merged(passes: DataFrame, keys: list[str], order: str, words_col: str = "words") -> DataFrame:
+    """``keys, words``: the words of several passes over an image without repeated readings of a place.
+
+    In the order of the passes, a word that overlaps one that is held, of equal or nearly equal text, takes its place if it is surer and has no
+    less detail, and goes otherwise; held words come from top to bottom.  The fold needs its order, so it is one helper in Python.
+    """
+    kind = passes.schema[words_col].dataType.simpleString()
+
+    @F.pandas_udf(kind)
+    def fold(rows: pd.Series) -> pd.Series:
+        return pd.Series([sorted(held(list(row)), key=lambda w: (w["top"], w["left"])) for row in rows])
+
+    every = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("n"), F.coalesce(words_col, F.array().cast(kind)).alias("w")))), lambda x: x["w"]))
+    return passes.groupBy(*keys).agg(every.alias("_words")).select(*keys, fold("_words").alias(words_col))
+
+
+def held(words: list[dict]) -> list[dict]:
+    """Words that stay of a sequence of readings."""
+    kept: list[dict] = []
+    for word in words:
+        place = next((k for k, old in enumerate(kept) if same_reading(word, old)), None)
+        if place is None:
+            kept.append(word)
+        elif word["conf"] > kept[place]["conf"] and detail(word["text"]) >= detail(kept[place]["text"]):
+            kept[place] = word
+    return kept
+
+
+def same_reading(a: dict, b: dict) -> bool:
+    x, y = a["text"].casefold(), b["text"].casefold()
+    sides = [max(0, min(a[s] + a[n], b[s] + b[n]) - max(a[s], b[s])) for s, n in (("left", "width"), ("top", "height"))]
+    area = min(a["width"] * a["height"], b["width"] * b["height"])
+    share = sides[0] * sides[1] / area if area else 0.0
+    return share >= (0.2 if x == y else 0.7) and (x == y or ratio(x, y) >= 0.75)
+
+
+def detail(text: str) -> int:
+    """Alphanumeric characters, one more where letters and digits are mixed."""
+    own = [c for c in text if c.isalnum()]
+    return len(own) + (any(map(str.isalpha, own)) and any(map(str.isdigit, own)))
+
+
+def rebuilt(results: DataFrame, words_col: str = "words") -> DataFrame:
+    """``results`` with ``text`` for the words: line by line in the order given, a line's words from left to right."""
+    keep = [c for c in results.columns if c != words_col]
+    df = results.withColumn("_w", F.coalesce(F.col(words_col), F.array().cast(results.schema[words_col].dataType))).withColumn("_n", numbered(F.col("_w"), 8))
+    place = F.zip_with(F.transform("_w", lambda w, i: F.struct(w["left"].alias("left"), i.alias("i"), w["text"].alias("text"))), "_n", lambda w, n: F.struct(n.alias("n"), w["left"].alias("left"), w["i"].alias("i"), w["text"].alias("text")))
+    of_line = lambda n: F.array_join(F.transform(F.filter(F.array_sort(place), lambda x: x["n"] == n), lambda x: x["text"]), " ")
+    text = F.when(F.size("_w") == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.array_max("_n")), of_line), "\n"))
+    return df.select(*keep, text.alias("text"))

@@ -1,8 +1,9 @@
-"""Golden cases of the declaration extractors."""
+"""Golden cases of the declaration extractors, all in one table."""
 
 import pytest
 
 from labelscan.operators import extract as ex
+from labelscan.operators import words as word_ops
 from labelscan.operators.extract import FOUND, NOT_FOUND, UNCERTAIN
 from layouts import words
 
@@ -40,39 +41,49 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("lines, expected", CASES)
-def test_golden(lines, expected):
-    found = ex.extract(words(*lines))
-    for key, (status, value) in expected.items():
-        assert (key, found[key]["status"]) == (key, status), found[key]
-        if value is not None or status != FOUND:
-            assert found[key]["value"] == value, found[key]
+SCHEMA = "id long, words array<struct<text:string,conf:double,left:int,top:int,width:int,height:int,provider:string,original_text:string>>"
+MORE = [("Packed and Marketed By", "Example Foods Pvt Ltd"), ("Nutrition Energy 20", "MARKETED BY:", "Nutri Being Pvt Ltd."), ("Marketed By", "Nutrition Foods Pvt Ltd", "Acme Foods Pvt Ltd"), ("Net Weight 2509@78",), ("FOR MRP", "45.00"), ()]
 
 
-def test_maker_names():
-    assert "Foods" in ex.extract(words("Packed and Marketed By", "Example Foods Pvt Ltd"))[MAKER]["value"]
-    assert ex.extract(words("Nutrition Energy 20", "MARKETED BY:", "Nutri Being Pvt Ltd."))[MAKER]["value"] == "Nutri Being Pvt"
-    value = ex.extract(words("Marketed By", "Nutrition Foods Pvt Ltd", "Acme Foods Pvt Ltd"))[MAKER]["value"]
-    assert "Acme" in value and "Nutrition" not in value
+@pytest.fixture(scope="module")
+def found(spark):
+    """(number of the case, field) -> record, of one job over all cases."""
+    rows = [(k, words(*lines)) for k, lines in enumerate([c for c, _ in CASES] + MORE)] + [(900, None)]
+    out = {}
+    for r in ex.declarations(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect():
+        out[r["id"], r["field_key"]] = r
+    assert len(out) == 6 * len(rows)
+    return out
 
 
-def test_evidence():
-    found = ex.extract(words("Net Weight 2509@78"))[NET]
-    assert "2509" in found["evidence_text"] and "Normalized" in found["reason"]
-    price = ex.extract(words("FOR MRP", "45.00"))[MRP]
-    assert price["bbox"]["top"] == 200 and ex.extract([])[NET]["status"] == NOT_FOUND
+@pytest.mark.parametrize("case", range(len(CASES)))
+def test_golden(found, case):
+    for key, (status, value) in CASES[case][1].items():
+        own = found[case, key]
+        assert (key, own["status"]) == (key, status), own
+        if value is not None or status != FOUND:
+            assert own["value"] == value, own
 
 
-def test_merge_and_rebuild():
-    box = lambda text, conf, left: {"text": text, "conf": conf, "left": left, "top": 100, "width": 40, "height": 12}
-    kept = ex.merge([box("Weight", 55, 100)], [box("Weight", 91, 102), box("Weight", 80, 300)])
-    assert [w["conf"] for w in kept] == [91, 80]
-    assert ex.rebuilt(words("a b", "c")) == "a b\nc"
+def test_maker_names(found):
+    n = len(CASES)
+    assert "Foods" in found[n, MAKER]["value"] and found[n + 1, MAKER]["value"] == "Nutri Being Pvt"
+    assert "Acme" in found[n + 2, MAKER]["value"] and "Nutrition" not in found[n + 2, MAKER]["value"]
 
 
-def test_distributed(spark):
-    rows = [(1, words("Net Weight 250g")), (2, []), (3, None)]
-    df = spark.createDataFrame(rows, "id long, words array<struct<text:string,conf:double,left:int,top:int,width:int,height:int,provider:string,original_text:string>>")
-    out = ex.declarations(df).collect()
-    assert len(out) == 18 and {r["value"] for r in out if r["id"] == 1 and r["field_key"] == NET} == {"250g"}
-    assert {r["status"] for r in out if r["id"] == 2} == {NOT_FOUND}
+def test_evidence(found):
+    n = len(CASES)
+    net, price = found[n + 3, NET], found[n + 4, MRP]
+    assert "2509" in net["evidence_text"] and "Normalized" in net["reason"] and "'250g'" in net["reason"]
+    assert price["bbox"]["top"] == 200 and price["matched_marker"] == "MRP"
+    assert {found[k, key]["status"] for k in (n + 5, 900) for key in ex.FIELDS} == {NOT_FOUND}
+
+
+def test_merge_and_rebuild(spark):
+    box = lambda text, conf, left: {"text": text, "conf": conf, "left": left, "top": 100, "width": 40, "height": 12}
+    rows = [(1, 0, [box("Weight", 55.0, 100)]), (1, 1, [box("Weight", 91.0, 102), box("Weight", 80.0, 300)]), (2, 0, []), (3, 0, None)]
+    df = spark.createDataFrame(rows, "id long, pass int, words array<struct<text:string,conf:double,left:int,top:int,width:int,height:int>>")
+    out = {r["id"]: r for r in word_ops.merged(df, ["id"], "pass").collect()}
+    assert [w["conf"] for w in out[1]["words"]] == [91, 80] and out[2]["words"] == [] and out[3]["words"] == []
+    lines = spark.createDataFrame([(1, words("a b", "c")), (2, [])], SCHEMA)
+    assert {r["id"]: r["text"] for r in word_ops.rebuilt(lines).collect()} == {1: "a b\nc", 2: ""}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelscan.functions import geometry, text
-from labelscan.operators import decisions, history, review
+from labelscan.operators import decisions, extract, history, review
 from labelscan.sources import dims, readers
 from labelscan.streaming import trend
 
@@ -111,9 +111,7 @@ def test_geometry(spark):
 
 def test_text(spark):
     df = spark.createDataFrame([("31/02/24",), ("29/02/2024",), ("13/2024",), ("04/24",), ("04/225",)], "x string")
-    assert [r[0] for r in df.select(text.valid_date(F.col("x"))).collect()] == [False, True, False, True, False]
-    df = spark.createDataFrame([("Rs.600.00",), ("0.45/g",), ("45.00,",), ("123456",)], "x string")
-    assert [r[0] for r in df.select(text.is_price(F.col("x"))).collect()] == [True, False, True, False]
+    assert [r[0] for r in df.select(extract.real_date(F.col("x"))).collect()] == [False, True, False, True, False]
     df = spark.createDataFrame([("250g",), ("Weight",)], "x string")
     assert [r[0] for r in df.select(text.text_detail(F.col("x"))).collect()] == [5, 6]
 
