@@ -125,9 +125,21 @@ def with_reviews(reports: DataFrame, decisions: DataFrame) -> DataFrame:
     return reports.join(decisions, "id", "left")
 
 
-def fan_out(records: DataFrame) -> dict[str, DataFrame]:
-    """Star rows of records ``id, product_name, created_at, overall_result, fields map<string, boolean>``; keys are derived, not serial."""
+def fan_out(records: DataFrame, stored: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Star rows of records ``id, product_name, created_at, overall_result, fields map<string, boolean>``; keys are derived, not serial.
+
+    Rows whose key is stored already, or comes again, are ignored, so a record may be delivered any number of times.
+    """
     product_id = F.sha2(F.col("id").cast("string"), 256)
-    inspections = records.select(F.col("id").alias("inspection_id"), product_id.alias("product_id"), "created_at", (F.col("overall_result") == "PASS").alias("compliant"))
-    violations = records.select(F.col("id").alias("inspection_id"), F.explode("fields").alias("field_key", "present")).filter("not present").select("inspection_id", "field_key")
-    return {"products": records.select(product_id.alias("product_id"), F.col("id").alias("item_id"), "product_name").dropDuplicates(["product_id"]), "inspections": inspections, "violations": violations}
+    new = {
+        "products": records.select(product_id.alias("product_id"), F.col("id").alias("item_id"), "product_name"),
+        "inspections": records.select(F.col("id").alias("inspection_id"), product_id.alias("product_id"), "created_at", (F.col("overall_result") == "PASS").alias("compliant")),
+        "violations": records.select(F.col("id").alias("inspection_id"), F.explode("fields").alias("field_key", "present")).filter("not present").select("inspection_id", "field_key"),
+    }
+    keys = {"products": ["product_id"], "inspections": ["inspection_id"], "violations": ["inspection_id", "field_key"]}
+    out = {}
+    for name, rows in new.items():
+        rows = rows.dropDuplicates(keys[name])
+        old = (stored or {}).get(name)
+        out[name] = rows if old is None else old.unionByName(rows.join(old.select(*keys[name]), keys[name], "left_anti"))
+    return out

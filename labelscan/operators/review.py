@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.dims import STATUSES
+from .reports import review_reasons
 
 
 def blank(x: str) -> Column:
@@ -82,5 +83,5 @@ def session(events: DataFrame, *order: str) -> DataFrame:
 
 
 def pending_rows(reports: DataFrame) -> DataFrame:
-    """Reports that need a human, with the reasons of fields under review only."""
-    return reports.filter("overall_result = 'REVIEW'")
+    """Reports under review with ``reasons`` (field -> reason) of the fields that are, from ``decisions`` (field -> status and reason)."""
+    return reports.filter("overall_result = 'REVIEW'").withColumn("reasons", review_reasons(F.col("decisions"))).drop("decisions")

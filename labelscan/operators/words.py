@@ -1,7 +1,7 @@
 """Relational operators over OCR words: line text, boxes, spatial joins within a document.
 
-Band joins become equi-joins: the anchor side is repeated for the few lines its band can meet, so that both
-sides share one exchange on (document, line).
+Band joins become equi-joins: words lie in the cells of a grid, the anchor side is repeated for the few cells its
+reach touches, and both sides share one exchange on (document, cell).  Long lines and documents spread over many cells.
 """
 
 from __future__ import annotations
@@ -25,44 +25,56 @@ def boxes(words: DataFrame) -> DataFrame:
     return words.groupBy("doc_id", "line").agg(*bounds(F.col("x"), F.col("top"), F.col("width"), F.col("height")))
 
 
-def near_lines(anchors: DataFrame, reach: int) -> DataFrame:
-    """Anchors once for each line within ``reach`` lines of theirs; their columns get the prefix ``a_``."""
-    own = anchors.select("doc_id", *[F.col(c).alias(f"a_{c}") for c in anchors.columns if c != "doc_id"])
-    return own.withColumn("line", F.explode(F.sequence(F.col("a_line") - reach, F.col("a_line") + reach)))
+#: Side of the cells in which words look for anchors, in pixels.
+CELL = 256
 
 
 def center(prefix: str = "") -> tuple[Column, Column]:
     return F.col(f"{prefix}x") + F.col(f"{prefix}width") / 2, F.col(f"{prefix}top") + F.col(f"{prefix}height") / 2
 
 
+def in_cells(words: DataFrame) -> DataFrame:
+    """Words with the cell of their centre."""
+    x, y = center()
+    return words.withColumn("gx", F.floor(x / CELL)).withColumn("gy", F.floor(y / CELL))
+
+
+def around(anchors: DataFrame, x_reach: int, y_reach: int) -> DataFrame:
+    """Anchors once for each cell that their reach touches; their columns get the prefix ``a_``."""
+    own = anchors.select("doc_id", *[F.col(c).alias(f"a_{c}") for c in anchors.columns if c != "doc_id"])
+    x, y = center("a_")
+    own = own.withColumn("gx", F.explode(F.sequence(F.floor((x - x_reach) / CELL), F.floor((x + x_reach) / CELL))))
+    return own.withColumn("gy", F.explode(F.sequence(F.floor((y - y_reach) / CELL), F.floor((y + y_reach) / CELL))))
+
+
 def apart() -> Column:
     return distance(*center(), *center("a_"))
 
 
-def nearby(words: DataFrame, anchors: DataFrame, x_reach: int = 350, y_reach: int = 90, line_height: int = 20) -> DataFrame:
+def nearby(words: DataFrame, anchors: DataFrame, x_reach: int = 350, y_reach: int = 90) -> DataFrame:
     """Semi-join: words whose centre lies in the box around some anchor's centre."""
-    reach = (y_reach + 20) // line_height + 1
     (x, y), (ax, ay) = center(), center("a_")
-    found = words.join(near_lines(anchors, reach), ["doc_id", "line"]).filter((F.abs(x - ax) <= x_reach) & (F.abs(y - ay) <= y_reach))
-    return found.select(*words.columns).dropDuplicates(["doc_id", "line", "pos"])
+    within = (F.abs(x - ax) <= x_reach) & (F.abs(y - ay) <= y_reach)
+    w, a = in_cells(words).alias("w"), around(anchors, x_reach, y_reach).alias("a")
+    same = (F.col("w.doc_id") == F.col("a.doc_id")) & (F.col("w.gx") == F.col("a.gx")) & (F.col("w.gy") == F.col("a.gy"))
+    return w.join(a, same & within, "left_semi").select(*words.columns)
 
 
-def nearest(values: DataFrame, markers: DataFrame, limit: int = 180, line_height: int = 20) -> DataFrame:
+def nearest(values: DataFrame, markers: DataFrame, limit: int = 180) -> DataFrame:
     """Each value's nearest marker within ``limit`` that its reading direction allows: to its left on the line, or above and about in line."""
-    reach = limit // line_height + 1
     (x, y), (ax, ay) = center(), center("a_")
     same = F.abs(y - ay) <= F.greatest(F.lit(16), F.col("height"), F.col("a_height"))
     fits = F.when(same, x >= ax - 12).otherwise((y >= ay - 8) & (x >= ax - 50) & (x <= ax + 180))
-    met = values.join(near_lines(markers, reach), ["doc_id", "line"]).withColumn("distance", apart()).filter((F.col("distance") <= limit) & fits)
-    first = F.row_number().over(Window.partitionBy("doc_id", "line", "pos").orderBy("distance", "a_line", "a_pos"))
-    return met.withColumn("_n", first).filter("_n = 1").select("doc_id", "line", "pos", "word", F.col("a_line").alias("marker_line"), F.col("a_pos").alias("marker_pos"), F.col("a_word").alias("marker"), "distance")
+    met = in_cells(values).join(around(markers, limit, limit), ["doc_id", "gx", "gy"]).withColumn("distance", apart()).filter((F.col("distance") <= limit) & fits)
+    best = F.min(F.struct("distance", F.col("a_line").alias("marker_line"), F.col("a_pos").alias("marker_pos"), F.col("a_word").alias("marker"))).alias("m")
+    return met.groupBy("doc_id", "line", "pos", "word").agg(best).select("doc_id", "line", "pos", "word", "m.marker_line", "m.marker_pos", "m.marker", "m.distance")
 
 
-def without_above(values: DataFrame, markers: DataFrame, limit: int = 220, line_height: int = 20) -> DataFrame:
+def without_above(values: DataFrame, markers: DataFrame, limit: int = 220) -> DataFrame:
     """Anti-join: values that have no marker within ``limit`` at their height or above."""
-    reach = limit // line_height + 1
-    met = values.join(near_lines(markers, reach), ["doc_id", "line"]).filter((apart() <= limit) & (F.col("a_top") <= F.col("top"))).select("doc_id", "line", "pos").distinct()
-    return values.join(met, ["doc_id", "line", "pos"], "left_anti")
+    w, a = in_cells(values).alias("w"), around(markers, limit, limit).alias("a")
+    same = (F.col("w.doc_id") == F.col("a.doc_id")) & (F.col("w.gx") == F.col("a.gx")) & (F.col("w.gy") == F.col("a.gy"))
+    return w.join(a, same & (apart() <= limit) & (F.col("a_top") <= F.col("top")), "left_anti").select(*values.columns)
 
 
 def overlapping(first: DataFrame, second: DataFrame, least: float = 0.2) -> DataFrame:
@@ -98,14 +110,22 @@ def merged(passes: DataFrame, keys: list[str], order: str, words_col: str = "wor
 
 
 def held(words: list[dict]) -> list[dict]:
-    """Words that stay of a sequence of readings."""
+    """Words that stay of a sequence of readings; a grid tells which held ones a word can overlap."""
     kept: list[dict] = []
+    grid: dict[tuple[int, int], list[int]] = {}
+    cells = lambda w: [(x, y) for x in range(w["left"] // 64, (w["left"] + w["width"]) // 64 + 1) for y in range(w["top"] // 64, (w["top"] + w["height"]) // 64 + 1)]
     for word in words:
-        place = next((k for k, old in enumerate(kept) if same_reading(word, old)), None)
+        near = sorted({k for c in cells(word) for k in grid.get(c, ())})
+        place = next((k for k in near if same_reading(word, kept[k])), None)
         if place is None:
+            place = len(kept)
             kept.append(word)
         elif word["conf"] > kept[place]["conf"] and detail(word["text"]) >= detail(kept[place]["text"]):
             kept[place] = word
+        else:
+            continue
+        for c in cells(word):
+            grid.setdefault(c, []).append(place)
     return kept
 
 

@@ -1,0 +1 @@
+from . import catalogue, labels, reports  # noqa: F401  (they register their queries)

@@ -320,7 +320,7 @@ def upper_median_height(spark, d):
     return word_ops.upper_median_height(adapters.words(spark, d))
 
 
-VALUES_SQL = "digits AS (SELECT * FROM words WHERE regexp_matches(word, '[0-9]')), marks AS (SELECT * FROM words WHERE contains(word, '@')), spread AS (SELECT sqrt((a.x + a.width / 2 - m.x - m.width / 2) ** 2 + (a.top + a.height / 2 - m.top - m.height / 2) ** 2) AS distance, a.doc_id, a.line, a.pos, a.word, a.x + a.width / 2 AS cx, a.top + a.height / 2 AS cy, a.top, a.height, m.x + m.width / 2 AS mx, m.top + m.height / 2 AS my, m.height AS mh, m.top AS mtop, m.line AS marker_line, m.pos AS marker_pos, m.word AS marker FROM digits a JOIN marks m USING (doc_id))"
+VALUES_SQL = "digits AS (SELECT * FROM words WHERE regexp_matches(word, '[0-9]')), marks AS (SELECT * FROM words WHERE contains(word, '@')), spread AS (SELECT sqrt((a.x + a.width / 2 - m.x - m.width / 2) ** 2 + (a.top + a.height / 2 - m.top - m.height / 2) ** 2) AS distance, a.doc_id, a.line, a.pos, a.word, a.x + a.width / 2 AS cx, a.top + a.height / 2 AS cy, a.top, a.height, m.x + m.width / 2 AS mx, m.top + m.height / 2 AS my, m.height AS mh, m.top AS mtop, m.line AS marker_line, m.pos AS marker_pos, m.word AS marker FROM digits a JOIN (SELECT *, unnest(range(line - 13, line + 14)) AS near FROM marks) m ON a.doc_id = m.doc_id AND a.line = m.near)"
 adapters.SQL["spread"] = VALUES_SQL
 
 
@@ -347,7 +347,7 @@ def drained_anti(spark, d):
 
 
 @query("""SELECT doc_id, line, pos, b_pos, ratio FROM (SELECT a.doc_id, a.line, a.pos, b.pos AS b_pos, greatest(0, least(a.x + a.width, b.x + 5 + b.width) - greatest(a.x, b.x + 5)) * greatest(0, least(a.top + a.height, b.top + 3 + b.height) - greatest(a.top, b.top + 3))
-    / least(a.width * a.height, b.width * b.height) AS ratio FROM digits a JOIN digits b ON a.doc_id = b.doc_id AND a.line = b.line) WHERE ratio >= 0.2""", "words", "spread")
+    / least(a.width * a.height, b.width * b.height) AS ratio FROM (SELECT *, x // 512 AS cell FROM digits) a JOIN (SELECT *, unnest(range((x + 5) // 512 - 1, (x + 5 + width) // 512 + 1)) AS cell FROM digits) b ON a.doc_id = b.doc_id AND a.line = b.line AND a.cell = b.cell) WHERE ratio >= 0.2""", "words", "spread")
 def word_overlap_pairs(spark, d):
     first, _ = digits_and_marks(spark, d)
     return word_ops.overlapping(first, first.withColumn("x", F.col("x") + 5).withColumn("top", F.col("top") + 3))

@@ -22,13 +22,21 @@ def manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def image_files(spark: SparkSession, path: str) -> DataFrame:
-    """Image bytes with their identity and the side named in the file name; labels by position where none is named."""
+    """Image bytes with their identity and the side named in the file name, null where none is."""
     files = spark.read.format("binaryFile").load(path)
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     label = F.when(name.contains("front"), "front").when(name.contains("back"), "back").when(name.contains("side"), "side")
     return files.select("path", label.alias("label"), "length", bytes_identity(F.col("content")).alias("source_identity"), "content")
 
 
+def jdbc_table(spark: SparkSession, url: str, name: str, column: str | None = None, low: int = 0, high: int = 0, parts: int = 1) -> DataFrame:
+    """A table of a database, read in ``parts`` ranges of a numeric column; predicates and columns are pushed to it."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", name)
+    if column:
+        reader = reader.option("partitionColumn", column).option("lowerBound", low).option("upperBound", high).option("numPartitions", parts)
+    return reader.load()
+
+
 def source_identity(source):
     return F.sha2(F.concat(F.lit("source:").cast("binary"), F.unhex(F.lit("00")), F.encode(source, "UTF-8")), 256)
 

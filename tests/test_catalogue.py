@@ -44,3 +44,15 @@ def test_fuzzy_vocabulary(spark):
 
     found = QUERIES["fuzzy_vocab"](spark, FOLDER).collect()
     assert all(r["ratio"] >= 0.85 and r["ratio"] == pytest.approx(ratio(r["token"], r["term"])) for r in found)
+
+
+def test_fuzzy_vocabulary_is_complete(spark, tmp_path):
+    """Every spelling that is near enough is found, against all pairs."""
+    from labelscan.functions.text import ratio
+    from labelscan.sources.dims import VOCABULARY
+
+    tokens = {t[:k] + x + t[k + j :] for t in VOCABULARY for k in range(len(t)) for x in ("", "q") for j in (0, 1)}
+    spark.createDataFrame([(k, t) for k, t in enumerate(sorted(tokens))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spelled = {"".join(c for c in w if "a" <= c <= "z") for t in tokens for w in t.split(" ")}
+    want = {(s, t) for s in spelled if len(s) >= 4 for t in VOCABULARY if abs(len(s) - len(t)) <= 2 and ratio(s, t) >= 0.85}
+    assert {(r["token"], r["term"]) for r in QUERIES["fuzzy_vocab"](spark, f"file://{tmp_path}").collect()} == want and len(want) > 100
