@@ -109,7 +109,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     pieces = pieces.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("stop") - 1) / block)))).join(drawn, ["src", "block"])
     begin, end = F.greatest(F.col("at"), F.col("block") * block), F.least(F.col("stop"), F.col("block") * block + F.col("len"))
     pieces = pieces.withColumn("start", begin - F.col("at")).withColumn("length", end - begin).filter("length > 0")
-    pieces = pieces.withColumn("block_order", unit(F.lit(seed), "shard", "src", "block")).withColumn("u", unit(F.lit(seed + 1), "row", "epoch", "start"))
+    pieces = pieces.withColumn("block_order", unit(F.lit(seed), "shard", "src", "block")).withColumn("u", unit(F.lit(seed + 1), "doc_id", "epoch", "start"))
     pieces = scratch.save(pieces.select("row", "doc_id", "src", "shard", "block_order", "u", "epoch", "start", "length"), "pieces")
     taken = pieces.groupBy("row").agg(F.sum("length").alias("taken"))
     out = df.select("row", "doc_id", "size", "source_size", "target").join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
