@@ -505,7 +505,44 @@ def test_sharding(spark, docs, empty):
     assert sharding.shard(docs).count() == len(rows()) and sharding.shard(empty).count() == 0
 
 
+def brute_taken(data, block=None, seed=mixing.SEED):
+    """doc_id -> words that the mix takes, from (doc_id, text, source), in plain Python."""
+    size = {i: len(WORD.findall(t or "")) for i, t, _ in data}
+    per = defaultdict(int)
+    for i, _, s in data:
+        per[s] += size[i]
+    order = sorted(per, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: k % 3 + 1 for k, s in enumerate(order)}
+    target, free, left = {}, set(order), float(sum(per.values()))
+    while free:
+        share = left / sum(weight[s] for s in free)
+        over = {s for s in free if share * weight[s] > 3 * per[s]}
+        for s in over or free:
+            target[s] = 3.0 * per[s] if over else share * weight[s]
+        left -= sum(target[s] for s in over)
+        free = free - over if over else set()
+    block = block or min(mixing.MOST_BLOCK, max(mixing.LEAST_BLOCK, sum(per.values()) // mixing.BLOCKS))
+    md5 = lambda x: hashlib.md5(f"{seed}:{x}".encode()).hexdigest()
+    taken = Counter()
+    for src, s in enumerate(order, 1):
+        line = [i for i, _ in sorted(((i, md5(i)) for i, _, z in data if z == s), key=lambda x: (x[1], x[0])) for _ in range(size[i])] * 3
+        left = int(target[s] + 0.5)
+        for k in sorted(range(-(-len(line) // block)), key=lambda k: (md5(f"{src}:{k}"), k)):
+            drawn = line[k * block : (k + 1) * block][: max(left, 0)]
+            taken.update(drawn)
+            left -= len(drawn)
+    return taken
+
+
+def test_mixing_against_brute_force(spark, docs):
+    for block in (None, 40):
+        got = {r["doc_id"]: r["taken"] for r in mixing.mix(docs, block=block)[0].collect()}
+        want = brute_taken(rows(), block)
+        assert got == {i: want[i] for i, _, _ in rows()}
+
+
 def test_pipeline(spark, tmp_path):
+    """Every stage against brute force, and run() against the stages: who stays, words that are mixed, ids that are packed."""
     import corpus_pipeline
 
     public = pytest.importorskip("public_tokenizers")
@@ -522,5 +559,69 @@ def test_pipeline(spark, tmp_path):
             groups[t].append(i)
     once = [(i, t, s) for i, t, _, s, _ in data if i in good and i == max(groups[t])]
     single = {c for _, c in brute_components(once, 5, 80).values()}
-    assert {r["doc_id"] for r in out} <= single and len({r["doc_id"] for r in out}) >= 0.3 * len(single)
-    assert public and all(r["offset"] + r["length"] <= packing.WINDOW for r in out)
+    kept = [x for x in once if x[0] in single]
+    mixed = mixing.mixed(frame(spark, kept)).collect()
+    words, taken = Counter(), brute_taken(kept)
+    for r in mixed:
+        words[r["doc_id"]] += len(WORD.findall(r["text"]))
+    assert words == +taken and len(single) > 20
+    encode = packing.byte_bpe(public.path("byte_bpe_50k.json"))
+    ids = defaultdict(list)
+    for r in mixed:
+        ids[r["doc_id"]].append(len(encode(r["text"])) + 1)
+    packed = defaultdict(Counter)
+    for r in out:
+        assert r["offset"] + r["length"] <= packing.WINDOW
+        packed[r["doc_id"]][r["doc_tokens"]] += r["length"]
+    assert set(packed) == set(ids) and all(packed[i][n] == n * c for i, own in ids.items() for n, c in Counter(own).items())
+
+
+def test_clashing_columns_and_repeated_rows(spark, docs):
+    """Columns named as inner ones don't get in the way, and equal rows are rows of their own."""
+    for c in ("_locator", "_id", "_key", "_row", "_text", "_kept_at", "base", "added"):
+        docs = docs.withColumn(c, F.lit(None).cast("string"))
+    assert exact_dedup.drop_copies(docs).columns == docs.columns and pii.sanitised(docs).columns == docs.columns == mixing.mixed(docs).columns
+    twice = [(1, "a b c " * 30, "s")] * 3 + [(2, None, None)] * 2 + [(3, "x " * 70, "s")]
+    df = frame(spark, twice)
+    assert exact_dedup.drop_copies(df).count() == 3 and quality.judge(df).count() == sharding.shard(df).count() == pii.find(df).count() == len(twice)
+    assert mixing.mix(df)[0].count() == len(twice) and sum(r["taken"] for r in mixing.mix(df)[0].collect()) == sum(len(r["text"].split()) for r in mixing.mixed(df).collect())
+    assert pii.sanitised(df).count() == len(twice)
+
+
+def test_pii_shapes(spark):
+    """Keys that are written once are found by their shape, which keeps company with personal data; ordinary words are left alone."""
+    import random
+
+    rnd = random.Random(9)
+    key = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(40))
+    plain = [(i, f"ordinary words number {i} of the usual text {rnd.randrange(99)}", "s") for i in range(300)]
+    told = [(1000 + i, f"some text {i} token = \"{key()}\" and {'write jo%d@mail.example' % i if i % 2 else 'no more'}", "s") for i in range(30)]
+    texts = dict((i, t) for i, t, _ in plain + told)
+    added = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["added"]] for r in pii.find(frame(spark, plain + told)).collect()}
+    assert all(any(len(w) == 40 for w in added[i]) for i, _, _ in told) and not any(added[i] for i, _, _ in plain)
+
+
+def test_toxicity_product_automaton():
+    """The composed grammar against its five machines run side by side."""
+    import random
+
+    rnd = random.Random(1)
+    for _ in range(300):
+        states, at = dict.fromkeys(toxicity.MACHINES, 0), 0
+        for c in (rnd.randrange(6) for _ in range(12)):
+            want = 1.0
+            for name, m in toxicity.MACHINES.items():
+                states[name], factor = m.get((states[name], c), (states[name], 1.0))
+                want *= factor
+            at, got = toxicity.GRAMMAR[at, c]
+            assert got == pytest.approx(want)
+
+
+def test_packing_gives_the_ids_of_added_tokens():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    fast, exact = packing.byte_bpe(path, public.path("byte_bpe_50k.tiktoken")), Tokenizer.from_file(path)
+    for t in ["a<|endoftext|>b", "plain words, and more", "<|endoftext|>", "é\u00a0 日本  x"]:
+        assert fast(t) == exact.encode(t, add_special_tokens=False).ids
