@@ -447,6 +447,22 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near-copies (the smallest identifier) stays, with its columns."""
-    kept = join(docs, id_col, text_col, n, percent).filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
+    """One document of each group of near-copies (the smallest identifier) stays, with its columns.
+
+    Only rows that a bitmap of the identifiers to drop lets through are joined; the others stay where they lie.
+    """
+    gone = join(docs, id_col, text_col, n, percent).filter("doc_id <> component_id").select("doc_id").distinct()
+    gone = Scratch(docs.sparkSession, "near-copies").save(gone, "gone")
+    bits, place = docs.sparkSession.sparkContext.broadcast(bitmap(gone, "doc_id")), docs.columns.index(id_col)
+
+    def part(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = Bits(bits.value)
+            for batch in batches:
+                hit = own.has(batch.column(place).cast(pa.int64()).fill_null(0).to_numpy())
+                yield batch.filter(pa.array(hit == wanted))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    asked = part(True)
+    return part(False).unionByName(asked.join(gone.select(F.col("doc_id").alias("_gone_id")), asked[id_col].cast("long") == F.col("_gone_id"), "left_anti"))
