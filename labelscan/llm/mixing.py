@@ -129,14 +129,15 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     mine = mine.withColumn("_key", F.xxhash64(F.coalesce("_id", F.lit(-1)), F.sha2(F.coalesce("_text", F.lit("")), 256), F.coalesce("_source", F.lit(""))))
     parts, pieces = mix(mine, "_id", "_text", "_source", shards=shards, block=block, row_col=F.col("_key"))
     order = ["shard", "block_order", "u"]
-    # equal rows have the same key: each of the pieces that they have together is laid out once
-    pieces = pieces.dropDuplicates(["row", "epoch", "start", "length", *order])
-    mine = mine.dropDuplicates(["_key"])
+    texts = mine.select("_key", "_row")
+    if not parts.groupBy("row").count().filter("count > 1").isEmpty():
+        # equal rows have the same key: each of the pieces that they have together is laid out once
+        pieces, texts = pieces.dropDuplicates(["row", "epoch", "start", "length", *order]), texts.dropDuplicates(["_key"])
     drawn = pieces.join(parts.select("row", F.col("size").alias("_size")).distinct(), "row").select(F.col("row").alias("_key"), "_size", F.col("start").alias("_start"), F.col("length").alias("_length"), *[F.col(c).alias(f"_{c}") for c in order])
-    out = mine.join(drawn, "_key")
-    whole = F.col("_length") == F.col("_size")
-    cut = F.array_join(F.slice(words(F.col("_text")), (F.col("_start") + 1).cast("int"), F.col("_length").cast("int")), " ")
-    changed = {text_col: F.when(whole, F.col("_text")).otherwise(cut)}
+    out = texts.join(drawn, "_key")
+    whole, text = F.col("_length") == F.col("_size"), F.col("_row").getField(text_col)
+    cut = F.array_join(F.slice(words(text), (F.col("_start") + 1).cast("int"), F.col("_length").cast("int")), " ")
+    changed = {text_col: F.when(whole, text).otherwise(cut)}
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
         changed["n_chars"] = F.when(whole, F.col("_row").getField("n_chars")).otherwise(F.length(cut).cast(kind))
