@@ -5,6 +5,9 @@ stage's ``docs``.  All but the last return the columns of ``documents``.  Near d
 Jaccard similarity 0.8 or more; the smallest identifier of a group stays.  The mix repeats documents of sources below
 their target, at most three times, cuts documents at the edges of blocks and targets, and lays them out in the order drawn.
 Packing returns pieces of sequences.
+
+Edge cases: null and empty texts fail the base tests of the first stage; of repeated rows one stays; texts of any length are read whole;
+an empty table gives an empty result; the columns of ``documents`` pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", keep_good), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("packing", pack)]
 
-#: Permuted mixing over weak-supervision posteriors and packing aren't SQL; tests hold run() against a brute-force version.
+#: Permuted mixing over weak-supervision posteriors and packing aren't SQL; tests hold each stage and run() against brute-force versions.
 ORACLE_SQL = None
 
 
