@@ -303,11 +303,12 @@ class Join:
         self.own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         logs = self.share(word_logs(self.own, int(spark.conf.get("spark.sql.shuffle.partitions"))))
         described = self.scratch.save(self.own.mapInArrow(describe(n, percent, logs), DESCRIBED), "described")
-        self.rows = described.select("doc_id", "n", "key")
+        self.rows = self.scratch.save(described.select("doc_id", "n", "key"), "rows")
         self.classes = self.scratch.save(self.rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id")), "classes")
 
         counts = described.select(F.explode("grams").alias("gram")).groupBy("gram").count().filter("count > 1")
         counts = self.scratch.save(counts, "counts")
+        self.scratch.drop("described")
         hot, several = (self.share(bitmap(counts.filter(f"count > {k}"), "gram")) for k in (HOT, 1))
         chosen = self.scratch.save(self.own.mapInArrow(prefixes(n, percent, logs, hot), PREFIXES), "prefixes")
         late = self.share(bitmap(chosen.select(F.explode("late").alias("gram")), "gram"))
@@ -324,13 +325,15 @@ class Join:
         """Of pairs (a, b), those whose whole sets link; only texts of documents in pairs are read again."""
         near = pairs.join(renamed(self.cards, "a"), "a").join(renamed(self.cards, "b"), "b").filter(near_size(F.col("a_n"), F.col("b_n"), self.percent) & close_enough(self.percent, self.full))
         pairs = self.scratch.save(near.select("a", "b", "a_n", "b_n"), f"{name}-pairs")
-        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        keys = self.scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), f"{name}-keys")
         ids = keys.join(self.classes, "key").select(F.coalesce("class_id", F.lit(0)).alias("id"))
         wanted = self.share(bitmap(ids, "id"))
-        whole = self.own.mapInArrow(sets(self.n, wanted), "key long, grams array<long>").join(keys, "key", "left_semi").dropDuplicates(["key"])
-        whole = self.scratch.save(whole, f"{name}-sets")
+        whole = self.own.mapInArrow(sets(self.n, wanted), "key long, grams array<long>").join(keys, "key", "left_semi")
+        # one exchange by key serves the removal of repeats and both sides of the comparison
+        whole = self.scratch.save(whole, f"{name}-sets").dropDuplicates(["key"])
         both = pairs.join(renamed(whole, "a"), "a").join(renamed(whole, "b"), "b")
         links = self.scratch.save(both.filter(F.size(F.array_intersect("a_grams", "b_grams")) >= needed(self.percent)).select("a", "b"), name)
+        self.scratch.drop(f"{name}-keys")
         self.scratch.drop(f"{name}-sets")
         self.scratch.drop(f"{name}-pairs")
         return links
