@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, mixing, packing, pii, quality, sharding, suffix, toxicity, urls
+from . import exact_dedup, infill, jaccard, mixing, packing, pii, quality, sharding, suffix, toxicity, urls
 from .common import table
 
 #: Fixed values of the url query: host, path, verdict.
@@ -67,8 +67,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.transform(table(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_toxicity, op4_quality_rules, op5_url_filters, op6_ngram_jaccard_join, op7_mixing, op8_suffix_array_dedup, op9_pii, op10_sharding)
+    f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_toxicity, op4_quality_rules, op5_url_filters, op6_ngram_jaccard_join, op7_mixing, op8_suffix_array_dedup, op9_pii, op10_sharding, op13_fill_in_middle)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -126,4 +132,22 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM line LEFT JOIN got USING (doc_id)
     """,
+    "op13_fill_in_middle": rf"""
+        WITH own AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS digest,
+                   regexp_extract_all(coalesce(text, ''), '{infill.UNIT}') AS units FROM documents
+        ), drawn AS (
+            SELECT *, len(units) AS n, ('0x' || substr(digest, 1, 8))::BIGINT AS h1, ('0x' || substr(digest, 9, 8))::BIGINT AS h2,
+                   ('0x' || substr(digest, 17, 8))::BIGINT AS h3, ('0x' || substr(digest, 25, 8))::BIGINT AS h4 FROM own
+        ), formed AS (
+            SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                           WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high FROM drawn
+        ), cut AS (
+            SELECT *, array_to_string(units[1:low], '') AS prefix, array_to_string(units[low + 1:high], '') AS middle, array_to_string(units[high + 1:n], '') AS suffix FROM formed
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM cut
+    """,
 }
