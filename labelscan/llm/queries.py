@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, infill, jaccard, mixing, packing, pii, quality, sharding, suffix, toxicity, urls
+from . import exact_dedup, infill, jaccard, mixing, packing, phrases, pii, quality, sharding, suffix, toxicity, urls
 from .common import table
 
 #: Fixed values of the url query: host, path, verdict.
@@ -67,6 +67,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = infill.transform(table(spark, sf_dir, "documents"))
     digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
@@ -74,7 +78,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_toxicity, op4_quality_rules, op5_url_filters, op6_ngram_jaccard_join, op7_mixing, op8_suffix_array_dedup, op9_pii, op10_sharding, op13_fill_in_middle)
+    f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_toxicity, op4_quality_rules, op5_url_filters, op6_ngram_jaccard_join, op7_mixing, op8_suffix_array_dedup, op9_pii, op10_sharding, op11_phrase_collocations, op13_fill_in_middle)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -132,6 +136,39 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM line LEFT JOIN got USING (doc_id)
     """,
+    "op11_phrase_collocations": rf"""
+        WITH lowered AS (
+            SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+        ), pieces AS (
+            SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w
+            FROM (SELECT lang, unnest(string_split_regex(text, '{phrases.BREAKS}')) AS piece FROM lowered)
+        ), n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+        placed AS (SELECT piece, lang, unnest(w) AS word, unnest(range(len(w))) AS i FROM (SELECT lang, w, row_number() OVER () AS piece FROM pieces)),
+        ahead AS (SELECT lang, word AS w1, lead(word, 1) OVER p AS w2, lead(word, 2) OVER p AS w3, lead(word, 3) OVER p AS w4 FROM placed WINDOW p AS (PARTITION BY piece ORDER BY i)),
+        grams AS MATERIALIZED (
+            SELECT lang, s, gram, count(*) AS f FROM (
+                SELECT lang, 1 AS s, w1 AS gram FROM ahead UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM ahead WHERE w2 IS NOT NULL
+                UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM ahead WHERE w3 IS NOT NULL
+                UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM ahead WHERE w4 IS NOT NULL
+            ) GROUP BY ALL HAVING count(*) >= 30
+        ),
+        inner_ AS (
+            SELECT lang, f, array_to_string(string_split(gram, ' ')[i:i + m - 1], ' ') AS gram
+            FROM grams, range(2, 4) AS inside(m), range(1, 4) AS begin_(i) WHERE m < s AND i + m - 1 <= s
+        ), longer AS (SELECT lang, gram, max(f) AS f FROM inner_ GROUP BY ALL),
+        candidates AS (
+            SELECT lang, s, gram, g.f AS a, string_split(gram, ' ') AS w FROM grams AS g LEFT JOIN longer AS o USING (lang, gram)
+            WHERE s >= 2 AND NOT coalesce(100 * o.f::HUGEINT >= 80 * g.f::HUGEINT, false)
+        ), asked AS MATERIALIZED (
+            SELECT lang, gram, a, k, array_to_string(w[1:k], ' ') AS first_part, array_to_string(w[k + 1:s], ' ') AS rest
+            FROM (SELECT *, unnest(range(1, s)) AS k FROM candidates)
+        ), cuts AS (
+            SELECT q.lang, q.gram, a, k, x.f AS l, y.f AS r, (2000000 * a::HUGEINT // (x.f + y.f))::BIGINT AS score
+            FROM asked AS q JOIN grams AS x ON x.lang = q.lang AND x.gram = first_part JOIN grams AS y ON y.lang = q.lang AND y.gram = rest
+        ), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, gram) AS rank, gram AS phrase, a, l, r, n, score
+        FROM best JOIN n USING (lang) QUALIFY rank <= 2000
+    """,
     "op13_fill_in_middle": rf"""
         WITH own AS (
             SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS digest,
