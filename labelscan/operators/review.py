@@ -82,6 +82,33 @@ def session(events: DataFrame, *order: str) -> DataFrame:
     return df.withColumn("state", state).drop("_why", "_made", "_close", "_closed")
 
 
+def close_out(durable_events: DataFrame, session_events: DataFrame, *order: str) -> DataFrame:
+    """Both machines over one order of events: resolving a durable review confirms the session review of its id, if that is pending.
+
+    Events as ``durable`` and ``session`` take them.  Gives ``id``, order, ``machine`` (durable, session, or closing: a derived
+    confirmation, only where it has an effect), ``action``, ``outcome`` and ``state``.
+    """
+    folded = durable(durable_events, *order)
+    closing = folded.filter("action = 'resolve'").select("id", *order, F.lit("confirm").alias("action"), F.lit(None).cast("string").alias("system_status"), "inspector", "reason", F.lit("closing").alias("machine"))
+    own = session_events.select("id", *order, "action", "system_status", "inspector", "reason", F.lit("session").alias("machine"))
+    # of the same place in the order, the session's own event comes second
+    sessions = session(own.unionByName(closing), *order, "machine").filter("machine = 'session' or outcome = 'accepted'")
+    shown = ["id", *order, "machine", "action", "outcome", "state"]
+    return folded.withColumn("machine", F.lit("durable")).select(*shown).unionByName(sessions.select(*shown))
+
+
+#: What is said of reviews that are open, complete, or not there.
+OPEN_NOTICE = "AI output is not a final legal decision until inspector verification"
+DONE_NOTICE = "Inspector verification recorded; original automated decision is preserved"
+
+
+def responses(asked: DataFrame, reviews: DataFrame) -> DataFrame:
+    """A row for every asked ``id``: its review ``state``, what it is worth, and a placeholder where there is none."""
+    found, done = F.col("state").isNotNull(), F.coalesce(F.col("state").isin("CONFIRMED", "OVERRIDDEN"), F.lit(False))
+    marks = {"found": found, "is_final_legal_decision": done, "decision_support_only": ~done, "legal_notice": F.when(done, DONE_NOTICE).otherwise(OPEN_NOTICE)}
+    return asked.join(reviews, "id", "left").withColumns(marks).withColumnRenamed("state", "inspector_decision")
+
+
 def pending_rows(reports: DataFrame) -> DataFrame:
     """Reports under review with ``reasons`` (field -> reason) of the fields that are, from ``decisions`` (field -> status and reason)."""
     return reports.filter("overall_result = 'REVIEW'").withColumn("reasons", review_reasons(F.col("decisions"))).drop("decisions")

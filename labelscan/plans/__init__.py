@@ -1 +1 @@
-from . import catalogue, labels, reports  # noqa: F401  (they register their queries)
+from . import catalogue, labels, reports, stores  # noqa: F401  (they register their queries)

@@ -1,10 +1,7 @@
-"""Streams of inspections and review events."""
+"""The daily trend on a stream of inspections."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,33 +13,3 @@ def daily(reports: DataFrame, late: str = "1 day") -> DataFrame:
     per = [F.count_if(F.col("overall_result") == s).alias(f"n_{s.lower()}") for s in STATUSES]
     days = reports.withWatermark("ts", late).groupBy(F.window("ts", "1 day"))
     return days.agg(*per, F.count(F.lit(1)).alias("total")).select(F.date_format("window.start", "yyyy-MM-dd").alias("date"), *[f"n_{s.lower()}" for s in STATUSES], "total")
-
-
-REVIEWED = "id long, event_id long, outcome string, state string"
-
-
-def reviews(events: DataFrame) -> DataFrame:
-    """The durable review machine on a stream of ``id, event_id, decision, inspector, reason``: each event's outcome.
-
-    The state of an id is whether it is resolved; events of a micro-batch are taken in the order of ``event_id``.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        done = state.get[0] if state.exists else False
-        rows = []
-        for e in pd.concat(list(frames)).sort_values("event_id").itertuples():
-            text = {c: "" if pd.isna(v := getattr(e, c)) else str(v).strip() for c in ("decision", "inspector", "reason")}
-            if text["decision"] not in STATUSES:
-                outcome = "invalid decision"
-            elif not text["inspector"]:
-                outcome = "missing identity"
-            elif text["decision"] != "REVIEW" and not text["reason"]:
-                outcome = "missing reason"
-            else:
-                outcome = "not pending" if done else "accepted"
-                done = done or text["decision"] != "REVIEW"
-            rows.append((key[0], e.event_id, outcome, "RESOLVED" if done else "PENDING"))
-        state.update((done,))
-        yield pd.DataFrame(rows, columns=["id", "event_id", "outcome", "state"])
-
-    return events.groupBy("id").applyInPandasWithState(step, REVIEWED, "resolved boolean", "update", "NoTimeout")
