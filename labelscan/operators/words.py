@@ -77,15 +77,25 @@ def without_above(values: DataFrame, markers: DataFrame, limit: int = 220) -> Da
     return w.join(a, same & (apart() <= limit) & (F.col("a_top") <= F.col("top")), "left_anti").select(*values.columns)
 
 
-def overlapping(first: DataFrame, second: DataFrame, least: float = 0.2) -> DataFrame:
-    """Pairs of boxes of two passes on the same line whose overlap is at least ``least``."""
-    b = second.select("doc_id", "line", *[F.col(c).alias(f"b_{c}") for c in ("pos", "word", "x", "top", "width", "height")])
+def overlapping(first: DataFrame, second: DataFrame, least: float = 0.2, cell: int = 256) -> DataFrame:
+    """Pairs of boxes of two passes over an image whose overlap is at least ``least`` (above 0), whatever lines the passes put them in.
+
+    Both boxes go to every grid cell that they cover, so boxes of any size meet; of the cells they share, the pair counts in the
+    one with the left upper corner of their intersection.
+    """
+    columns = ["line", "pos", "word", "x", "top", "width", "height"]
     box = lambda p: {"left": F.col(f"{p}x"), "top": F.col(f"{p}top"), "width": F.col(f"{p}width"), "height": F.col(f"{p}height")}
-    # boxes that overlap start in the same or neighbouring cells of the widest box
-    cell = 512
-    a = first.withColumn("cell", F.floor(F.col("x") / cell))
-    b = b.withColumn("cell", F.explode(F.sequence(F.floor((F.col("b_x")) / cell) - 1, F.floor((F.col("b_x") + F.col("b_width")) / cell))))
-    return a.join(b, ["doc_id", "line", "cell"]).withColumn("ratio", overlap_ratio(box(""), box("b_"))).filter(F.col("ratio") >= least).select("doc_id", "line", "pos", "b_pos", "ratio")
+    at = lambda c: F.floor(c / cell)
+
+    def covered(df: DataFrame, p: str) -> DataFrame:
+        for name, low, size in (("gx", f"{p}x", f"{p}width"), ("gy", f"{p}top", f"{p}height")):
+            df = df.withColumn(name, F.explode(F.sequence(at(F.col(low)), at(F.col(low) + F.greatest(F.col(size), F.lit(1)) - 1))))
+        return df
+
+    b = second.select("doc_id", *[F.col(c).alias(f"b_{c}") for c in columns])
+    corner = (F.col("gx") == at(F.greatest("x", "b_x"))) & (F.col("gy") == at(F.greatest("top", "b_top")))
+    met = covered(first, "").join(covered(b, "b_"), ["doc_id", "gx", "gy"]).filter(corner).withColumn("ratio", overlap_ratio(box(""), box("b_")))
+    return met.filter(F.col("ratio") >= least).select("doc_id", "line", "pos", "b_line", "b_pos", "ratio")
 
 
 def upper_median_height(words: DataFrame) -> DataFrame:

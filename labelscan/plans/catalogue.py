@@ -222,9 +222,10 @@ def explanations(spark, d):
     return decisions.explanations(fields_of(spark, d), dims.actions(spark)).select("id", "rule_key", "suggested_action", "evidence")
 
 
-@query("SELECT rule_key, coalesce(suggested_action, 'none') AS action FROM rules LEFT JOIN actions USING (rule_key)", "candidates", "fields", "actions")
+@query("SELECT rule_key, coalesce(suggested_action, 'none') AS action, n FROM (SELECT rule_key, count(*) AS n FROM fields WHERE NOT present GROUP BY rule_key) LEFT JOIN actions USING (rule_key)", "candidates", "fields", "actions")
 def action_lookup(spark, d):
-    return dims.rules(spark).join(F.broadcast(dims.actions(spark)), "rule_key", "left").select("rule_key", F.coalesce("action", F.lit("none")).alias("action"))
+    missing = fields_of(spark, d).filter("not present").groupBy("rule_key").agg(F.count(F.lit(1)).alias("n"))
+    return missing.join(F.broadcast(dims.actions(spark)), "rule_key", "left").select("rule_key", F.coalesce("action", F.lit("none")).alias("action"), "n")
 
 
 @query("""SELECT id, pending AS pending_review, CASE WHEN NOT pending THEN score END AS score, CASE WHEN pending THEN NULL WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade FROM (
@@ -341,16 +342,25 @@ def spatial_semi(spark, d):
     return word_ops.nearby(w, w.filter(F.col("word").rlike("[0-9]"))).select("doc_id", "line", "pos", "word")
 
 
-@query("SELECT doc_id, line, pos, word FROM digits a WHERE NOT EXISTS (FROM spread s WHERE s.doc_id = a.doc_id AND s.line = a.line AND s.pos = a.pos AND distance <= 220 AND mtop <= s.top)", "words", "spread")
+adapters.SQL["numbers"] = "numbers AS MATERIALIZED (SELECT * FROM words WHERE regexp_matches(word, '[0-9]'))"
+adapters.SQL["marks"] = "marks AS MATERIALIZED (SELECT * FROM words WHERE contains(word, '@'))"
+
+
+@query("""SELECT doc_id, line, pos, word FROM numbers ANTI JOIN (SELECT DISTINCT a.doc_id, a.line, a.pos FROM numbers AS a JOIN marks AS m ON a.doc_id = m.doc_id AND m.top <= a.top
+    AND sqrt((a.x + a.width / 2 - m.x - m.width / 2) * (a.x + a.width / 2 - m.x - m.width / 2) + (a.top + a.height / 2 - m.top - m.height / 2) * (a.top + a.height / 2 - m.top - m.height / 2)) <= 220) USING (doc_id, line, pos)""", "words", "numbers", "marks")
 def drained_anti(spark, d):
     return word_ops.without_above(*digits_and_marks(spark, d), 220).select("doc_id", "line", "pos", "word")
 
 
-@query("""SELECT doc_id, line, pos, b_pos, ratio FROM (SELECT a.doc_id, a.line, a.pos, b.pos AS b_pos, greatest(0, least(a.x + a.width, b.x + 5 + b.width) - greatest(a.x, b.x + 5)) * greatest(0, least(a.top + a.height, b.top + 3 + b.height) - greatest(a.top, b.top + 3))
-    / least(a.width * a.height, b.width * b.height) AS ratio FROM (SELECT *, x // 512 AS cell FROM digits) a JOIN (SELECT *, unnest(range((x + 5) // 512 - 1, (x + 5 + width) // 512 + 1)) AS cell FROM digits) b ON a.doc_id = b.doc_id AND a.line = b.line AND a.cell = b.cell) WHERE ratio >= 0.2""", "words", "spread")
+@query("""SELECT doc_id, line, pos, b_line, b_pos, ratio FROM (SELECT a.doc_id, a.line, a.pos, b.line AS b_line, b.pos AS b_pos,
+    (least(a.x + a.width, b.bx + b.bwidth) - greatest(a.x, b.bx)) * (least(a.top + a.height, b.btop + b.height) - greatest(a.top, b.btop)) / least(a.width * a.height, b.bwidth * b.height) AS ratio
+    FROM numbers AS a JOIN (SELECT *, x + 5 - 40 * (pos % 2) AS bx, top + 3 + 20 * (line % 2) AS btop, width * (1 + 6 * (pos % 3 = 0)::INT) AS bwidth FROM numbers) AS b
+    ON a.doc_id = b.doc_id AND a.x < b.bx + b.bwidth AND b.bx < a.x + a.width AND a.top < b.btop + b.height AND b.btop < a.top + a.height) WHERE ratio >= 0.2""", "words", "numbers")
 def word_overlap_pairs(spark, d):
-    first, _ = digits_and_marks(spark, d)
-    return word_ops.overlapping(first, first.withColumn("x", F.col("x") + 5).withColumn("top", F.col("top") + 3))
+    """Boxes of two passes; the second's are shifted, some to the next line, some very wide."""
+    first = adapters.words(spark, d).filter(F.col("word").rlike("[0-9]"))
+    wide = F.when(F.col("pos") % 3 == 0, 7).otherwise(1)
+    return word_ops.overlapping(first, first.withColumns({"x": F.col("x") + 5 - 40 * (F.col("pos") % 2), "top": F.col("top") + 3 + 20 * (F.col("line") % 2), "width": F.col("width") * wide}))
 
 
 @query("""SELECT id, k, greatest(0, k * c - e)::INT AS top, (least(h, least(h, (k + 1) * c) + e) - greatest(0, k * c - e))::INT AS height FROM (
