@@ -1 +1 @@
-from . import catalogue, images, labels, reports, stores  # noqa: F401  (they register their queries)
+from . import catalogue, images, intake, labels, reports, stores  # noqa: F401  (they register their queries)
