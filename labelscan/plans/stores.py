@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import resolution, review
-from ..sources import adapters
+from ..sources import adapters, layout
 from ..sources.readers import table
+from ..sources.registry import Registry
 from ..sources.versions import Versions, shared_folder
 from .catalogue import query
 
@@ -109,3 +113,31 @@ def review_responses(spark, d):
     asked = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
     reviews = asked.filter("id % 3 < 2").withColumn("state", F.when(F.col("id") % 3 == 0, "CONFIRMED").otherwise("PENDING"))
     return review.responses(asked, reviews)
+
+
+# -- lookups and schemas of all ages ----------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS filename, 'PENDING' AS review_status FROM orders WHERE o_orderstatus = 'O' AND o_orderkey IN (3, 34, 335, 1401)")
+def decision_lookup(spark, d):
+    """Pending decisions laid out for lookups, and four lookups of one key each."""
+    folder = shared_folder(spark, "decisions")
+    pending = resolution.pending(adapters.inspections(spark, d)).select("id", "review_status")
+    layout.write_for_lookup(pending.join(adapters.inspections(spark, d).select("id", "filename"), "id"), folder, "id", 16)
+    found = [layout.lookup(spark, folder, "id", k, 16) for k in (3, 34, 335, 1401)]
+    return reduce(DataFrame.union, found).select("id", "filename", "review_status")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS product, CASE WHEN o_orderkey % 3 = 2 THEN CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END ELSE 'NONE' END AS reviewer_status FROM orders""")
+def evolved_log(spark, d):
+    """Rows of three versions of a schema: a column comes, is renamed, another comes with a default."""
+    log, k = Registry(spark, shared_folder(spark, "log")), F.col("id")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority", "o_orderstatus")
+    log.create("id long")
+    log.append(rows.filter(k % 3 == 0).select("id"))
+    log.add("product_name", "string")
+    log.append(rows.filter(k % 3 == 1).select("id", F.col("o_orderpriority").alias("product_name")))
+    log.rename("product_name", "product")
+    log.add("reviewer_status", "string", "'NONE'")
+    log.append(rows.filter(k % 3 == 2).select("id", F.col("o_orderpriority").alias("product"), F.when(k % 2 == 0, F.col("o_orderstatus")).alias("reviewer_status")))
+    return log.read()
