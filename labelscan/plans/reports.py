@@ -92,14 +92,21 @@ METRICS = """metrics AS (SELECT o_orderkey AS id, (350 + o_orderkey % 900)::INT
 adapters.SQL["ranks"] = METRICS
 
 
-@query("SELECT id, r1 AS resolution_rank, r2 AS blur_rank, r3 AS brightness_rank, r4 AS glare_rank FROM ranks", "ranks")
+@query("""SELECT id, r1 AS resolution_rank, r2 AS blur_rank, r3 AS brightness_rank, r4 AS glare_rank, r5 AS readability_rank, s2 AS blur_score, s3 AS brightness_score, s4 AS glare_score, s5 AS readability_score, round((s1 + s2 + s3 + s4 + s5) / 5, 1) AS quality_score,
+    ['GOOD', 'WARNING', 'POOR'][greatest(r1, r2, r3, r4, r5) + 1] AS status, CASE WHEN greatest(r1, r2, r3, r4, r5) = 0 THEN 'PROCEED' ELSE 'REVIEW' END AS recommendation,
+    greatest(r1, r2, r3, r4, r5) = 0 OR (r2 + r3 + r4 + r5 = 0 AND r1 > 0) AS allows_ocr FROM (
+    SELECT *, round(least(100, 2 * c + 0.45::DOUBLE * visual), 1) AS s5, CASE WHEN c < 12 OR visual < 50 THEN 2 WHEN c < 20 OR visual < 75 THEN 1 ELSE 0 END AS r5 FROM (SELECT *, (s1 + s2 + s3 + s4) / 4 AS visual FROM (
+        SELECT *, CASE r1 WHEN 2 THEN 20.0 WHEN 1 THEN 65.0 ELSE 100.0 END::DOUBLE AS s1, round(CASE r2 WHEN 2 THEN 40 * v / 35 WHEN 1 THEN 55 + 25 * (v - 35) / 45 ELSE least(100, 80 + v / 20) END, 1) AS s2,
+               round(CASE WHEN m < 50 THEN 40 * m / 50 WHEN m > 235 THEN greatest(0, 40 - 5 * (m - 235)) WHEN m < 75 THEN 55 + (m - 50) WHEN m > 215 THEN 80 - (m - 215) ELSE 100 END, 1) AS s3,
+               round(greatest(0, CASE r4 WHEN 2 THEN 40 - 100 * g WHEN 1 THEN 80 - 200 * g ELSE 100 END), 1) AS s4 FROM ranks)))""", "ranks")
 def quality_checks(spark, d):
     k = F.col("o_orderkey")
     metrics = table(spark, d, "orders").select(
         k.alias("id"), (350 + k % 900).cast("int").alias("width"), (350 + k % 1300).cast("int").alias("height"), (k % 120).cast("double").alias("blur"), (40 + k % 210).cast("double").alias("brightness"),
         ((k % 16) / 100.0).alias("glare"), (k % 50).cast("double").alias("contrast"),
     )
-    return decisions.quality_checks(metrics).select("id", *[f"{c}_rank" for c in ("resolution", "blur", "brightness", "glare")])
+    checks = ("resolution", "blur", "brightness", "glare", "readability")
+    return decisions.quality_checks(metrics).select("id", *[f"{c}_rank" for c in checks], *[f"{c}_score" for c in checks[1:]], "quality_score", "status", "recommendation", "allows_ocr")
 
 
 SESSION = """moves AS (SELECT user_id AS id, ts, event_id, CASE event_type WHEN 'signup' THEN 'create' WHEN 'view' THEN 'create' WHEN 'purchase' THEN 'confirm' ELSE 'override' END AS action,
