@@ -85,7 +85,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_toxicity, op4_quality_rules, op5_url_filters, op6_ngram_jaccard_join, op7_mixing, op8_suffix_array_dedup, op9_pii, op10_sharding, op11_phrase_collocations, op12_minhash_near_dedup, op13_fill_in_middle)
 }
 
+
+
+def linked_sql(n: int, percent: int) -> str:
+    """Sets of word n-grams, links of all pairs that share one, and the smallest identifier that is reached."""
+    return rf"""
+        WITH RECURSIVE own AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), grams AS MATERIALIZED (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + {n - 1}], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) AS i FROM own WHERE len(w) > 0)
+        ), sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS s FROM grams AS a JOIN grams AS b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes AS x ON x.doc_id = a JOIN sizes AS y ON y.doc_id = b WHERE 100 * s >= {percent} * (x.n + y.n - s)),
+        reached(doc_id, other) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT reached.doc_id, links.b FROM reached JOIN links ON links.a = other),
+        found AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN found USING (doc_id)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_ngram_jaccard_join": linked_sql(3, 90),
+    "op12_minhash_near_dedup": f"SELECT *, doc_id = component_id AS kept FROM ({linked_sql(5, 85)})",
     "op1_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
