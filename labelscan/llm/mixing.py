@@ -15,7 +15,8 @@ Only DataFrame functions are used.  Order statistics and running sums are taken
 it), so that a source with a third of all rows is no single task's work.  One window runs over one row per source.
 
 Edge cases: a null text has size 0 and is never taken; a source without words has target 0; null is a source of its own;
-rows that repeat an identifier are separate documents; texts of any length are cut at the edges of blocks; columns besides
+rows that repeat an identifier are separate documents; documents of a source whose permutation keys tie follow each other by
+identifier and size, blocks by number; sources of equal level share by code point; texts of any length are cut at the edges of blocks; columns besides
 identifier, text and source are not looked at, whatever their names; an empty table gives an empty result.
 """
 

@@ -18,7 +18,7 @@ neighbours; the least document of each such group is what decides.  Text, types,
 memory-mapped files where they are large; only the names of the LMS substrings are sorted in memory.
 
 Edge cases: null and empty texts and those shorter than ``length`` bytes lose nothing; repeated strings within one document
-stay; rows that repeat an identifier are separate and don't count against each other; a null identifier is never
+stay; a string that several smaller documents have, or one at several places, counts once; rows that repeat an identifier are separate and don't count against each other; a null identifier is never
 smaller and loses nothing; texts of any length are cut into segments as they come; an empty table gives an empty result; columns
 besides identifier and text are not looked at.
 """

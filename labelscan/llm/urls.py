@@ -8,7 +8,8 @@ also starts the url's path are compared: the longest rule (host and path togethe
 Urls without a rule are judged by ``default``.
 
 Edge cases: a null url, or one without ``://``, has empty host and path and no rule; repeated urls and identifiers are
-judged each for itself; equal rules with different verdicts: block wins; an empty table gives an empty result.
+judged each for itself; urls of any length are judged whole; equal rules with different verdicts: block wins; an empty table
+gives an empty result.
 Columns besides the identifier and the url are not looked at.
 """
 
