@@ -9,10 +9,10 @@ that agrees on m of n hashes has a Beta(m + 1, n - m + 1) posterior; as soon as
 similarity falls below ``miss``, the pair is given up.  Bytes that agree by chance only keep a pair longer.  What survives the last
 batch is confirmed on the whole sets, so no link is ever wrong, and one is missed with a probability of about ``miss`` a batch.
 
-Families of near copies aren't enumerated pair by pair.  Each bucket of a band has a pivot; classes are verified with the pivot they
-meet most often, then with the other pivots outside their component; only members of a bucket that are still in different components are
-joined at last, and there a second signature of 128 single bits has to pass the same bound before a pair leaves the join.  Hot
-buckets are dealt to several tasks.
+Families of near copies aren't enumerated pair by pair.  Each bucket of a band has a pivot, the member that meets most others over all its
+buckets (what the others are copies of), and classes are verified with the pivots they meet.  Only members of a bucket outside its largest component are joined with its members at last, and there parity
+bitmaps of the whole sets (a differing bit is a differing n-gram) rule out most pairs before they leave the join.  Hot buckets are dealt to
+several tasks.
 
 Edge cases: null and empty texts, and texts without words, have the empty set and link with nothing; a text of fewer words
 than n is one n-gram; rows that repeat an identifier are one node, whatever their texts, and each row of the identifier that
@@ -26,24 +26,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Bits, Scratch, bitmap
-from .jaccard import Once, WordHashes, components, key_of, lists, mixed, near_size, needed, renamed, sets, shingles, texts
+from .jaccard import BITMAP, Once, WordHashes, close_enough, components, key_of, lists, mixed, near_size, needed, renamed, sets, shingles, texts
 
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
-#: Hashes of a batch, and longs of single bits that travel with a bucket's members.
-BATCH, BIT_LONGS = 32, 2
+#: Hashes of a batch; columns of a parity bitmap.
+BATCH, BITS = 32, [f"bits_{k}" for k in range(BITMAP)]
 #: n-grams hashed at once.
 BLOCK = 2048
 #: A bucket of more classes is dealt to so many tasks.
 HOT, SALTS = 64, 16
 MISS = 1e-6
 
-SIGNED = "doc_id long, n int, key long, bands array<long>, signature binary"
-BITS = [f"bits_{k}" for k in range(BIT_LONGS)]
+SIGNED = "doc_id long, n int, key long, bands array<long>, signature array<long>"
 
 
 def multipliers() -> np.ndarray:
@@ -102,19 +101,19 @@ def describe(n: int):
                 keys.append(key)
                 own = minimal(s, factors) if len(s) and once.new(key) else None
                 bands.append(np.empty(0, np.int64) if own is None else band_keys(own))
-                signatures.append(None if own is None else signature(own).tobytes())
+                signatures.append(np.empty(0, np.int64) if own is None else signature(own).view(np.int64))
             numbers = pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64())
-            yield pa.RecordBatch.from_arrays([*numbers, lists(bands), pa.array(signatures, pa.binary())], ["doc_id", "n", "key", "bands", "signature"])
+            yield pa.RecordBatch.from_arrays([*numbers, lists(bands), lists(signatures)], ["doc_id", "n", "key", "bands", "signature"])
 
     return run
 
 
 def bytes_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), HASHES)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint8).reshape(len(column), HASHES)
 
 
 def entries(several, hot):
-    """``bucket, key, n, salt`` and single bits of the members of buckets that may have several."""
+    """``bucket, key, n, salt`` of the members of buckets that may have several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more, frequent = Bits(several.value), Bits(hot.value)
@@ -123,9 +122,8 @@ def entries(several, hot):
             at = np.flatnonzero(more.has(buckets))
             row, buckets = at // BANDS, buckets[at]
             key, n = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
-            bits = np.packbits(bytes_of(batch.column(3))[:, : 64 * BIT_LONGS] & 1, axis=1, bitorder="little").view(np.int64)[row]
             salt = np.where(frequent.has(buckets), (key.view(np.uint64) >> np.uint64(20)) % np.uint64(SALTS), np.uint64(SALTS)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (buckets, key, n, salt, *bits.T.copy())], ["bucket", "key", "n", "salt", *BITS])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (buckets, key, n, salt)], ["bucket", "key", "n", "salt"])
 
     return run
 
@@ -146,6 +144,21 @@ def compared(percent: int, miss: float):
     return run
 
 
+def parities(n: int, wanted):
+    """``key, bits`` of the rows whose identifier may be wanted: which of 1024 places an odd number of the set's n-grams falls on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sets(n, wanted)(batches):
+            keys, maps = batch.column(0), []
+            for own in batch.column(1):
+                at = own.values.to_numpy().view(np.uint64) >> np.uint64(40)
+                odd = np.bincount((at & np.uint64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+                maps.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+            yield pa.RecordBatch.from_arrays([keys, lists(maps)], ["key", "bits"])
+
+    return run
+
+
 class Run:
     """Tables of one run: documents, classes, signatures and the index of buckets."""
 
@@ -157,16 +170,19 @@ class Run:
         described = self.scratch.save(self.own.mapInArrow(describe(n), SIGNED), "described")
         self.rows = self.scratch.save(described.select("doc_id", "n", "key"), "rows")
         self.classes = self.scratch.save(self.rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id")), "classes")
-        signed = described.filter("signature is not null").select("key", "n", "bands", "signature")
+        signed = described.filter("size(signature) > 0").select("key", "n", "bands", "signature")
         # several tasks may have seen a set: a bucket counts only where its sets differ
         held = signed.select("key", F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("held"))
         held = self.scratch.save(held.filter("low <> high").select("bucket", "held"), "held")
         several, hot = (self.share(bitmap(held.filter(f"held > {k}"), "bucket")) for k in (1, HOT))
-        index = signed.mapInArrow(entries(several, hot), f"bucket long, key long, n int, salt int, {', '.join(f'{c} long' for c in BITS)}")
-        self.index = self.scratch.save(index.dropDuplicates(["bucket", "key"]), "index")
+        met = signed.select("key", "n", "bands").mapInArrow(entries(several, hot), "bucket long, key long, n int, salt int").dropDuplicates(["bucket", "key"])
+        met = self.scratch.save(met, "met")
+        weight = met.join(self.dealt(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"), F.min("salt").alias("salt"))), ["bucket", "salt"]).groupBy("key").agg(F.sum("held").alias("weight"))
+        self.index = self.scratch.save(met.join(weight, "key"), "index")
         self.cards = self.scratch.save(signed.join(self.index.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", "n", "signature"), "cards")
         self.scratch.drop("described")
         self.scratch.drop("held")
+        self.scratch.drop("met")
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs (a, b), those that link: signatures batch by batch, then the whole sets of the survivors."""
@@ -174,48 +190,54 @@ class Run:
         both = both.select("a", "b", "a_n", "b_n", "a_signature", "b_signature").mapInArrow(compared(self.percent, self.miss), "a long, b long, a_n int, b_n int")
         pairs = self.scratch.save(both, f"{name}-pairs")
         keys = self.scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), f"{name}-keys")
-        wanted = self.share(bitmap(keys.join(self.classes, "key").select(F.coalesce("class_id", F.lit(0)).alias("id")), "id"))
-        whole = self.own.mapInArrow(sets(self.n, wanted), "key long, grams array<long>").join(keys, "key", "left_semi")
-        whole = self.scratch.save(whole, f"{name}-sets").dropDuplicates(["key"])
+        whole = self.scratch.save(self.again(keys, sets, "key long, grams array<long>"), f"{name}-sets").dropDuplicates(["key"])
         met = pairs.join(renamed(whole, "a"), "a").join(renamed(whole, "b"), "b")
         links = self.scratch.save(met.filter(F.size(F.array_intersect("a_grams", "b_grams")) >= needed(self.percent)).select("a", "b"), name)
         for done in ("keys", "sets", "pairs"):
             self.scratch.drop(f"{name}-{done}")
         return links
 
-    def pivots(self) -> DataFrame:
-        """``key, pivot, shared``: the pivots a class meets, and in how many buckets."""
-        per = self.index.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("low"), F.count(F.lit(1)).alias("held"), F.min("salt").alias("salt")).filter("held > 1")
+    @staticmethod
+    def dealt(buckets: DataFrame) -> DataFrame:
+        """A row of every bucket for each salt that its members have."""
         salts = F.when(F.col("salt") < SALTS, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(SALTS)))
-        per = per.select("bucket", F.col("low.key").alias("pivot"), F.col("low.n").alias("pivot_n"), F.explode(salts).alias("salt"))
+        return buckets.withColumn("salt", F.explode(salts))
+
+    def pivots(self) -> DataFrame:
+        """Pairs (a, b) of a class and a pivot that it meets."""
+        per = self.index.groupBy("bucket").agg(F.max(F.struct("weight", "key", "n")).alias("top"), F.count(F.lit(1)).alias("held"), F.min("salt").alias("salt")).filter("held > 1")
+        per = self.dealt(per.select("bucket", F.col("top.key").alias("pivot"), F.col("top.n").alias("pivot_n"), "salt"))
         met = self.index.join(per, ["bucket", "salt"]).filter((F.col("pivot") != F.col("key")) & near_size(F.col("n"), F.col("pivot_n"), self.percent))
-        return self.scratch.save(met.groupBy("key", "pivot").agg(F.count(F.lit(1)).alias("shared")), "pivots")
+        return met.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
 
-    def alike(self) -> Column:
-        """False where the single bits' posterior is below ``miss``: two bits agree with probability (1 + J) / 2."""
-        apart = sum(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in BITS)
-        return apart <= 64 * BIT_LONGS - least_matches(64 * BIT_LONGS, (1 + self.percent / 100) / 2, self.miss)
+    def again(self, keys: DataFrame, read, schema: str) -> DataFrame:
+        """``read`` (of jaccard.sets' kind) over the texts of classes; the same class may come several times."""
+        wanted = self.share(bitmap(keys.join(self.classes, "key").select(F.coalesce("class_id", F.lit(0)).alias("id")), "id"))
+        return self.own.mapInArrow(read(self.n, wanted), schema).join(keys, "key", "left_semi")
+
+    def rest(self, found: DataFrame) -> DataFrame:
+        """Candidates that lie in different components; in a bucket, those of the largest component meet only the others."""
+        placed = self.index.select("bucket", "key", "n").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        sizes = placed.groupBy("bucket", "component").count()
+        largest = sizes.groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+        placed = self.scratch.save(placed.join(largest.select("bucket", F.col("top.component").alias("largest")), "bucket"), "open")
+        keys = self.scratch.save(placed.select("key").distinct(), "open-keys")
+        maps = self.again(keys, parities, "key long, bits array<long>").dropDuplicates(["key"]).select("key", *[F.get("bits", F.lit(k)).alias(c) for k, c in enumerate(BITS)])
+        placed = self.scratch.save(placed.withColumn("inside", F.col("component") == F.col("largest")).drop("largest").join(maps, "key"), "members")
+        a, b = renamed(placed.filter("not inside"), "a", same=("bucket",)), renamed(placed, "b", same=("bucket",))
+        once = F.col("b_inside") | (F.col("a") < F.col("b"))
+        fits = once & (F.col("a_component") != F.col("b_component")) & near_size(F.col("a_n"), F.col("b_n"), self.percent) & close_enough(self.percent, BITS)
+        out = self.scratch.save(a.join(b, "bucket").filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
+        for done in ("open", "open-keys", "members"):
+            self.scratch.drop(done)
+        return out
 
     def connected(self) -> DataFrame:
         """``node, component`` of the classes that link with another."""
-        met, scratch = self.pivots(), self.scratch
-        pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-        best = met.groupBy("key").agg(F.max(F.struct("shared", "pivot")).getField("pivot").alias("pivot"))
-        links = self.verified(best.select(*pair("key", "pivot")).distinct(), "best")
+        scratch = self.scratch
+        links = self.verified(self.pivots(), "pivoted")
         found = components(links, scratch, "first")
-        rest = met.select("key", "pivot").join(best, ["key", "pivot"], "left_anti")
-        rest = rest.join(found.toDF("key", "u"), "key", "left").join(found.toDF("pivot", "v"), "pivot", "left").filter(F.coalesce("u", "key") != F.coalesce("v", "pivot"))
-        rest = scratch.save(rest.select(*pair("key", "pivot")).distinct(), "others")
-        if not rest.isEmpty():
-            links = links.union(self.verified(rest, "other"))
-            found = components(links, scratch, "second")
-        placed = self.index.drop("salt").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        open_ = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-        placed = scratch.save(placed.join(open_, "bucket", "left_semi"), "open")
-        a, b = renamed(placed, "a", same=("bucket",)), renamed(placed, "b", same=("bucket",))
-        fits = (F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & near_size(F.col("a_n"), F.col("b_n"), self.percent) & self.alike()
-        rest = scratch.save(a.join(b, "bucket").filter(fits).select("a", "b").distinct(), "rest")
-        scratch.drop("open")
+        rest = self.rest(found)
         if rest.isEmpty():
             return found
         more = self.verified(rest, "more")
