@@ -1,28 +1,38 @@
 """Information-theoretic sanitisation of personal data.
 
-Base entities (e-mail, ip, card, phone) are found by fixed patterns.  Then corpus counts estimate how strongly words reveal
-an entity: with N documents, n(c) holding entity c, n(t) holding term t and n(c, t) holding both, the term outside base spans,
-a term discloses ``PMI(c; t) / IC(c) = ln(n(c,t) N / (n(c) n(t))) / ln(N / n(c))`` of the entity.  A term that meets the
-entity in at least two different texts and whose disclosure reaches the threshold is revealing: each of its occurrences outside
-base spans, in whichever document, is an added span.  It is generalised to its kind, or removed from ``REMOVE`` on.  Counts
-cover all documents.  Terms are runs of word characters of any length; Han characters and kana, which stand without spaces,
-give each two neighbours as a term (spans may then overlap).
-
-An entity or a term that a single text holds has no such counts: it backs off.  Entities back off to all of them together (a
-text holds protected data), words to their shape (which of letters, digits and others they consist of, and the logarithm
-of their length), which gives at most 128 pairs, counted over distinct texts.  Instead of the share of a shape's texts that
-hold an entity, the lower end of its confidence interval is used; where that discloses ``SHAPE_THRESHOLD``, every word of the shape
-outside base spans is an added span.  Keys and tokens, each written once, are found by this: their shape keeps company with personal data.
-
-A first pass over the texts gives entities and document frequencies of terms (summed per task before the shuffle).  A second
-gives the terms of documents with an entity that several texts hold.  Terms and entities of a document are paired only where
-the threshold can be reached at all: as n(c,t) <= n(c), only where n(t) <= n(c)^threshold N^(1 - threshold).  A third gives
-base spans and the occurrences of words that a bitmap of fixed size doesn't rule out; the join with the revealing terms
+Base entities (e-mail, ip, card, phone) are found by fixed patterns.  Then corpus counts estimate how strongly terms reveal
+them.  Contexts are the different texts that hold an entity, and the documents that hold none.  With N contexts, n(c) that
+hold c, n(t) that hold term t outside base spans and n(c, t) that hold both, a term discloses
+
+    PMI(c; t) / IC(c) = ln(p N / n(c)) / ln(N / n(c))
+
+of c, where p is the lower end (``DEVIATIONS``) of the confidence interval of n(c, t) / n(t).  A term is revealing where its
+disclosure reaches ``THRESHOLD`` and p reaches ``LEAST``, so that no common thing is disclosed by next to nothing.  The same measure
+and limits hold on both routes:
+
+* *entity*: c is one entity, which at least ``SUPPORT`` contexts share with the term; here n(t) counts documents, so that copies,
+  which corroborate nothing, weigh against the term;
+* *class*: most entities stand in one text only, so they back off to their kind and to all entities together.  The contexts
+  must name at least ``CLASS_SUPPORT`` different entities (each counts by its least one): near copies repeat theirs and are no evidence.
+
+Terms back off too: a value that is written once, as in ``key = value`` or ``key: "value"``, counts as the term ``key =``, so what
+the key's company discloses marks the value.
+
+Each occurrence of a revealing term outside base spans, in whichever document, is an added span: it is generalised to its
+kind, or removed from ``REMOVE`` on.  Counts cover all documents.  Terms are runs of word characters of any length, in lower
+case; Han characters and kana, which stand without spaces, give each two neighbours as a term (spans may then overlap, as may a
+value and the words in it).
+
+One pass over the texts gives the terms of documents without an entity, summed per task before the shuffle, and rows for the
+terms of the others.  On the first route, terms and entities of a document are paired only where ``LEAST`` can be reached
+at all: as n(c, t) <= n(c), only where n(t) <= n(c) / LEAST; the commonest terms leave before the join.  A second pass gives
+base spans and the occurrences of terms that a bitmap of fixed size doesn't rule out; a salted join with the revealing terms
 decides.  Only such narrow rows are joined, so texts are never shuffled.
 
-Edge cases: a null text is an empty one; an entity in every document carries no information and adds nothing; copies of one
-text are one context; rows that repeat an identifier are separate documents; equal disclosures count alike; texts of any length are
-read whole; columns besides identifier and text are not looked at, whatever their names; an empty table gives an empty result.
+Edge cases: a null text is an empty one; an entity or a class in every context carries no information and adds nothing; copies of
+a text with an entity are one context, copies of one without are several (which only makes their terms less revealing); rows that
+repeat an identifier are separate documents; equal disclosures count alike; texts of any length are read whole; columns besides
+identifier and text are not looked at, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +42,6 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
-from math import log, sqrt
 
 import pandas as pd
 import pyarrow as pa
@@ -52,9 +61,14 @@ DIGIT = re.compile(r"[^0-9]+")
 #: Scripts without spaces between words.
 UNSPACED = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af"
 TERM, DENSE = re.compile(f"[{UNSPACED}]+|[^\\W{UNSPACED}]+"), re.compile(f"[{UNSPACED}]{{3,}}")
-SUPPORT, THRESHOLD, REMOVE = 2, 0.9, 0.98
-#: Disclosure of shapes, and how many standard deviations below its estimate a share is taken.
-SHAPE_THRESHOLD, DEVIATIONS = 0.5, 1.64
+#: What is assigned, and what it is assigned to, which may stand in quotes.
+ASSIGN, KEY, VALUE = re.compile(r"[=:]"), re.compile(r"([^\W\d]\w{0,63})[\"']?[\x20\t]{0,8}$"), re.compile(r"[\x20\t]{0,8}[\"']?([^\s\"',;]+)")
+#: Contexts that a term and an entity share, different entities behind a class, disclosure from which a term is revealing or removed.
+SUPPORT, CLASS_SUPPORT, THRESHOLD, REMOVE = 2, 8, 0.6, 0.98
+#: How many standard deviations below its estimate a probability is taken, and what it must be at least.
+DEVIATIONS, LEAST = 2.0, 0.3
+#: Values of a salt, which spreads the occurrences of one term over tasks.
+SALTS = 32
 #: Vocabulary entries a task holds before it passes them on.
 HELD = 300_000
 #: Bits of the bitmap that spares words which aren't revealing the join, and bits of one row of it.
@@ -133,20 +147,21 @@ def outside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str,
             yield word, s, e
 
 
-def shape(word: str) -> int:
-    """0 to 127: classes of characters (letters 1, digits 2, others 4) and the binary logarithm of the length."""
-    kinds = any(map(str.isalpha, word)) + 2 * any(map(str.isdecimal, word)) + 4 * (not all(c.isalpha() or c.isdecimal() for c in word))
-    return kinds * 16 + min(15, len(word).bit_length() - 1)
-
-
-class Shapes(dict):
-    """word -> the bit of its shape."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= HELD:
-            self.clear()
-        value = self[word] = 1 << shape(word)
-        return value
+def assigned(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(key as a term, start, end of its value) of what is assigned outside the base spans, left to right, without overlap."""
+    k, reached, at = 0, 0, 0
+    while m := ASSIGN.search(text, at):
+        at = m.end()
+        key = KEY.search(text[max(0, m.start() - 80) : m.start()])
+        value = VALUE.match(text, at) if key else None
+        if value:
+            s, e = value.span(1)
+            while k < len(spans) and spans[k][0] < e:
+                reached = max(reached, spans[k][2])
+                k += 1
+            if s >= reached:
+                yield f"{key[1].lower()} =", s, e
+            at = e
 
 
 def digest(text: str) -> str:
@@ -164,37 +179,40 @@ def schema(ddl: str) -> pa.Schema:
 
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
-SEEN = "what string, entity string, context string, term string, n long, low long, high long"
-MET = "row long, entity string, context string, term string"
+SEEN = "what string, row long, entity string, context string, term string, n long"
 MARKED = f"row long, doc_id long, spans {SPANS}, term string, start int, end int"
-SEEN_SCHEMA, MET_SCHEMA, MARKED_SCHEMA = schema(SEEN), schema(MET), schema(MARKED)
+SEEN_SCHEMA, MARKED_SCHEMA = schema(SEEN), schema(MARKED)
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of what: ``all`` (number of documents), ``entity`` (of a document), ``term`` (documents of a term), ``text`` (shapes, has it an entity)."""
+    """Rows of what: ``clean`` (documents without an entity), ``plain`` (those of a term), ``text`` (kinds in a text, as bits), ``entity`` and ``near`` (entities and terms of a document with entities)."""
     counts: Counter = Counter()
-    shapes = Shapes()
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    total = 0
+    clean = 0
 
     def terms() -> pa.RecordBatch:
         n = len(counts)
-        own = {"what": ["term"] * n, "term": list(counts), "n": list(counts.values())}
+        own = {"what": ["plain"] * n, "term": list(counts), "n": list(counts.values())}
         return pa.RecordBatch.from_arrays([pa.array(own[f.name], f.type) if f.name in own else pa.nulls(n, f.type) for f in SEEN_SCHEMA], schema=SEEN_SCHEMA)
 
     for batch in batches:
         rows = []
-        total += batch.num_rows
-        for text in batch.column(2):
+        for row, text in zip(batch.column(0).to_pylist(), batch.column(2)):
             text = text.as_py()
-            found = distinct(text)
-            counts.update({w.lower() for w in found})
-            about, spans, bits = digest(text), base_spans(text), 0
-            for w in {w for w, _, _ in outside(text, spans)} if spans else found:
-                bits |= shapes[w]
-            rows.append({"what": "text", "context": about, "n": int(bool(spans)), "low": signed(bits & (1 << 64) - 1), "high": signed(bits >> 64)})
+            spans = base_spans(text)
             if spans:
-                rows += [{"what": "entity", "entity": c, "context": about} for c in entities(text, spans)]
+                about, own, bits = digest(text), entities(text, spans), 0
+                for _, kind, _ in spans:
+                    bits |= 1 << kind
+                near = {w.lower() for w, _, _ in outside(text, spans)}
+                near.update(key for key, _, _ in assigned(text, spans))
+                rows.append({"what": "text", "context": about, "n": bits})
+                rows += [{"what": "entity", "row": row, "entity": c, "context": about} for c in own]
+                rows += [{"what": "near", "row": row, "entity": min(own), "context": about, "term": t, "n": bits} for t in near]
+            else:
+                clean += 1
+                found = {w.lower() for w in distinct(text)}
+                found.update(key for key, _, _ in assigned(text, spans))
+                counts.update(found)
             if len(rows) >= 20_000:
                 yield pa.RecordBatch.from_pylist(rows, SEEN_SCHEMA)
                 rows = []
@@ -203,7 +221,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts.clear()
         yield pa.RecordBatch.from_pylist(rows, SEEN_SCHEMA)
     yield terms()
-    yield pa.RecordBatch.from_pylist([{"what": "all", "n": total}], SEEN_SCHEMA)
+    yield pa.RecordBatch.from_pylist([{"what": "clean", "n": clean}], SEEN_SCHEMA)
 
 
 def place(text: Column) -> Column:
@@ -222,73 +240,37 @@ def bitmap(terms: DataFrame, col: str) -> bytes:
 
 
 class Maybe(dict):
-    """word -> its revealing shape, or its term, or None where the bitmap rules it out."""
+    """term -> itself in lower case, or None where the bitmap rules it out."""
 
-    def __init__(self, bits: bytes, shapes: frozenset[int] = frozenset()):
-        self.bits, self.shapes = bits, shapes
+    def __init__(self, bits: bytes):
+        self.bits = bits
 
     def __missing__(self, word: str) -> str | None:
         if len(self) >= HELD:
             self.clear()
-        if self.shapes and (own := shape(word)) in self.shapes:
-            self[word] = f"{SHAPE}{own}"
-            return self[word]
         term = word.lower()
         at = zlib.crc32(term.encode("utf-8", "replace")) % BITS
         value = self[word] = term if self.bits[at >> 3] >> (at & 7) & 1 else None
         return value
 
 
-def meet(bits, common):
-    """Rows with ``entity, context`` and rows with ``term`` of the documents that may hold an entity of the bitmap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe = Maybe(bits.value)
-        for batch in batches:
-            rows = []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(2)):
-                text = text.as_py()
-                spans = base_spans(text)
-                if own := [c for c in entities(text, spans) if maybe[c] is not None]:
-                    about = digest(text)
-                    rows += [{"row": row, "entity": c, "context": about} for c in own]
-                    rows += [{"row": row, "term": t} for t in {w.lower() for w, _, _ in outside(text, spans)} - common.value]
-                if len(rows) >= 20_000:
-                    yield pa.RecordBatch.from_pylist(rows, MET_SCHEMA)
-                    rows = []
-            yield pa.RecordBatch.from_pylist(rows, MET_SCHEMA)
-
-    return run
-
-
-#: What the name of a shape begins with; no term does.
-SHAPE = "shape "
+def least(both: Column, n: Column) -> Column:
+    """The lower end of the confidence interval (Wilson) of the share ``both / n``."""
+    p, z = both / n, DEVIATIONS
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def telling_shapes(seen: DataFrame) -> dict[int, float]:
-    """Shapes (at most 128) that disclose that a text holds an entity, with their disclosure."""
-    own = seen.filter("what = 'text'").groupBy("context").agg(F.max("n").alias("n"), F.max("low").alias("low"), F.max("high").alias("high"))
-    bit = F.when(F.col("code") < 64, F.call_function("shiftrightunsigned", F.col("low"), F.col("code"))).otherwise(F.call_function("shiftrightunsigned", F.col("high"), F.col("code") - 64))
-    per = own.withColumn("code", F.explode(F.sequence(F.lit(-1), F.lit(127)))).filter((F.col("code") < 0) | (bit.bitwiseAND(F.lit(1).cast("long")) == 1))
-    counts = {r["code"]: (r["t"], r["ct"]) for r in per.groupBy("code").agg(F.count(F.lit(1)).alias("t"), F.sum("n").alias("ct")).collect()}
-    total, held = counts.pop(-1, (0, 0))
-    if not 0 < held < total:
-        return {}
-    out = {}
-    for code, (t, ct) in counts.items():
-        p, z = ct / t, DEVIATIONS
-        low = (p + z * z / (2 * t) - z * sqrt(p * (1 - p) / t + z * z / (4 * t * t))) / (1 + z * z / t)
-        share = log(low * total / held) / log(total / held) if low > 0 else 0.0
-        if ct >= SUPPORT and share >= SHAPE_THRESHOLD:
-            out[code] = share
-    return out
+def disclosed(both: Column, n_t: Column, n_c: Column, total: int) -> Column:
+    """The share of the information of c that the term gives; null where the term is no clue at all, or c no secret."""
+    p = least(both, n_t)
+    return F.when((p >= LEAST) & (n_c < total), F.log(p * total / n_c) / F.log(F.lit(float(total)) / n_c))
 
 
-def mark(bits, shapes: frozenset[int]):
-    """Rows with ``spans`` (the base spans of a document) and rows with ``term, start, end`` (a word that may be revealing)."""
+def mark(bits):
+    """Rows with ``spans`` (the base spans of a document) and rows with ``term, start, end`` (what may be a revealing term)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe = Maybe(bits.value, shapes)
+        maybe = Maybe(bits.value)
         for batch in batches:
             rows = []
             for row, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -297,6 +279,7 @@ def mark(bits, shapes: frozenset[int]):
                 rows.append({"row": row, "doc_id": doc_id, "spans": [{"start": s, "kind": k, "end": e} for s, k, e in spans]})
                 if any(maybe[w] is not None for w in distinct(text)):
                     rows += [{"row": row, "term": t, "start": s, "end": e} for w, s, e in outside(text, spans) if (t := maybe[w]) is not None]
+                rows += [{"row": row, "term": t, "start": s, "end": e} for w, s, e in assigned(text, spans) if (t := maybe[w]) is not None]
                 if len(rows) >= 20_000:
                     yield pa.RecordBatch.from_pylist(rows, MARKED_SCHEMA)
                     rows = []
@@ -305,42 +288,55 @@ def mark(bits, shapes: frozenset[int]):
     return run
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
-    """``row, doc_id, base, added`` of every row; spans are structs (start, kind, end[, disclosure]), sorted."""
+def revealing_terms(seen: DataFrame, scratch: Scratch, support: int, class_support: int, threshold: float) -> DataFrame:
+    """``term, disclosure, route`` of the terms that disclose an entity or a class of entities."""
+    texts = seen.filter("what = 'text'").groupBy("context").agg(F.max("n").alias("n"))
+    held = texts.agg(F.count(F.lit(1)).alias("all"), *[F.coalesce(F.sum(F.shiftright("n", k).bitwiseAND(F.lit(1))), F.lit(0)).alias(KINDS[k]) for k in range(4)]).first().asDict()
+    total = held["all"] + seen.filter("what = 'clean'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    kinds = {KINDS[k]: F.sum(F.shiftright("n", k).bitwiseAND(F.lit(1)).cast("long")).alias(KINDS[k]) for k in range(4)}
+    # copies of a text first, then texts with the same least entity, then terms: none of the three gathers a term's rows
+    near = seen.filter("what = 'near'").groupBy("term", "entity", "context").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    near = near.groupBy("term", "entity").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("all"), *kinds.values())
+    near = near.groupBy("term").agg(F.count(F.lit(1)).alias("entities"), *[F.sum(c).alias(c) for c in ("copies", "all", *kinds)]).filter(F.col("all") >= support)
+    plain = seen.filter("what = 'plain'").groupBy("term").agg(F.sum("n").alias("n"))
+    counted = near.join(plain, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counted = counted.withColumn("n_t", F.col("copies") + F.col("n")).withColumn("n", F.col("all") + F.col("n"))
+    counted = scratch.save(counted, "counted")
+    by_class = [disclosed(F.col(c), F.col("n"), F.lit(held[c]), total) for c in ("all", *kinds) if held[c]]
+    classes = counted.filter(F.col("entities") >= class_support).select("term", F.greatest(*by_class, F.lit(None), F.lit(None)).alias("disclosure"), F.lit("class").alias("route")) if by_class else None
+
+    entity = seen.filter("what = 'entity'").select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).filter(F.col("n_c") >= support)
+    entity = scratch.save(entity, "entity")
+    bound = (entity.agg(F.coalesce(F.max("n_c"), F.lit(0))).first()[0]) / LEAST
+    common = counted.filter(F.col("n_t") > bound).orderBy(F.desc("n_t"), "term").limit(COMMON).select("term")
+    held_by = seen.filter("what = 'entity'").select("row", "entity", "context").join(entity, "entity")
+    terms = seen.filter("what = 'near'").select("row", "term").join(F.broadcast(common), "term", "left_anti")  # at most COMMON rows
+    terms = terms.join(counted.filter(F.col("n_t") <= bound).select("term", "n_t"), "term")
+    pairs = held_by.join(terms, "row").filter(F.col("n_t") <= F.col("n_c") / LEAST)
+    pairs = pairs.select("entity", "term", "n_c", "n_t", "context").distinct().groupBy("entity", "term", "n_c", "n_t").agg(F.count(F.lit(1)).alias("n_ct"))
+    pairs = pairs.filter(F.col("n_ct") >= support).select("term", disclosed(F.col("n_ct"), F.col("n_t"), F.col("n_c"), total).alias("disclosure"), F.lit("entity").alias("route"))
+    both = (pairs.union(classes) if classes else pairs).filter(F.col("disclosure") >= threshold)
+    best = F.max(F.struct("disclosure", "route"))
+    out = both.groupBy("term").agg(best.alias("best")).select("term", "best.disclosure", "best.route")
+    return scratch.save(out, "revealing")
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, threshold: float = THRESHOLD, class_support: int = CLASS_SUPPORT) -> DataFrame:
+    """``row, doc_id, base, added`` of every row; spans are structs (start, kind, end[, disclosure, route]), sorted."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "pii")
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     seen = scratch.save(own.mapInArrow(scan, SEEN), "seen")
-    total = seen.filter("what = 'all'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    entity = seen.filter("what = 'entity'").groupBy("entity", "context").agg(F.count(F.lit(1)).alias("k"))
-    entity = entity.groupBy("entity").agg(F.sum("k").alias("n_c"), F.count(F.lit(1)).alias("contexts")).filter((F.col("contexts") >= support) & (F.col("n_c") < total))
-    most = F.pow(F.col("n_c").cast("double"), F.lit(threshold)) * F.pow(F.lit(float(total)), F.lit(1 - threshold)) * (1 + 1e-9)
-    entity = scratch.save(entity.select("entity", "n_c", most.alias("most")), "entity")
-    bound = entity.agg(F.coalesce(F.max("most"), F.lit(0.0))).first()[0]
-    counted = seen.filter("what = 'term'").groupBy("term").agg(F.sum("n").alias("n_t")).filter(F.col("n_t") >= support)
-    counted = scratch.save(counted, "counted")
-    shapes = telling_shapes(seen)
-    scratch.drop("seen")
-    common = counted.filter(F.col("n_t") > bound).orderBy(F.desc("n_t"), "term").limit(COMMON).select("term").collect()
-    common = spark.sparkContext.broadcast(frozenset(r["term"] for r in common))
-    several = spark.sparkContext.broadcast(bitmap(entity, "entity"))
-    met = scratch.save(own.mapInArrow(meet(several, common), MET), "met")
-    terms = met.filter("term is not null").select("row", "term").join(counted.filter(F.col("n_t") <= bound), "term")
-    pairs = met.filter("entity is not null").select("row", "entity", "context").join(entity, "entity").join(terms, "row").filter(F.col("n_t") <= F.col("most"))
-    pairs = pairs.groupBy("entity", "term", "n_c", "n_t", "context").agg(F.count(F.lit(1)).alias("k"))
-    pairs = pairs.groupBy("entity", "term", "n_c", "n_t").agg(F.sum("k").alias("n_ct"), F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= support)
-    share = F.log(F.col("n_ct") * total / (F.col("n_c") * F.col("n_t"))) / F.log(F.lit(total) / F.col("n_c"))
-    revealing = pairs.select("term", share.alias("disclosure")).filter(F.col("disclosure") >= threshold).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
-    known = spark.createDataFrame([(f"{SHAPE}{code}", d) for code, d in shapes.items()], "term string, disclosure double")
-    revealing = scratch.save(revealing.union(known), "revealing")
-    scratch.drop("met")
-    scratch.drop("counted")
+    revealing = revealing_terms(seen, scratch, support, class_support, threshold)
+    for name in ("seen", "counted", "entity"):
+        scratch.drop(name)
     bits = spark.sparkContext.broadcast(bitmap(revealing, "term"))
-    marked = scratch.save(own.mapInArrow(mark(bits, frozenset(shapes)), MARKED), "marked")
+    marked = scratch.save(own.mapInArrow(mark(bits), MARKED), "marked")
     base = marked.filter("spans is not null").select("row", "doc_id", F.col("spans").alias("base"))
-    spans = marked.filter("spans is null").select("row", "term", "start", "end").join(revealing, "term")
-    added = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "disclosure"))).alias("added"))
-    return base.join(added, "row", "left").withColumn("added", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int,disclosure:double>>")))
+    spans = marked.filter("spans is null").select("row", "term", "start", "end", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
+    salted = revealing.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    added = spans.join(salted, ["term", "salt"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "disclosure", "route"))).alias("added"))
+    return base.join(added, "row", "left").withColumn("added", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int,disclosure:double,route:string>>")))
 
 
 def of_kind(kind: int) -> Callable[[Column], Column]:

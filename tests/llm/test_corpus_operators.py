@@ -589,7 +589,7 @@ def test_clashing_columns_and_repeated_rows(spark, docs):
 
 
 def test_pii_shapes(spark):
-    """Keys that are written once are found by their shape, which keeps company with personal data; ordinary words are left alone."""
+    """Values that are written once are found by their key, which keeps company with personal data; ordinary words are left alone."""
     import random
 
     rnd = random.Random(9)
@@ -601,6 +601,81 @@ def test_pii_shapes(spark):
     assert all(any(len(w) == 40 for w in added[i]) for i, _, _ in told) and not any(added[i] for i, _, _ in plain)
 
 
+def brute_disclosures(data, support=pii.SUPPORT, class_support=pii.CLASS_SUPPORT):
+    """term -> (disclosure, route), by counting in plain sets."""
+    from math import log, sqrt
+
+    docs, held, by_class, texts_of, docs_of, near = [], defaultdict(set), defaultdict(set), defaultdict(set), Counter(), defaultdict(set)
+    for i, (_, text, _) in enumerate(data):
+        text = text or ""
+        spans = brute_spans(text)
+        own = {f"{pii.KINDS[k]}:{text[s:e]}" for s, k, e in spans}
+        covered = {p for s, _, e in spans for p in range(s, e)}
+        words = {m[0].lower() for m in re.finditer(r"\w+", text) if covered.isdisjoint(range(*m.span()))}
+        words |= {m[1].lower() + " =" for m in re.finditer(r"([^\W\d]\w*)[\"']? *[=:] *[\"']?([^\s\"',;]+)", text) if covered.isdisjoint(range(*m.span(2)))}
+        context = text if own else i
+        docs.append(context)
+        for c in own:
+            held[c].add(context)
+        for c in {c.split(":")[0] for c in own} | ({"all"} if own else set()):
+            by_class[c].add(context)
+        for w in words:
+            texts_of[w].add(context)
+            docs_of[w] += 1
+            if own:
+                near[w].add(min(pii.digest(c) for c in own))
+    total, out = len(set(docs)), {}
+
+    def disclosure(both, n_t, n_c):
+        p, z = both / n_t, pii.DEVIATIONS
+        p = (p + z * z / (2 * n_t) - z * sqrt(p * (1 - p) / n_t + z * z / (4 * n_t * n_t))) / (1 + z * z / n_t)
+        return log(p * total / n_c) / log(total / n_c) if p >= pii.LEAST and n_c < total else 0
+
+    for w, own in texts_of.items():
+        found = [(disclosure(len(own & cs), docs_of[w], len(cs)), "entity") for cs in held.values() if len(own & cs) >= support]
+        if len(near[w]) >= class_support:
+            found += [(disclosure(len(own & cs), len(own), len(cs)), "class") for cs in by_class.values() if own & cs]
+        if found and max(found)[0] >= pii.THRESHOLD:
+            out[w] = max(found)
+    return out
+
+
+def test_pii_disclosures_against_brute_force(spark):
+    """Both routes, keys, copies and near copies: every term's disclosure, and every occurrence that is marked."""
+    import random
+
+    rnd = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(60)]
+    data = []
+    for i in range(500):
+        text = " ".join(rnd.choices(vocabulary, k=rnd.randrange(1, 15)))
+        if i % 9 == 0:
+            text += f" badge: 'B{i}' mail p{i % 45}@mail.example of rarity{i % 45}"
+        elif i % 17 == 0:
+            text += f" badge = C{i} host 10.0.{i % 200}.7 noted"
+        data.append((i, text, "s"))
+    data += [(600 + k, data[9][1], "s") for k in range(7)] + [(700 + k, data[18][1] + f" near {k}", "s") for k in range(9)] + [(800, None, "s")]
+    want = brute_disclosures(data)
+    assert {r for _, r in want.values()} == {"entity", "class"} and want["badge ="][1] == "class" and want["near"][1] == "entity"
+    texts = {i: t or "" for i, t, _ in data}
+    found = pii.find(frame(spark, data)).collect()
+    got = {}
+    for r in found:
+        text = texts[r["doc_id"]]
+        values = {(s, e): k for k, s, e in pii.assigned(text, [(b["start"], b["kind"], b["end"]) for b in r["base"]])}
+        marked = {(s["start"], s["end"], s["disclosure"], s["route"]) for s in r["added"]}
+        for s, e, d, route in marked:
+            names = [n for n in (text[s:e].lower(), values.get((s, e))) if n in want and want[n] == (pytest.approx(d), route)]
+            assert names, (text[s:e], d, route)
+            got.update(dict.fromkeys(names, d))
+        covered = {p for b in r["base"] for p in range(b["start"], b["end"])}
+        due = {m.span() for m in re.finditer(r"\w+", text) if m[0].lower() in want and covered.isdisjoint(range(*m.span()))} | {x for x, k in values.items() if k in want}
+        assert due == {(s, e) for s, e, _, _ in marked}
+    assert set(got) == set(want)
+    near = "".join(f"a{k}: x " for k in range(20_000))
+    assert len(list(pii.assigned(near, []))) == 20_000 and not list(pii.assigned("=:" * 50_000, [])) and len(list(pii.assigned("a=" * 50_000, []))) == 1
+
+
 def test_toxicity_product_automaton():
     """The composed grammar against its five machines run side by side."""
     import random
