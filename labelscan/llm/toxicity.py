@@ -33,7 +33,8 @@ SAMPLE = 10_000
 #: Lengths of word beginnings that may enter the lexicon.
 BEGINNINGS = (4, 5, 6)
 #: An entry needs this share of the toxic documents, and may have this share of the others and this many for each toxic one.
-SUPPORT, STRAY, PURE = 0.01, 0.002, 0.02
+#: ``PURE`` was chosen by four-fold cross-validation on labels that aren't held out; impure entries weigh less by their odds.
+SUPPORT, STRAY, PURE = 0.01, 0.002, 0.4
 
 THREAT = frozenset("kill murder hurt destroy burn hang shoot stab beat töten umbringen schlagen tuer frapper brûler matar golpear quemar".split())
 TARGET = frozenset("you your yours u he she they them him her his their people du dich dein ihr euch sie tu toi vous ton votre il elle tú usted vosotros ellos su".split())
