@@ -41,7 +41,7 @@ def resolved_store(spark, d) -> Versions:
     store, events = Versions(spark, shared_folder(spark, "reviews")), asked_events(spark, d)
     order = ["delivery", "event_id"]
     audit = events.select("id", *order, F.lit("").alias("action"), "decision", "inspector", "reviewer", "reason")
-    resolution.open_store(store, adapters.inspections(spark, d).select("id", "filename", "created_at", "overall_result"), audit)
+    resolution.open_store(store, adapters.inspections(spark, d, "merge").select("id", "filename", "created_at", "overall_result"), audit)
     for delivery in (0, 1):
         resolution.resolve(store, events.filter(F.col("delivery") == delivery), order)
     return store
@@ -54,7 +54,7 @@ def resolved_reports(spark, d):
     """Reports, decisions and audit trails after both commits."""
     store = resolved_store(spark, d)
     trail = store.read("audit").groupBy("id").agg(F.count(F.lit(1)).alias("n_audit"))
-    out = store.read("reports").join(store.read("decisions").drop("reason"), "id", "left").join(trail, "id", "left")
+    out = store.read("reports").join(store.read("decisions").drop("reason").hint("merge"), "id", "left").join(trail.hint("merge"), "id", "left")
     return out.select("id", "overall_result", "reviewer_status", "review_status", "final_decision", "inspector_decision", "inspector", F.coalesce("n_audit", F.lit(0)).alias("n_audit"))
 
 
@@ -69,7 +69,7 @@ def audit_events(spark, d):
     WHEN event_id IN (SELECT event_id FROM accepted) THEN 'accepted' ELSE 'already resolved' END AS outcome FROM asked_events""", "inspections", "asked_events")
 def judged_events(spark, d):
     """What becomes of each event, with the reason why."""
-    decisions = resolution.pending(adapters.inspections(spark, d))
+    decisions = resolution.pending(adapters.inspections(spark, d, "merge"))
     return resolution.judged(asked_events(spark, d), decisions, ["delivery", "event_id"]).select("event_id", "outcome")
 
 
@@ -123,7 +123,7 @@ def decision_lookup(spark, d):
     """Pending decisions laid out for lookups, and four lookups of one key each."""
     folder = shared_folder(spark, "decisions")
     pending = resolution.pending(adapters.inspections(spark, d)).select("id", "review_status")
-    layout.write_for_lookup(pending.join(adapters.inspections(spark, d).select("id", "filename"), "id"), folder, "id", 16)
+    layout.write_for_lookup(pending.join(adapters.inspections(spark, d).select("id", "filename").hint("merge"), "id"), folder, "id", 16)
     found = [layout.lookup(spark, folder, "id", k, 16) for k in (3, 34, 335, 1401)]
     return reduce(DataFrame.union, found).select("id", "filename", "review_status")
 
