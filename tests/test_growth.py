@@ -1,7 +1,7 @@
 """What must hold so that queries grow no faster than their input: joins that the driver has no part in, work dealt to all cores."""
 
 from labelscan.operators import resolution
-from labelscan.plans import stores
+from labelscan.plans import catalogue, stores
 from labelscan.sources.versions import Versions
 
 FOLDER = "/root/testdata/sf0.001"
@@ -22,3 +22,10 @@ def test_stores_are_joined_without_the_driver(spark, tmp_path):
     for df in (*changes.values(), store.read("reports"), store.read("decisions"), stores.resolved_reports(spark, FOLDER), stores.audit_events(spark, FOLDER), stores.judged_events(spark, FOLDER)):
         assert "Broadcast" not in plan(df)
     assert {r["id"]: r["overall_result"] for r in store.read("reports").collect()} == {k: "PASS" if k == 1 else "REVIEW" for k in range(9)}
+
+
+def test_pending_reviews_judge_every_event(spark, tmp_path):
+    """An id is pending by events of any number, and resolved by them."""
+    events = spark.createDataFrame([(5, 1, 7, "view", "p"), (1, 1, 8, "view", "p"), (6, 2, 8, "purchase", "p"), (2, 1, 9, "purchase", "p")], "event_id long, ts long, user_id long, event_type string, props string")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert [r["id"] for r in catalogue.pending_reviews(spark, f"file://{tmp_path}").collect()] == [7]
