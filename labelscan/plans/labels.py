@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extract, reports, words as word_ops
 from ..sources import adapters, dims
-from ..sources.readers import table
+from ..sources.readers import spread, table
 from .catalogue import query
 
 adapters.SQL["labelled"] = """labelled AS (SELECT c_custkey AS id, c_custkey AS k, c_mktsegment[1] || lower(c_mktsegment[2:]) AS segment, (100 + c_custkey % 800)::VARCHAR AS q, (20 + c_custkey % 900)::VARCHAR AS p,
@@ -36,7 +36,7 @@ def label_lines(spark, d):
         F.when(k % 3 == 0, of("Net Weight ", q, "g")).when(k % 3 == 1, of(q, "g")).otherwise(of("Net Weight ", q, "9")), F.when(k % 2 == 0, of("MRP Rs.", p, ".00")).otherwise(of("Rs.", p, ".00")),
         F.when(k % 4 < 3, of("PKD ", mm, "/2024")).otherwise("PKD 13/2024"), F.when(k % 5 < 4, of("Customer Care ", phone)),
     )
-    return table(spark, d, "customer").select(k.alias("id"), F.filter(lines, lambda x: x.isNotNull()).alias("lines"))
+    return spread(table(spark, d, "customer").select("c_custkey", "c_mktsegment")).select(k.alias("id"), F.filter(lines, lambda x: x.isNotNull()).alias("lines"))
 
 
 def labels(spark, d):

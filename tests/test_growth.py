@@ -1,7 +1,7 @@
 """What must hold so that queries grow no faster than their input: joins that the driver has no part in, work dealt to all cores."""
 
 from labelscan.operators import resolution
-from labelscan.plans import catalogue, stores
+from labelscan.plans import catalogue, labels, stores
 from labelscan.sources.versions import Versions
 
 FOLDER = "/root/testdata/sf0.001"
@@ -29,3 +29,8 @@ def test_pending_reviews_judge_every_event(spark, tmp_path):
     events = spark.createDataFrame([(5, 1, 7, "view", "p"), (1, 1, 8, "view", "p"), (6, 2, 8, "purchase", "p"), (2, 1, 9, "purchase", "p")], "event_id long, ts long, user_id long, event_type string, props string")
     events.write.parquet(f"{tmp_path}/events.parquet")
     assert [r["id"] for r in catalogue.pending_reviews(spark, f"file://{tmp_path}").collect()] == [7]
+
+
+def test_labels_are_dealt_to_all_cores(spark):
+    """A table of one small file is one task to read, but its labels' words aren't one task's work."""
+    assert labels.labels(spark, FOLDER).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
