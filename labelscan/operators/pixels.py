@@ -1,8 +1,8 @@
-"""Pixel metrics of images of any size: tiles, exchanged borders, mergeable moments.
+"""Pixel metrics of images of any size: tiles with their neighbours' border, mergeable moments.
 
-An image is cut into tiles.  Each tile sends its border rows and columns to its neighbours, which is one shuffle of strips; with
-them, every tile's Laplacian needs nothing else.  Tiles give integer sums (pixels, values, squares, bright pixels, Laplacian and its
-squares), so the sums of an image don't depend on how it was cut or in what order tiles arrive.
+An image is cut into tiles.  A tile is taken together with the border that its neighbours lend it, so its Laplacian needs
+nothing else and no pixel leaves its task; what is computed at once is bounded by the tile.  Tiles give integer sums (pixels, values,
+squares, bright pixels, Laplacian and its squares), so the sums of an image don't depend on how it was cut.
 
 Images that can't be read (no bytes, sides that aren't positive, a length that doesn't fit, channels other than 1, 3 or 4) keep
 their row, with the reason: they are unusable, not an error.
@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +22,6 @@ from .decisions import quality_checks
 #: Weights of blue, green and red in grey, of 2 to the power of SHIFT; bright pixels.
 BLUE, GREEN, RED, SHIFT, BRIGHT = 1868, 9617, 4899, 14, 250
 SUMS = ["n", "total", "squares", "bright", "edges", "edge_squares"]
-TILE = "id long, ty int, tx int, rows int, columns int, last_row boolean, last_column boolean, grey binary"
-STRIP = "id long, ty int, tx int, side string, strip binary"
 
 
 def unusable(width: Column, height: Column, channels: Column, pixels: Column) -> Column:
@@ -45,75 +43,46 @@ def grey(raw: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return ((c[..., 0] * BLUE + c[..., 1] * GREEN + c[..., 2] * RED + (1 << SHIFT - 1)) >> SHIFT).astype(np.uint8)
 
 
-def tiled(images: DataFrame, side: int = 512) -> DataFrame:
-    """TILE rows of readable images ``id, width, height, channels, pixels``."""
+def framed(g: np.ndarray) -> np.ndarray:
+    """The image with a border: beyond an edge lies the second row or column from it (the only one where there is one); corners mean nothing."""
+    h, w = g.shape
+    out = np.empty((h + 2, w + 2), np.uint8)
+    out[1:-1, 1:-1] = g
+    out[0, 1:-1], out[-1, 1:-1] = g[min(1, h - 1)], g[max(h - 2, 0)]
+    out[1:-1, 0], out[1:-1, -1] = g[:, min(1, w - 1)], g[:, max(w - 2, 0)]
+    return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i, w, h, c, raw in zip(*(pdf[k] for k in ("id", "width", "height", "channels", "pixels"))):
-                g = grey(raw, int(h), int(w), int(c))
-                out = [(i, y // side, x // side, *g[y : y + side, x : x + side].shape, y + side >= h, x + side >= w, g[y : y + side, x : x + side].tobytes()) for y in range(0, int(h), side) for x in range(0, int(w), side)]
-                yield pd.DataFrame(out, columns=["id", "ty", "tx", "rows", "columns", "last_row", "last_column", "grey"])
 
-    return images.select("id", "width", "height", "channels", "pixels").mapInPandas(run, TILE)
+def tile_sums(tile: np.ndarray) -> np.ndarray:
+    """SUMS of a tile that comes with its border."""
+    t = tile.astype(np.int64)
+    g = t[1:-1, 1:-1]
+    edges = t[:-2, 1:-1] + t[2:, 1:-1] + t[1:-1, :-2] + t[1:-1, 2:] - 4 * g
+    return np.array([g.size, g.sum(), (g * g).sum(), np.count_nonzero(g >= BRIGHT), edges.sum(), (edges * edges).sum()])
 
 
-def borders(tiles: DataFrame) -> DataFrame:
-    """STRIP rows: the border that a tile lies on, named by the side on which the receiving tile has it."""
+def moments(images: DataFrame, side: int = 512) -> DataFrame:
+    """``id`` and SUMS of readable images ``id, width, height, channels, pixels``, a row for each band of tiles."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for t in pdf.itertuples(index=False):
-                g = np.frombuffer(t.grey, np.uint8).reshape(t.rows, t.columns)
-                if t.ty:
-                    out.append((t.id, t.ty - 1, t.tx, "below", g[0].tobytes()))
-                if t.tx:
-                    out.append((t.id, t.ty, t.tx - 1, "right", g[:, 0].tobytes()))
-                if not t.last_row:
-                    out.append((t.id, t.ty + 1, t.tx, "above", g[-1].tobytes()))
-                if not t.last_column:
-                    out.append((t.id, t.ty, t.tx + 1, "left", g[:, -1].tobytes()))
-            yield pd.DataFrame(out, columns=["id", "ty", "tx", "side", "strip"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, found = [], []
+            for k, (i, w, h, c) in enumerate(zip(*(batch.column(n).to_pylist() for n in range(4)))):
+                whole = framed(grey(batch.column(4)[k].as_buffer(), h, w, c))
+                for y in range(0, h, side):
+                    own.append(i)
+                    found.append(sum(tile_sums(whole[y : y + side + 2, x : x + side + 2]) for x in range(0, w, side)))
+            sums = np.array(found, np.int64).reshape(len(own), len(SUMS)).T
+            yield pa.RecordBatch.from_arrays([pa.array(own, batch.column(0).type), *map(pa.array, sums)], ["id", *SUMS])
 
-    return tiles.mapInPandas(run, STRIP)
-
-
-def mirrored(own: np.ndarray, here: np.ndarray | None, first: bool, opposite: np.ndarray | None) -> np.ndarray:
-    """The rows beyond an edge: the neighbour's border, or at the image's edge the second row from it (the only one where there is one row)."""
-    if here is not None:
-        return here
-    if len(own) > 1:
-        return own[1] if first else own[-2]
-    return own[0] if opposite is None else opposite
-
-
-def moments(tiles: DataFrame) -> DataFrame:
-    """Integer sums of each tile ``id, ty, tx, rows, columns, grey, strips`` (side -> strip)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for t in pdf.itertuples(index=False):
-                g = np.frombuffer(t.grey, np.uint8).reshape(t.rows, t.columns).astype(np.int64)
-                strips = {k: np.frombuffer(v, np.uint8).astype(np.int64) for k, v in dict(t.strips or {}).items()}
-                above, below, left, right = (strips.get(k) for k in ("above", "below", "left", "right"))
-                up, down = mirrored(g, above, True, below), mirrored(g, below, False, above)
-                before, after = mirrored(g.T, left, True, right), mirrored(g.T, right, False, left)
-                edges = np.vstack([up, g[:-1]]) + np.vstack([g[1:], down]) + np.column_stack([before, g[:, :-1]]) + np.column_stack([g[:, 1:], after]) - 4 * g
-                out.append((t.id, g.size, int(g.sum()), int((g * g).sum()), int((g >= BRIGHT).sum()), int(edges.sum()), int((edges * edges).sum())))
-            yield pd.DataFrame(out, columns=["id", *SUMS])
-
-    return tiles.mapInPandas(run, f"id long, {', '.join(f'{c} long' for c in SUMS)}")
+    kind = images.schema["id"].dataType.simpleString()
+    return images.select("id", "width", "height", "channels", "pixels").mapInArrow(run, f"id {kind}, {', '.join(f'{c} long' for c in SUMS)}")
 
 
 def metrics(images: DataFrame, side: int = 512) -> DataFrame:
     """``id, width, height, blur, brightness, glare, contrast, problem`` of every image; metrics are null where there is a problem."""
     told = images.withColumn("problem", unusable(F.col("width"), F.col("height"), F.col("channels"), F.col("pixels")))
-    tiles = tiled(told.filter("problem is null"), side)
-    keys = ["id", "ty", "tx"]
-    strips = borders(tiles).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("side", "strip"))).alias("strips"))  # four at most
-    sums = moments(tiles.join(strips, keys, "left").select(*keys, "rows", "columns", "grey", "strips")).groupBy("id").agg(*[F.sum(c).alias(c) for c in SUMS])
+    sums = moments(told.filter("problem is null"), side).groupBy("id").agg(*[F.sum(c).alias(c) for c in SUMS])
     share = lambda c: F.col(c) / F.col("n")
     spread = lambda squares, total: F.greatest(F.lit(0.0), share(squares) - share(total) * share(total))
     found = sums.select("id", spread("edge_squares", "edges").alias("blur"), share("total").alias("brightness"), share("bright").alias("glare"), F.sqrt(spread("squares", "total")).alias("contrast"))

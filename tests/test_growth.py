@@ -1,6 +1,6 @@
 """What must hold so that queries grow no faster than their input: joins that the driver has no part in, work dealt to all cores."""
 
-from labelscan.operators import resolution
+from labelscan.operators import pixels, resolution
 from labelscan.plans import catalogue, labels, stores
 from labelscan.sources.versions import Versions
 
@@ -34,3 +34,11 @@ def test_pending_reviews_judge_every_event(spark, tmp_path):
 def test_labels_are_dealt_to_all_cores(spark):
     """A table of one small file is one task to read, but its labels' words aren't one task's work."""
     assert labels.labels(spark, FOLDER).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+def test_pixels_stay_in_their_task(spark):
+    """Tiles take their border along: images are cut once, and only sums are shuffled."""
+    images = spark.createDataFrame([(k, 3, 40, 1, bytes((k * n) % 251 for n in range(120))) for k in range(5)], "id long, width int, height int, channels int, pixels binary")
+    assert plan(pixels.metrics(images, 16)).count("MapIn") == 1
+    rows = [sorted(map(tuple, pixels.metrics(images, side).collect())) for side in (1, 16, 512)]
+    assert rows[0] == rows[1] == rows[2]
