@@ -2,6 +2,7 @@
 
 from labelscan.operators import pixels, resolution
 from labelscan.plans import catalogue, labels, stores
+from labelscan.sources import adapters
 from labelscan.sources.versions import Versions
 
 FOLDER = "/root/testdata/sf0.001"
@@ -42,3 +43,12 @@ def test_pixels_stay_in_their_task(spark):
     assert plan(pixels.metrics(images, 16)).count("MapIn") == 1
     rows = [sorted(map(tuple, pixels.metrics(images, side).collect())) for side in (1, 16, 512)]
     assert rows[0] == rows[1] == rows[2]
+
+
+def test_words_are_placed_without_a_shuffle(spark, tmp_path):
+    texts = [(1, "ab  é\n\n" + " ".join("x" * (k % 7) for k in range(100)) + "\nend "), (2, ""), (3, None), (4, "\n \n"), *[(k, "a b\nc") for k in range(5, 300)]]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = adapters.words(spark, f"file://{tmp_path}")
+    assert "Exchange" not in plan(found) and "Window" not in plan(found)
+    want = {(i, n, p, w, 10 + 8 * sum(len(v) + 1 for v in line.split(" ")[:p])) for i, t in texts if t is not None for n, line in enumerate(t.split("\n")) for p, w in enumerate(line.split(" ")) if w}
+    assert {tuple(r) for r in found.select("doc_id", "line", "pos", "word", "x").collect()} == want
