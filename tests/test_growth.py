@@ -4,6 +4,7 @@ from labelscan.operators import pixels, resolution
 from labelscan.plans import catalogue, labels, stores
 from labelscan.sources import adapters
 from labelscan.sources.versions import Versions
+from labelscan.streaming import dashboard
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -52,3 +53,19 @@ def test_words_are_placed_without_a_shuffle(spark, tmp_path):
     assert "Exchange" not in plan(found) and "Window" not in plan(found)
     want = {(i, n, p, w, 10 + 8 * sum(len(v) + 1 for v in line.split(" ")[:p])) for i, t in texts if t is not None for n, line in enumerate(t.split("\n")) for p, w in enumerate(line.split(" ")) if w}
     assert {tuple(r) for r in found.select("doc_id", "line", "pos", "word", "x").collect()} == want
+
+
+def test_a_batch_is_read_once(spark, tmp_path):
+    """Counts, what they take back and the new rows come from one evaluation of a batch."""
+    store, read = Versions(spark, f"file://{tmp_path}/store"), spark.sparkContext.accumulator(0)
+    dashboard.open_store(store)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    batch = spark.createDataFrame([(str(k), 1, k > 0, ["mrp"] if k == 0 else []) for k in range(9)], dashboard.CURRENT)
+    assert dashboard.fold(store, batch.mapInArrow(seen, batch.schema), 0)
+    assert read.value == 9
+    assert tuple(dashboard.dashboard(store).first()) == (9, 8, 88.9, [("mrp", 1)])
