@@ -37,7 +37,10 @@ def first_free(b: Column, occupied: Column) -> Column:
     steps = F.when(step < b["image_height"], F.sequence(step, b["image_height"] - 1, step)).otherwise(F.array().cast("array<int>"))
     heights = F.concat(F.array(b["top"]), F.flatten(F.transform(steps, lambda s: F.array(b["top"] + s, b["top"] - s))))
     spots = F.transform(heights, lambda y: rect(b["left"], within(y, b["image_height"] - b["height"]), b["width"], b["height"]))
-    return F.coalesce(F.get(F.filter(spots, lambda s: ~F.exists(occupied, lambda o: overlaps(s, o))), F.lit(0)), rect(b["left"], b["top"], b["width"], b["height"]))
+    free = lambda s: ~F.exists(occupied, lambda o: overlaps(s, o))
+    # nearly every caption has its own height, within the image, free; only the others look at all heights
+    own, near = rect(b["left"], b["top"], b["width"], b["height"]), rect(b["left"], within(b["top"], b["image_height"] - b["height"]), b["width"], b["height"])
+    return F.when(free(near), near).otherwise(F.coalesce(F.get(F.filter(spots, free), F.lit(0)), own))
 
 
 def placed(decisions: DataFrame, image: str = "image_id", order: str = "pos", char: int = 6, line: int = 11) -> DataFrame:
