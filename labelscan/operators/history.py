@@ -139,7 +139,8 @@ def fan_out(records: DataFrame, stored: dict[str, DataFrame] | None = None) -> d
     keys = {"products": ["product_id"], "inspections": ["inspection_id"], "violations": ["inspection_id", "field_key"]}
     out = {}
     for name, rows in new.items():
-        rows = rows.dropDuplicates(keys[name])
+        # dealt first, to a number of tasks that holds: a task then holds the keys of its own part only, not those of all it has read
+        rows = rows.repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys[name]).dropDuplicates(keys[name])
         old = (stored or {}).get(name)
         out[name] = rows if old is None else old.unionByName(rows.join(old.select(*keys[name]), keys[name], "left_anti"))
     return out

@@ -1,6 +1,6 @@
 """What must hold so that queries grow no faster than their input: joins that the driver has no part in, work dealt to all cores."""
 
-from labelscan.operators import pixels, resolution
+from labelscan.operators import history, overlays, pixels, resolution
 from labelscan.plans import catalogue, labels, stores
 from labelscan.sources import adapters
 from labelscan.sources.versions import Versions
@@ -69,3 +69,17 @@ def test_a_batch_is_read_once(spark, tmp_path):
     assert dashboard.fold(store, batch.mapInArrow(seen, batch.schema), 0)
     assert read.value == 9
     assert tuple(dashboard.dashboard(store).first()) == (9, 8, 88.9, [("mrp", 1)])
+
+
+def test_star_rows_are_dealt_before_they_are_told_apart(spark):
+    records = spark.createDataFrame([(k % 50, "p", "2024-01-01", "PASS", {"mrp": False, "date": k % 2 == 0}) for k in range(100)], "id long, product_name string, created_at string, overall_result string, fields map<string, boolean>")
+    star = history.fan_out(records)
+    assert star["violations"].count() == 75 and star["inspections"].count() == 50
+    assert star["violations"].rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_free_caption_looks_at_no_other_height(spark):
+    rows = [(1, p, "x", 5, 40 * p, 5, 5, 100, 400) for p in range(3)]
+    found = overlays.placed(spark.createDataFrame(rows, "image_id int, pos int, text string, left int, top int, width int, height int, image_width int, image_height int"))
+    assert "CASE WHEN NOT exists" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 3
