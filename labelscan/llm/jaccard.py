@@ -69,7 +69,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def words(text: bytes, hashes: WordHashes) -> np.ndarray:
     """Hashes of the words; A-Z lower-cased, words between ASCII white space."""
     own = text.lower().split()
-    return np.fromiter((hashes[w] for w in own), np.uint64, len(own))
+    return np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own))
 
 
 def windows(h: np.ndarray, n: int) -> np.ndarray:
@@ -81,17 +81,27 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def firsts(s: np.ndarray) -> np.ndarray:
+    """Which of sorted hashes differ from the one before."""
+    return np.concatenate([np.ones(min(1, len(s)), bool), s[1:] != s[:-1]])
+
+
 def shingles(text: bytes, n: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams."""
-    return np.unique(windows(words(text, hashes), n))
+    s = np.sort(windows(words(text, hashes), n))
+    return s[firsts(s)]
 
 
 def weighed(text: bytes, n: int, hashes: WordHashes, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``shingles``, and the logarithm of the number of places where words as frequent would meet by chance."""
     h = words(text, hashes)
-    s, first = np.unique(windows(h, n), return_index=True)
-    if not len(s):
-        return s, np.empty(0)
+    own = windows(h, n)
+    if not len(own):
+        return own, np.empty(0)
+    # equal n-grams have equal chances, so any of their places does
+    order = np.argsort(own)
+    first = order[firsts(own[order])]
+    s = own[first]
     size = min(n, len(h))
     own = logs[(h & np.uint64(SKETCH - 1)).astype(np.int64)]
     chance = own[: len(h) - size + 1].copy()
