@@ -106,12 +106,34 @@ class Bits:
 ROW_BITS, LEAST_BITS, MOST_BITS = 1 << 15, 1 << 16, 1 << 27
 
 
-def bitmap(keys: DataFrame, col: str) -> bytes:
-    """Data of ``Bits`` for a column of longs: about 16 bits a key, at most MOST_BITS however many there are."""
-    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
+def size_of(keys: DataFrame) -> int:
+    """Bits of a bitmap: about 16 a key, at most MOST_BITS however many there are."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
+
+
+def chunks(keys: DataFrame, col: str, size: int) -> DataFrame:
+    """``chunk, bits``: the rows of a bitmap that aren't empty, ROW_BITS bits each."""
     at = F.col(col).bitwiseAND(F.lit(size - 1))
-    rows = keys.select(F.shiftright(at, 15).alias("chunk"), (at % ROW_BITS).alias("bit")).groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    return keys.select(F.shiftright(at, 15).alias("chunk"), (at % ROW_BITS).alias("bit")).groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def bitmap(keys: DataFrame, col: str) -> bytes:
+    """Data of ``Bits`` for a column of longs."""
+    size = size_of(keys)
     out = bytearray(size // 8)
-    for r in rows.toLocalIterator():
+    for r in chunks(keys, col, size).toLocalIterator():
         out[r["chunk"] * ROW_BITS // 8 : (r["chunk"] + 1) * ROW_BITS // 8] = r["bits"]
     return bytes(out)
+
+
+
+def among(df: DataFrame, value: Column, keys: DataFrame, name: str) -> DataFrame:
+    """Adds the boolean ``name``: false only where the one column of ``keys`` doesn't hold the long ``value`` (null: 0).
+
+    The bitmap is broadcast as rows, so what ``df`` holds neither moves nor passes through Python.
+    """
+    size, chunk, bits = size_of(keys), f"{name}_chunk", f"{name}_bits"
+    at = F.coalesce(value, F.lit(0)).bitwiseAND(F.lit(size - 1))
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(at % ROW_BITS, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    out = df.join(F.broadcast(chunks(keys, keys.columns[0], size).toDF(chunk, bits)), F.shiftright(at, 15) == F.col(chunk), "left")
+    return out.withColumn(name, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop(chunk, bits)

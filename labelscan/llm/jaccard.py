@@ -26,7 +26,6 @@ their hash; an empty table gives an empty result; columns besides identifier and
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -36,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, Scratch, bitmap
+from .common import Bits, Scratch, among, bitmap
 
 #: Counters of the word sketch and its rows of transport.
 SKETCH, CHUNK = 1 << 20, 1 << 12
@@ -47,17 +46,14 @@ HOT = 64
 SALTS = 16
 #: 64-bit words of a parity bitmap, and of its folded form.
 BITMAP, FOLDED = 16, 4
+#: Sets that a task remembers.
 CACHE = 300_000
+#: Texts and bytes of text that are hashed at once (a longer text alone); a word of more than LONG bytes is hashed by itself.
+TEXTS, BYTES, LONG = 256, 1 << 20, 64
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+#: The first so many of eight bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -66,10 +62,37 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def words(text: bytes, hashes: WordHashes) -> np.ndarray:
-    """Hashes of the words; A-Z lower-cased, words between ASCII white space."""
-    own = text.lower().split()
-    return np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own))
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts that lie one after the other, and where each text's begin; A-Z lower-cased, words between ASCII white space."""
+    b = np.concatenate([data, np.zeros(8, np.uint8)])
+    b += ((b - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5)
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = ~((b == 32) | ((b - np.uint8(9)) < 5))[:-8]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
+    size = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1 - starts
+    eight = np.ndarray(len(data) + 1, "<u8", b, strides=(1,))
+    h, left = size.astype(np.uint64), np.arange(len(size))
+    for k in range(0, min(LONG, int(size.max(initial=0))), 8):
+        left = left[size[left] > k] if k else left
+        h[left] = mixed(h[left] * _B + (eight[starts[left] + k] & _FIRST[np.minimum(size[left] - k, 8)]) + _C)
+    for k in np.flatnonzero(size > LONG):
+        h[k] = xxhash.xxh3_64_intdigest(b[starts[k] : starts[k] + size[k]])
+    return h, np.searchsorted(starts, offsets)
+
+
+def blocks(batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Identifiers and ``words`` of a batch of identifier and text, TEXTS texts or BYTES bytes at a time."""
+    ids, column = batch.column(0), batch.column(1).cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(data or b"", np.uint8)
+    at = 0
+    while at < len(column):
+        to = max(at + 1, min(at + TEXTS, int(np.searchsorted(offsets, offsets[at] + BYTES, "right")) - 1))
+        yield ids[at:to].to_pylist(), *words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        at = to
 
 
 def windows(h: np.ndarray, n: int) -> np.ndarray:
@@ -86,49 +109,79 @@ def firsts(s: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ones(min(1, len(s)), bool), s[1:] != s[:-1]])
 
 
-def shingles(text: bytes, n: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams."""
-    s = np.sort(windows(words(text, hashes), n))
-    return s[firsts(s)]
-
-
-def weighed(text: bytes, n: int, hashes: WordHashes, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``shingles``, and the logarithm of the number of places where words as frequent would meet by chance."""
-    h = words(text, hashes)
-    own = windows(h, n)
-    if not len(own):
-        return own, np.empty(0)
-    # equal n-grams have equal chances, so any of their places does
-    order = np.argsort(own)
-    first = order[firsts(own[order])]
-    s = own[first]
-    size = min(n, len(h))
-    own = logs[(h & np.uint64(SKETCH - 1)).astype(np.int64)]
-    chance = own[: len(h) - size + 1].copy()
-    for k in range(1, size):
-        chance += own[k : len(h) - size + 1 + k]
-    return s, chance[first] - (size - 1) * logs[-1]
+def ngrams(h: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n-grams of each text's hashed words, where each text's begin, and the first word of each."""
+    held = np.diff(bounds)
+    ends = np.concatenate([[0], np.cumsum(np.where(held >= n, held - n + 1, np.minimum(held, 1)))])
+    place = np.arange(ends[-1]) + np.repeat(bounds[:-1] - ends[:-1], np.diff(ends))
+    every = windows(h, n)
+    g = every[np.minimum(place, len(every) - 1)]
+    for k in np.flatnonzero((held > 0) & (held < n)):
+        g[ends[k]] = windows(h[bounds[k] : bounds[k + 1]], n)[0]
+    return g, ends, place
+
+
+def distinct(g: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of n-grams, sorted within each text, are its first of their kind, and where each text's begin among these."""
+    first = firsts(g)
+    first[ends[:-1][np.diff(ends) > 0]] = True
+    return first, np.concatenate([[0], np.cumsum(first)])[ends]
+
+
+def shingles(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int | None, np.ndarray]]:
+    """Identifier and sorted distinct hashes of the word n-grams of each row."""
+    for ids, h, bounds in blocks(batch):
+        g, ends, _ = ngrams(h, bounds, n)
+        for a, b in zip(ends, ends[1:]):
+            g[a:b].sort()
+        first, at = distinct(g, ends)
+        s = g[first]
+        yield from ((i, s[a:b]) for i, a, b in zip(ids, at, at[1:]))
+
+
+def weighed(batch: pa.RecordBatch, n: int, logs: np.ndarray) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """Identifiers, ``shingles``, the logarithm of the number of places where words as frequent would meet by chance, and where each text's begin."""
+    for ids, h, bounds in blocks(batch):
+        g, ends, place = ngrams(h, bounds, n)
+        own = logs[(h & np.uint64(SKETCH - 1)).astype(np.int64)]
+        # of a text of fewer words than n, all that it has
+        size = np.repeat(np.minimum(np.diff(bounds), n), np.diff(ends))
+        chance = own[place]
+        for k in range(1, n):
+            more = size > k
+            chance[more] += own[place[more] + k]
+        chance -= (size - 1).astype(np.float32) * logs[-1]
+        order = np.concatenate([a + np.argsort(g[a:b]) for a, b in zip(ends, ends[1:])])
+        # equal n-grams have equal chances, so any of their places does
+        g = g[order]
+        first, at = distinct(g, ends)
+        yield ids, g[first], chance[order[first]], at
+
+
+def ranked(chance: np.ndarray, at: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
+    """Numbers that sort as (last, chance, n-gram) does within a text; their lower 31 bits are the n-gram's place in the text's set."""
+    x = (chance + np.float32(0)).view(np.uint32).astype(np.uint64)
+    x = np.where(x >> np.uint64(31), x ^ np.uint64(0xFFFFFFFF), x | np.uint64(1 << 31)) << np.uint64(31)
+    x |= (np.arange(len(x)) - np.repeat(at[:-1], np.diff(at))).astype(np.uint64)
+    return x if last is None else x | (last.astype(np.uint64) << np.uint64(63))
+
+
+def lowest(x: np.ndarray, most: int) -> np.ndarray:
+    """Places of the ``most`` lowest ``ranked`` numbers of a text, in order."""
+    x = np.sort(np.partition(x, most - 1)[:most]) if most < len(x) else np.sort(x)
+    return (x & np.uint64((1 << 31) - 1)).astype(np.int64)
 
 
 def key_of(s: np.ndarray) -> int:
     return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
-    ids = batch.column(0).to_pylist()
-    for i, t in zip(ids, batch.column(1).cast(pa.binary())):
-        yield i, t.as_py() or b""
-
-
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a task's word counts: chunk, counters."""
     counts = np.zeros(SKETCH, np.int64)
     for batch in batches:
-        seen: Counter = Counter()
-        for _, text in texts(batch):
-            seen.update(text.lower().split())
-        at = np.fromiter((xxhash.xxh3_64_intdigest(w) & (SKETCH - 1) for w in seen), np.int64, len(seen))
-        np.add.at(counts, at, np.fromiter(seen.values(), np.int64, len(seen)))
+        for _, h, _ in blocks(batch):
+            np.add.at(counts, (h & np.uint64(SKETCH - 1)).astype(np.int64), 1)
     used = [c for c in range(0, SKETCH, CHUNK) if counts[c : c + CHUNK].any()]
     yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK for c in used], pa.int32()), pa.array([counts[c : c + CHUNK].tobytes() for c in used], pa.binary())], ["chunk", "counts"])
 
@@ -194,17 +247,17 @@ def describe(n: int, percent: int, logs):
     """Set size and digest of every document; its provisional prefix where the task sees the set for the first time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, once = WordHashes(), Once()
+        once = Once()
         for batch in batches:
-            ids, sizes, keys, arrays = [], [], [], []
-            for i, text in texts(batch):
-                s, chance = weighed(text, n, hashes, logs.value)
-                key = key_of(s)
-                ids.append(i)
-                sizes.append(len(s))
-                keys.append(key)
-                arrays.append(s[np.lexsort((s, chance))[: provisional(len(s), percent)]].view(np.int64) if len(s) and once.new(key) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), lists(arrays)], ["doc_id", "n", "key", "grams"])
+            for ids, grams, chance, at in weighed(batch, n, logs.value):
+                rank = ranked(chance, at)
+                keys, arrays = [], []
+                for a, b in zip(at, at[1:]):
+                    s = grams[a:b]
+                    key = key_of(s)
+                    keys.append(key)
+                    arrays.append(s[lowest(rank[a:b], provisional(len(s), percent))].view(np.int64) if len(s) and once.new(key) else np.empty(0, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(at), pa.int32()), pa.array(keys, pa.int64()), lists(arrays)], ["doc_id", "n", "key", "grams"])
 
     return run
 
@@ -213,36 +266,39 @@ def prefixes(n: int, percent: int, logs, hot):
     """Prefix, its l, how much of it is index (``near``), the n-grams nobody has counted (``late``) and parity bitmap of every set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, once, frequent = WordHashes(), Once(), Bits(hot.value)
+        once, frequent = Once(), Bits(hot.value)
         places = np.uint64(64 * BITMAP - 1)
         for batch in batches:
-            keys, sizes, ls, nears, arrays, later, maps = [], [], [], [], [], [], []
-            for _, text in texts(batch):
-                s, chance = weighed(text, n, hashes, logs.value)
-                if not len(s) or not once.new(key := key_of(s)):
-                    continue
-                last = frequent.has(s)
-                order = np.lexsort((s, chance, last))
-                t = least(len(s), percent)
-                first = len(s) - t
-                most = min(len(s), first + MATCHES[-1])
-                own = order[:most]
-                others = np.where(last[own], HOT, np.minimum(np.maximum(np.exp(chance[own]) - 1, 0), HOT))
-                total = np.cumsum(others)
-                costs = [(first + m + total[first + m - 1] + len(s) / 8 * total[first + m - 1] / m, m) for m in MATCHES if m <= t]
-                m = min(costs)[1]
-                own = order[: first + m]
-                counted = np.lexsort((s, chance))[: provisional(len(s), percent)]
-                keys.append(key)
-                sizes.append(len(s))
-                ls.append(m)
-                nears.append(len(s) - least_of_larger(len(s), percent) + m)
-                arrays.append(s[own].view(np.int64))
-                later.append(s[np.setdiff1d(own, counted)].view(np.int64))
-                odd = np.bincount(((s >> np.uint64(40)) & places).astype(np.int64), minlength=64 * BITMAP) & 1
-                maps.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
-            numbers = [pa.array(x, pa.int32()) for x in (sizes, ls, nears)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *numbers, lists(arrays), lists(later), lists(maps)], ["key", "n", "l", "near", "prefix", "late", "bits"])
+            for _, grams, chances, at in weighed(batch, n, logs.value):
+                lasts = frequent.has(grams)
+                rank, plain = ranked(chances, at, lasts), ranked(chances, at)
+                odd = np.repeat(np.arange(len(at) - 1) * 64 * BITMAP, np.diff(at)) + ((grams >> np.uint64(40)) & places).astype(np.int64)
+                odd = (np.bincount(odd, minlength=(len(at) - 1) * 64 * BITMAP) & 1).astype(np.uint8).reshape(-1, 64 * BITMAP)
+                bits = np.packbits(odd, axis=1, bitorder="little").view(np.int64)
+                keys, sizes, ls, nears, arrays, later, maps = [], [], [], [], [], [], []
+                for k, (a, b) in enumerate(zip(at, at[1:])):
+                    s, last = grams[a:b], lasts[a:b]
+                    if not len(s) or not once.new(key := key_of(s)):
+                        continue
+                    t = least(len(s), percent)
+                    first = len(s) - t
+                    own = lowest(rank[a:b], min(len(s), first + MATCHES[-1]))
+                    others = np.where(last[own], HOT, np.minimum(np.maximum(np.exp(chances[a:b][own]) - 1, 0), HOT))
+                    total = np.cumsum(others)
+                    costs = [(first + m + total[first + m - 1] + len(s) / 8 * total[first + m - 1] / m, m) for m in MATCHES if m <= t]
+                    m = min(costs)[1]
+                    own = own[: first + m]
+                    keys.append(key)
+                    sizes.append(len(s))
+                    ls.append(m)
+                    nears.append(len(s) - least_of_larger(len(s), percent) + m)
+                    arrays.append(s[own].view(np.int64))
+                    # without n-grams that go last, all of them have been counted
+                    late = np.setdiff1d(own, lowest(plain[a:b], provisional(len(s), percent))) if last.any() else own[:0]
+                    later.append(s[late].view(np.int64))
+                    maps.append(bits[k])
+                numbers = [pa.array(x, pa.int32()) for x in (sizes, ls, nears)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *numbers, lists(arrays), lists(later), lists(maps)], ["key", "n", "l", "near", "prefix", "late", "bits"])
 
     return run
 
@@ -267,19 +323,14 @@ def entries(hot, several, late):
     return run
 
 
-def sets(n: int, wanted):
-    """``key, grams`` (the whole set) of the rows whose identifier may be wanted."""
+def sets(n: int):
+    """``key, grams`` (the whole set) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits = WordHashes(), Bits(wanted.value)
         for batch in batches:
-            hit = np.flatnonzero(bits.has(batch.column(0).fill_null(0).to_numpy()))
-            keys, arrays = [], []
-            for text in batch.column(1).take(pa.array(hit)).cast(pa.binary()):
-                s = shingles(text.as_py() or b"", n, hashes)
-                keys.append(key_of(s))
-                arrays.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists(arrays)], ["key", "grams"])
+            for k in range(0, batch.num_rows, TEXTS):
+                arrays = [s for _, s in shingles(batch.slice(k, TEXTS), n)]
+                yield pa.RecordBatch.from_arrays([pa.array(map(key_of, arrays), pa.int64()), lists([s.view(np.int64) for s in arrays])], ["key", "grams"])
 
     return run
 
@@ -337,8 +388,8 @@ class Join:
         pairs = self.scratch.save(near.select("a", "b", "a_n", "b_n"), f"{name}-pairs")
         keys = self.scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), f"{name}-keys")
         ids = keys.join(self.classes, "key").select(F.coalesce("class_id", F.lit(0)).alias("id"))
-        wanted = self.share(bitmap(ids, "id"))
-        whole = self.own.mapInArrow(sets(self.n, wanted), "key long, grams array<long>").join(keys, "key", "left_semi")
+        wanted = among(self.own, F.col("doc_id"), ids, "wanted").filter("wanted").select("doc_id", "text")
+        whole = wanted.mapInArrow(sets(self.n), "key long, grams array<long>").join(keys, "key", "left_semi")
         # one exchange by key serves the removal of repeats and both sides of the comparison
         whole = self.scratch.save(whole, f"{name}-sets").dropDuplicates(["key"])
         both = pairs.join(renamed(whole, "a"), "a").join(renamed(whole, "b"), "b")
@@ -466,16 +517,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     gone = join(docs, id_col, text_col, n, percent).filter("doc_id <> component_id").select("doc_id").distinct()
     gone = Scratch(docs.sparkSession, "near-copies").save(gone, "gone")
-    bits, place = docs.sparkSession.sparkContext.broadcast(bitmap(gone, "doc_id")), docs.columns.index(id_col)
-
-    def part(wanted: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = Bits(bits.value)
-            for batch in batches:
-                hit = own.has(batch.column(place).cast(pa.int64()).fill_null(0).to_numpy())
-                yield batch.filter(pa.array(hit == wanted))
-
-        return docs.mapInArrow(run, docs.schema)
-
-    asked = part(True)
-    return part(False).unionByName(asked.join(gone.select(F.col("doc_id").alias("_gone_id")), asked[id_col].cast("long") == F.col("_gone_id"), "left_anti"))
+    asked = max(docs.columns, key=len) + "_asked"  # no other column's name
+    parts = among(docs, docs[id_col].cast("long"), gone, asked)
+    hit = parts.filter(F.col(asked)).drop(asked)
+    hit = hit.join(gone.select(F.col("doc_id").alias("_gone_id")), hit[id_col].cast("long") == F.col("_gone_id"), "left_anti")
+    return parts.filter(~F.col(asked)).drop(asked).unionByName(hit)

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, Scratch, bitmap
-from .jaccard import BITMAP, Once, WordHashes, close_enough, components, key_of, lists, mixed, near_size, needed, renamed, sets, shingles, texts
+from .common import Bits, Scratch, among, bitmap
+from .jaccard import BITMAP, TEXTS, Once, close_enough, components, key_of, lists, mixed, near_size, needed, renamed, sets, shingles
 
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
@@ -90,20 +90,20 @@ def describe(n: int):
     """Set size and digest of every document; bands and signature where the task sees the set for the first time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, once, factors = WordHashes(), Once(), multipliers()
+        once, factors = Once(), multipliers()
         for batch in batches:
-            ids, sizes, keys, bands, signatures = [], [], [], [], []
-            for i, text in texts(batch):
-                s = shingles(text, n, hashes)
-                key = key_of(s)
-                ids.append(i)
-                sizes.append(len(s))
-                keys.append(key)
-                own = minimal(s, factors) if len(s) and once.new(key) else None
-                bands.append(np.empty(0, np.int64) if own is None else band_keys(own))
-                signatures.append(np.empty(0, np.int64) if own is None else signature(own).view(np.int64))
-            numbers = pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64())
-            yield pa.RecordBatch.from_arrays([*numbers, lists(bands), lists(signatures)], ["doc_id", "n", "key", "bands", "signature"])
+            for k in range(0, batch.num_rows, TEXTS):
+                ids, sizes, keys, bands, signatures = [], [], [], [], []
+                for i, s in shingles(batch.slice(k, TEXTS), n):
+                    key = key_of(s)
+                    ids.append(i)
+                    sizes.append(len(s))
+                    keys.append(key)
+                    own = minimal(s, factors) if len(s) and once.new(key) else None
+                    bands.append(np.empty(0, np.int64) if own is None else band_keys(own))
+                    signatures.append(np.empty(0, np.int64) if own is None else signature(own).view(np.int64))
+                numbers = pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64())
+                yield pa.RecordBatch.from_arrays([*numbers, lists(bands), lists(signatures)], ["doc_id", "n", "key", "bands", "signature"])
 
     return run
 
@@ -144,11 +144,11 @@ def compared(percent: int, miss: float):
     return run
 
 
-def parities(n: int, wanted):
-    """``key, bits`` of the rows whose identifier may be wanted: which of 1024 places an odd number of the set's n-grams falls on."""
+def parities(n: int):
+    """``key, bits`` of every row: which of 1024 places an odd number of the set's n-grams falls on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sets(n, wanted)(batches):
+        for batch in sets(n)(batches):
             keys, maps = batch.column(0), []
             for own in batch.column(1):
                 at = own.values.to_numpy().view(np.uint64) >> np.uint64(40)
@@ -212,8 +212,9 @@ class Run:
 
     def again(self, keys: DataFrame, read, schema: str) -> DataFrame:
         """``read`` (of jaccard.sets' kind) over the texts of classes; the same class may come several times."""
-        wanted = self.share(bitmap(keys.join(self.classes, "key").select(F.coalesce("class_id", F.lit(0)).alias("id")), "id"))
-        return self.own.mapInArrow(read(self.n, wanted), schema).join(keys, "key", "left_semi")
+        ids = keys.join(self.classes, "key").select(F.coalesce("class_id", F.lit(0)).alias("id"))
+        wanted = among(self.own, F.col("doc_id"), ids, "wanted").filter("wanted").select("doc_id", "text")
+        return wanted.mapInArrow(read(self.n), schema).join(keys, "key", "left_semi")
 
     def rest(self, found: DataFrame) -> DataFrame:
         """Candidates that lie in different components; in a bucket, those of the largest component meet only the others."""
